@@ -10,12 +10,12 @@ def one_decimal(x: Column) -> Column:
     `round` and `bround` decide ties on the printed digits, which moves the result of about one
     tenth of all two-decimal sums; the number formatter looks at the binary value.
     """
-    return F.format_number(x, "0.0").cast("double")
+    return F.call_function("format_number", x, F.lit("0.0")).cast("double")
 
 
 def whole_text(x: Column) -> Column:
     """No decimals, ties to even, no grouping: 2.5 -> '2'."""
-    return F.format_number(x, "0")
+    return F.call_function("format_number", x, F.lit("0"))
 
 
 def exact_sum(x: Column) -> Column:

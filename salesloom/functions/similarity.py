@@ -1,10 +1,16 @@
 """Edit-distance predicates and the signatures that find candidates for them."""
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Workers need no copy of this package: the Arrow function travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_TYPO_LENGTH = 4
 
@@ -38,6 +44,41 @@ def typo_signatures(name: Column) -> Column:
     return F.when(F.length(name) >= MIN_TYPO_LENGTH, F.array_distinct(F.concat(short, dropped))).otherwise(short)
 
 
+def affix_keys(name: Column) -> Column:
+    """First two and last two letters, plus the outer letters of a four-letter name.
+
+    One keystroke touches only one end of a name of five letters or more; in a four-letter name a swap
+    in the middle leaves the outer letters. So names that `one_keystroke` accepts share a key here too:
+    fewer and coarser keys than `typo_signatures`, for groups of bounded size.
+    """
+    head = F.concat(F.lit("<"), F.substring(name, 1, 2))
+    tail = F.concat(F.lit(">"), F.substring(name, -2, 2))
+    outer = F.when(F.length(name) == 4, F.concat(F.lit("="), F.substring(name, 1, 1), F.substring(name, -1, 1)))
+    return F.filter(F.array(head, tail, outer), lambda k: k.isNotNull())
+
+
+def ratio_pieces(text: Column) -> Column:
+    """Two-letter pieces of which at least one survives in every text with an indel ratio of 85 or more.
+
+    Such a partner lies within 0.15 * (la + lb) insertions and deletions and has at most 1.15 / 0.85
+    times the length, so at most floor(la * 0.3 / 0.85) operations apart. Each of them breaks at most one
+    of the disjoint pieces, so one piece more than that is enough. Texts of up to three letters have too
+    few pieces and share one common key with the short partners they can have.
+    """
+    size = F.length(text)
+    needed = F.floor(size * 30 / 85).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), needed - 1), lambda i: F.substring(text, i * 2 + 1, F.lit(2)))
+    return F.when(size <= 3, F.array(F.lit("short"))).otherwise(F.array_distinct(cut))
+
+
+def all_pieces(text: Column) -> Column:
+    """Every two-letter piece, the counterpart of `ratio_pieces`."""
+    size = F.length(text)
+    cut = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(text, i, F.lit(2)))
+    pieces = F.when(size >= 2, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    return F.concat(pieces, F.when(size <= 4, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))
+
+
 def may_reach_ratio(a: Column, b: Column, percent: float) -> Column:
     """Cheap necessary condition for `indel_ratio(a, b) >= percent`, from the plain edit distance."""
     total = F.length(a) + F.length(b)
@@ -57,7 +98,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Similarity 0..100 from insertions and deletions only; NULL when a side is NULL."""
     for left, right in batches:

@@ -1,10 +1,11 @@
 """Duplicate people: same e-mail, or matching names with evidence inside one company.
 
 Every pair is directed from the newer record to the older one. Groups that are cliques by definition
-(one e-mail address, or one name without any e-mail inside one company) are written pair by pair up to
-`clique_limit` members. A larger clique is written as one link per member to its oldest member, which
-says the same in n-1 rows: all its members are pairwise duplicates. `clique_sizes` gives the exact
-number of pairs such a clique stands for and `expand_cliques` lists them for chosen leads.
+(one e-mail address; or one name inside one company, without e-mails or with one local part) are
+written pair by pair up to `clique_limit` members. A larger clique is written as one link per member to
+its oldest member, which says the same in n-1 rows: all its members are pairwise duplicates, and what
+its oldest member matches, they match. `clique_sizes` gives the exact number of pairs such a clique
+stands for and `expand_cliques` lists them for chosen leads.
 """
 
 from dataclasses import dataclass
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 
 from salesloom.config import EMAIL_LOCAL_THRESHOLD
 from salesloom.functions.numbers import whole_text
-from salesloom.functions.similarity import indel_ratio, may_reach_ratio, one_keystroke, typo_signatures
+from salesloom.functions.similarity import (
+    affix_keys, all_pieces, indel_ratio, may_reach_ratio, one_keystroke, ratio_pieces, typo_signatures,
+)
 from salesloom.functions.text import (
     canonical_first, email_local_key, fold, normalize_company, normalize_email, normalize_phone,
 )
+from salesloom.sources.storage import written
 
 CLIQUE_LIMIT = 1000
 HEAVY_BLOCK = 2000
@@ -48,22 +52,32 @@ def people(leads: DataFrame) -> DataFrame:
         normalize_email(F.col("email")).alias("email"),
         phone.alias("phone"),
     )
-    return base.withColumn("email_key", email_local_key(F.col("email")))
+    return (base.withColumn("email_key", email_local_key(F.col("email")))
+            .withColumn("local_part", F.coalesce("email_key", F.lit("\x1fnone")))  # never NULL, so it can be a key
+            .withColumn("first_formal", canonical_first(F.col("first")))
+            .withColumn("last_formal", canonical_first(F.col("last"))))  # a last name may be a first name in the wrong field
 
 
-def first_names_match(a: Column, b: Column) -> Column:
+def first_names_match(a: Column, b: Column, formal_a: Column, formal_b: Column) -> Column:
     present = (a != "") & (b != "")
-    return present & ((a == b) | (canonical_first(a) == canonical_first(b)) | one_keystroke(a, b))
+    return present & ((a == b) | (formal_a == formal_b) | one_keystroke(a, b))
 
 
 def last_names_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | one_keystroke(a, b))
 
 
-def name_reason(first_a: Column, last_a: Column, first_b: Column, last_b: Column) -> Column:
-    """Why two names are one person, `a` being the older record; NULL when they are not."""
-    straight = first_names_match(first_a, first_b) & last_names_match(last_a, last_b)
-    crosswise = first_names_match(first_a, last_b) & last_names_match(last_a, first_b)
+def name_reason(first_a: Column, last_a: Column, first_b: Column, last_b: Column, formal_a: Column | None = None,
+                formal_b: Column | None = None, formal_last_b: Column | None = None) -> Column:
+    """Why two names are one person, `a` being the older record; NULL when they are not.
+
+    The formal names may be given where they are stored already.
+    """
+    formal_a = canonical_first(first_a) if formal_a is None else formal_a
+    formal_b = canonical_first(first_b) if formal_b is None else formal_b
+    formal_last_b = canonical_first(last_b) if formal_last_b is None else formal_last_b
+    straight = first_names_match(first_a, first_b, formal_a, formal_b) & last_names_match(last_a, last_b)
+    crosswise = first_names_match(first_a, last_b, formal_a, formal_last_b) & last_names_match(last_a, first_b)
     return (
         F.when(straight & (first_a == first_b) & (last_a == last_b), "same name")
         .when(straight, "matching name")
@@ -97,28 +111,72 @@ def _email_pairs(persons: DataFrame, limit: int) -> DataFrame:
 
 
 NAME_KEY = ["block", "first", "last"]
+TWIN_KEY = [*NAME_KEY, "local_part"]
+
 
+def _named(persons: DataFrame) -> DataFrame:
+    return persons.filter((F.col("first") != "") & (F.col("last") != ""))
 
-def _nameless_email_cliques(persons: DataFrame, limit: int) -> DataFrame:
-    """Same name, same company and no e-mail at all: every two of them match, whatever their phones."""
-    unaddressed = persons.filter(F.col("email").isNull() & (F.col("first") != "") & (F.col("last") != ""))
-    return _cliques(unaddressed, NAME_KEY).filter(F.col("members") > limit)
+
+def _twin_cliques(persons: DataFrame, limit: int) -> DataFrame:
+    """Same name and company, and either no e-mail at all or the same local part: every two of them match."""
+    return _cliques(_named(persons), TWIN_KEY).filter(F.col("members") > limit)
 
 
 def _clique_links(persons: DataFrame, large: DataFrame) -> DataFrame:
-    """One link per member of a large e-mail-less clique to its oldest member."""
-    members = persons.filter(F.col("email").isNull()).join(large, NAME_KEY)
-    oldest = (members.filter(F.col("age") == F.col("oldest"))
-              .select(*NAME_KEY, F.col("phone").alias("phone_old")))
+    """One link per member of a large twin clique to its oldest member."""
+    members = _named(persons).join(large, TWIN_KEY)
+    oldest = members.filter(F.col("age") == F.col("oldest")).select(
+        F.col("lead_id").alias("related_lead_id"), F.col("phone").alias("phone_old"), F.col("email").alias("email_old"))
+    rest = members.filter(F.col("age") > F.col("oldest")).join(oldest, F.col("oldest.id") == F.col("related_lead_id"))
     same_phone = F.coalesce(F.col("phone") == F.col("phone_old"), F.lit(False))
-    return (members.filter(F.col("age") > F.col("oldest")).join(oldest, NAME_KEY)
-            .select("lead_id", F.col("oldest.id").alias("related_lead_id"),
-                    F.when(same_phone, "same name and same phone at same company")
-                    .otherwise("same name at same company, email missing on one record").alias("reason")))
+    reason = (F.when(F.col("email").isNotNull(), "same name and similar email (100) at same company")
+              .when(same_phone, "same name and same phone at same company")
+              .otherwise("same name at same company, email missing on one record"))
+    other_address = F.col("email").isNull() | (F.col("email") != F.col("email_old"))
+    return rest.filter(other_address).select("lead_id", "related_lead_id", reason.alias("reason"))
+
+
+PERSON = ["block", "lead_id", "age", "first", "last", "first_formal", "last_formal", "email", "phone", "email_key"]
+
+
+def _supported(pairs: DataFrame, why: Column) -> DataFrame:
+    """Name matches that can still have evidence, once per pair."""
+    both = F.col("email_old").isNotNull() & F.col("email_new").isNotNull()
+    covered = F.coalesce(F.col("email_old") == F.col("email_new"), F.lit(False))  # the e-mail rule reports these
+    same_phone = F.coalesce(F.col("phone_old") == F.col("phone_new"), F.lit(False))
+    possible = ~covered & (~both | same_phone
+                           | may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD))
+    return (
+        pairs.filter((F.col("age_old") < F.col("age_new")) & possible)
+        .withColumn("why", why).filter(F.col("why").isNotNull())
+        .select("lead_id_new", "lead_id_old", "why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
+                F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b"))
+        .dropDuplicates(["lead_id_new", "lead_id_old"])
+    )
+
+
+def _why(old: str = "_old", new: str = "_new") -> Column:
+    return name_reason(F.col(f"first{old}"), F.col(f"last{old}"), F.col(f"first{new}"), F.col(f"last{new}"),
+                       F.col(f"first_formal{old}"), F.col(f"first_formal{new}"), F.col(f"last_formal{new}"))
+
+
+def _light_candidates(persons: DataFrame) -> DataFrame:
+    """Blocks of bounded size: two or three short name keys per record.
+
+    Straight matches share a key of their last names; crosswise matches share one between the older
+    last name and the newer first name.
+    """
+    older = persons.withColumn("key", F.explode(affix_keys(F.col("last"))))
+    newer = persons.withColumn("key", F.explode(F.array_union(affix_keys(F.col("last")), affix_keys(F.col("first")))))
+    old, new = _renamed(older, "old", ["key", *PERSON]), _renamed(newer, "new", ["key", *PERSON])
+    joined = old.join(new, (F.col("block_old") == F.col("block_new")) & (F.col("key_old") == F.col("key_new"))
+                      & (F.col("age_old") < F.col("age_new")))
+    return _supported(joined, _why())
 
 
-def _with_nickname(name: Column) -> Column:
-    return F.array_union(typo_signatures(name), F.array(canonical_first(name)))
+def _with_nickname(name: str) -> Column:
+    return F.array_union(typo_signatures(F.col(name)), F.array(F.col(f"{name}_formal")))
 
 
 def _pairs_of(left: Column, right: Column) -> Column:
@@ -126,68 +184,55 @@ def _pairs_of(left: Column, right: Column) -> Column:
     return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("\x1f"), b))))
 
 
-def _evidence_tags(newer: bool) -> Column:
-    """Which kinds of evidence a record can give: a phone, a missing e-mail on either side, an e-mail."""
+def _matching_names(persons: DataFrame) -> DataFrame:
+    """Pairs of distinct names inside a block that match, the first one taken as the older record's.
+
+    Works on distinct names, so records sharing one name cost one row here. A key holds a signature
+    of both names: a frequent last name alone joins nothing.
+    """
+    fields = [*NAME_KEY, "first_formal", "last_formal"]
+    names = persons.select(*fields).distinct()
+    old_keys = _pairs_of(typo_signatures(F.col("last")), _with_nickname("first"))
+    new_keys = F.array_union(old_keys, _pairs_of(typo_signatures(F.col("first")), _with_nickname("last")))
+    old = _renamed(names.withColumn("key", F.explode(old_keys)), "old", ["key", *fields])
+    new = _renamed(names.withColumn("key", F.explode(new_keys)), "new", ["key", *fields])
+    joined = old.join(new, (F.col("block_old") == F.col("block_new")) & (F.col("key_old") == F.col("key_new")))
+    return (joined.withColumn("name_why", _why()).filter(F.col("name_why").isNotNull())
+            .select(F.col("block_old").alias("block"), "first_old", "last_old", "first_new", "last_new", "name_why").distinct())
+
+
+def _evidence_keys(newer: bool) -> Column:
+    """What a record can be matched on beside its name: phone, a missing e-mail on one side, pieces of its e-mail."""
     has_email = F.col("email").isNotNull()
     tags = F.array(
-        F.when(F.col("phone").isNotNull(), F.concat(F.lit("p"), F.col("phone"))),
+        F.when(F.col("phone").isNotNull(), F.concat(F.lit("phone "), F.col("phone"))),
         F.when(F.lit(newer) | ~has_email, F.lit("older lacks e-mail")),
         F.when(F.lit(not newer) | ~has_email, F.lit("newer lacks e-mail")),
-        F.when(has_email, F.lit("both have e-mail")),
     )
-    return F.filter(tags, lambda t: t.isNotNull())
-
+    pieces = ratio_pieces(F.col("email_key")) if newer else all_pieces(F.col("email_key"))
+    mail = F.when(has_email, F.transform(pieces, lambda t: F.concat(F.lit("mail "), t)))
+    return F.concat(F.filter(tags, lambda t: t.isNotNull()), F.coalesce(mail, F.array().cast("array<string>")))
 
-def _keyed_sides(persons: DataFrame, heavy: bool) -> tuple[DataFrame, DataFrame]:
-    """Both join sides with one row per candidate key.
 
-    Straight matches share a last-name signature; crosswise matches share one between the older
-    last name and the newer first name. In a heavy block the key also holds a first-name signature
-    and the evidence, so that a frequent last name or a frequent phone alone joins nothing.
-    """
-    first, last = F.col("first"), F.col("last")
-    if not heavy:
-        old_keys = typo_signatures(last)
-        new_keys = F.array_union(typo_signatures(last), typo_signatures(first))
-        return persons.withColumn("key", F.explode(old_keys)), persons.withColumn("key", F.explode(new_keys))
-    old_names = _pairs_of(typo_signatures(last), _with_nickname(first))
-    new_names = F.array_union(old_names, _pairs_of(typo_signatures(first), _with_nickname(last)))
-    older = persons.withColumn("name_key", F.explode(old_names)).withColumn("tag", F.explode(_evidence_tags(False)))
-    newer = persons.withColumn("name_key", F.explode(new_names)).withColumn("tag", F.explode(_evidence_tags(True)))
-    key = F.concat(F.col("name_key"), F.lit("\x1f"), F.col("tag"))
-    return (older.withColumn("key", key).drop("name_key", "tag"),
-            newer.withColumn("key", key).drop("name_key", "tag"))
-
-
-SIDE = ["block", "key", "lead_id", "age", "first", "last", "email", "phone", "email_key"]
-
-
-def _candidates(persons: DataFrame, heavy: bool) -> DataFrame:
-    """Name matches that can still have evidence, once per pair."""
-    older, newer = _keyed_sides(persons, heavy)
-    old, new = _renamed(older, "old", SIDE), _renamed(newer, "new", SIDE)
-    joined = old.join(new, (F.col("block_old") == F.col("block_new")) & (F.col("key_old") == F.col("key_new"))
-                      & (F.col("age_old") < F.col("age_new")))
-    both = F.col("email_old").isNotNull() & F.col("email_new").isNotNull()
-    covered = F.coalesce(F.col("email_old") == F.col("email_new"), F.lit(False))  # the e-mail rule reports these
-    same_phone = F.coalesce(F.col("phone_old") == F.col("phone_new"), F.lit(False))
-    possible = ~covered & (~both | same_phone
-                           | may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD))
-    why = name_reason(F.col("first_old"), F.col("last_old"), F.col("first_new"), F.col("last_new"))
-    return (
-        joined.filter(possible).withColumn("why", why).filter(F.col("why").isNotNull())
-        .select("lead_id_new", "lead_id_old", "why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
-                F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b"))
-        .dropDuplicates(["lead_id_new", "lead_id_old"])
-    )
+def _heavy_candidates(persons: DataFrame) -> DataFrame:
+    """Very large blocks: match distinct names first, then records on name and evidence together."""
+    names = _matching_names(persons)
+    old = _renamed(persons.withColumn("key", F.explode(_evidence_keys(newer=False))), "old", ["key", *PERSON])
+    new = _renamed(persons.withColumn("key", F.explode(_evidence_keys(newer=True))), "new", ["key", *PERSON])
+    named = old.join(names, (F.col("block_old") == names["block"]) & (old["first_old"] == names["first_old"])
+                     & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"])
+    joined = named.join(new, (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
+                        & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new"))
+                        & (F.col("age_old") < F.col("age_new")))
+    return _supported(joined, F.col("name_why"))
 
 
 def _name_pairs(persons: DataFrame, heavy_block: int) -> DataFrame:
-    named = persons.filter((F.col("first") != "") & (F.col("last") != ""))
+    named = _named(persons)
     sizes = named.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     heavy = sizes.filter(F.col("size") > heavy_block).select("block")
-    light_pairs = _candidates(named.join(heavy, "block", "left_anti"), heavy=False)
-    heavy_pairs = _candidates(named.join(heavy, "block", "left_semi"), heavy=True)
+    light_pairs = _light_candidates(named.join(heavy, "block", "left_anti"))
+    heavy_pairs = _heavy_candidates(named.join(heavy, "block", "left_semi"))
     scored = light_pairs.unionByName(heavy_pairs).withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
     reason = (
         F.when(F.col("ratio") >= EMAIL_LOCAL_THRESHOLD,
@@ -202,38 +247,40 @@ def _name_pairs(persons: DataFrame, heavy_block: int) -> DataFrame:
 
 def find_duplicates(leads: DataFrame, clique_limit: int = CLIQUE_LIMIT, heavy_block: int = HEAVY_BLOCK) -> Duplicates:
     """Directed duplicate pairs of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
-    persons = people(leads)
-    large_names = _nameless_email_cliques(persons, clique_limit)
-    # Of a large e-mail-less clique only the oldest member meets other records; the links stand for the rest.
-    standing = persons.join(large_names.select(*NAME_KEY, "oldest"), NAME_KEY, "left").filter(
-        F.col("oldest").isNull() | F.col("email").isNotNull() | (F.col("age") == F.col("oldest"))).drop("oldest")
+    persons = written(people(leads), "people")  # read by every rule below; the normalizers run once
+    twins = _twin_cliques(persons, clique_limit)
+    # Of a large twin clique only the oldest member meets other records; the links stand for the rest.
+    standing = persons.join(twins, TWIN_KEY, "left").filter(
+        F.col("members").isNull() | (F.col("age") == F.col("oldest"))).drop("members", "oldest")
     pairs = (_email_pairs(persons, clique_limit)
              .unionByName(_name_pairs(standing, heavy_block))
-             .unionByName(_clique_links(persons, large_names)))
-    return Duplicates(pairs, clique_sizes(persons, clique_limit, large_names))
+             .unionByName(_clique_links(persons, twins)))
+    return Duplicates(pairs, clique_sizes(persons, clique_limit, twins))
 
 
-def clique_sizes(persons: DataFrame, limit: int, large_names: DataFrame) -> DataFrame:
-    """Exact pair counts of the cliques written as links."""
+def clique_sizes(persons: DataFrame, limit: int, twins: DataFrame) -> DataFrame:
+    """Members and exact pair counts of the cliques written as links."""
     large_emails = _cliques(persons.filter(F.col("email").isNotNull()), ["email"]).filter(F.col("members") > limit)
     pairs = (F.col("members") * (F.col("members") - 1) / 2).cast("bigint").alias("pairs")
+    local = F.when(F.col("local_part") == "\x1fnone", "without e-mail").otherwise(F.concat(F.lit("with e-mail "), F.col("local_part")))
     return (
-        large_emails.select(F.concat(F.lit("email:"), F.col("email")).alias("clique"),
+        large_emails.select(F.concat(F.lit("email "), F.col("email")).alias("clique"),
                             F.col("oldest.id").alias("oldest_lead_id"), "members", pairs)
-        .unionByName(large_names.select(F.concat_ws(" ", F.lit("name:"), "first", "last", F.lit("in"), "block").alias("clique"),
-                                        F.col("oldest.id").alias("oldest_lead_id"), "members", pairs)))
+        .unionByName(twins.select(F.concat_ws(" ", F.lit("name"), "first", "last", F.lit("at"), "block", local).alias("clique"),
+                                  F.col("oldest.id").alias("oldest_lead_id"), "members", pairs)))
 
 
 def expand_cliques(leads: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All same-address and same-name-without-address partners of the `chosen(lead_id)` leads, older and newer.
+    """All partners the `chosen(lead_id)` leads have in their cliques, newer to older.
 
     Output grows with the chosen leads times their group, never with a whole group squared.
     """
     persons = people(leads)
-    asked = persons.join(chosen.select("lead_id").distinct(), "lead_id", "left_semi")
-    by_email = _partners(asked.filter(F.col("email").isNotNull()), persons.filter(F.col("email").isNotNull()), ["email"])
-    named = (F.col("first") != "") & (F.col("last") != "") & F.col("email").isNull()
-    by_name = _partners(asked.filter(named), persons.filter(named), NAME_KEY)
+    wanted = chosen.select("lead_id").distinct()
+    with_email = persons.filter(F.col("email").isNotNull())
+    by_email = _partners(with_email.join(wanted, "lead_id", "left_semi"), with_email, ["email"])
+    twin = _named(persons)
+    by_name = _partners(twin.join(wanted, "lead_id", "left_semi"), twin, TWIN_KEY)
     return by_email.unionByName(by_name).distinct()
 
 
