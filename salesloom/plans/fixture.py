@@ -56,7 +56,7 @@ SELECT printf('CO-%05d', s_suppkey + 1) AS company_id,
             ELSE concat('firm', CAST(s_suppkey AS VARCHAR(20)), '.com') END AS domain,
        {_pick('(s_suppkey % 10)', INDUSTRIES)} AS industry,
        CASE WHEN s_suppkey % 13 = 12 THEN NULL WHEN s_suppkey % 13 = 11 THEN 0
-            ELSE CAST((s_suppkey * 37) % 8000 + 5 AS INT) END AS employees,
+            ELSE CAST((s_suppkey * 373) % 8000 + 5 AS INT) END AS employees,
        {_pick('(s_suppkey % 7)', COUNTRIES)} AS country,
        TIMESTAMP '2022-03-01 00:00:00' AS created_at
 FROM supplier"""
