@@ -31,14 +31,20 @@ def is_id(text: Column) -> Column:
 def real_text(x: Column) -> Column:
     """A float as written in answers: two decimals at most, at least one."""
     rounded = F.bround(x, 2)
-    return F.when(rounded == F.floor(rounded), F.format_string("%.1f", rounded)).otherwise(
+    short = F.when(rounded == F.floor(rounded), F.format_string("%.1f", rounded)).otherwise(
         F.regexp_replace(F.format_string("%.2f", rounded), "0$", ""))
+    return F.when(x.isNotNull(), short)
 
 
 def cell_text(cell: Column) -> Column:
     return F.coalesce(cell["text"], cell["whole"].cast("string"), real_text(cell["real"]))
 
 
+def _id_cells(name: str, ids: Column) -> Column:
+    return F.transform(F.filter(ids, is_id), lambda v: F.struct(
+        F.lit(name).alias("name"), v.alias("text"), F.lit(None).cast("bigint").alias("whole"), F.lit(None).cast("double").alias("real")))
+
+
 def to_cells(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The columns of a row as cells; timestamps to the minute, list columns as one cell per text."""
     cells = []
@@ -60,9 +66,7 @@ def to_cells(df: DataFrame, columns: list[str] | None = None) -> Column:
         elif isinstance(kind, (DoubleType, FloatType)):
             real = col
         elif isinstance(kind, ArrayType):
-            cells.append(F.transform(F.filter(col, is_id), lambda v, n=field.name: F.struct(
-                F.lit(n).alias("name"), v.alias("text"), F.lit(None).cast("bigint").alias("whole"),
-                F.lit(None).cast("double").alias("real"))))
+            cells.append(_id_cells(field.name, col))
             continue
         cells.append(F.array(F.struct(F.lit(field.name).alias("name"), text.cast("string").alias("text"),
                                       whole.cast("bigint").alias("whole"), real.cast("double").alias("real"))))
