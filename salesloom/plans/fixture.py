@@ -149,3 +149,99 @@ def crm_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for table in sources:
         text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
     return spark.sql(text, **{table: given_table(spark, sf_dir, table) for table in sources})
+
+
+# ------------------------------------------------------------------ inputs of the other operators
+
+# A CRM export as text, one row per customer: known and new companies, several number and date formats, bad values.
+EXPORT_SQL = f"""
+SELECT c_custkey + 2 AS row_no,
+       CASE WHEN c_custkey % 31 = 4 THEN '' ELSE {_pick("(c_custkey % 18)", FIRST_NAMES)} END AS first_name,
+       CASE WHEN c_custkey % 31 = 4 THEN '' ELSE concat(' ', {_pick("(c_custkey % 23)", LAST_NAMES)}) END AS last_name,
+       CASE WHEN c_custkey % 31 IN (4, 5) THEN '' WHEN c_custkey % 31 = 6 THEN 'bad@' WHEN c_custkey % 31 = 7 THEN 'two words@x.com'
+            ELSE concat('person', CAST(c_custkey AS VARCHAR(20)), '@export.com ') END AS email,
+       CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(4155550000 + c_custkey AS VARCHAR(20)) END AS phone,
+       coalesce({_pick("(c_custkey % 11)", TITLES)}, '') AS title,
+       CASE WHEN c_custkey % 37 = 8 THEN ' ' WHEN c_custkey % 4 = 0 THEN concat('firm ', CAST(c_custkey % 40 AS VARCHAR(20)), ' systems inc')
+            WHEN c_custkey % 4 = 1 THEN 'Hot Company' ELSE concat('New Co ', CAST(CAST(floor(c_custkey / 9) AS BIGINT) % 200 AS VARCHAR(20))) END AS company,
+       CASE WHEN c_custkey % 5 = 0 THEN concat('https://www.Firm', CAST(c_custkey % 150 AS VARCHAR(20)), '.com/')
+            WHEN c_custkey % 5 = 1 THEN concat('newco', CAST(CAST(floor(c_custkey / 11) AS BIGINT) % 90 AS VARCHAR(20)), '.io') ELSE '' END AS domain,
+       {_pick("(c_custkey % 6)", ["Computer Software", "banking", "Mining", "", "Retail", "Media"])} AS industry,
+       {_pick("(c_custkey % 8)", ["51-200", "1,200", "10+", "", "many", "7", "900", "5000+"])} AS employees,
+       {_pick("(c_custkey % 6)", ["United Kingdom", "usa", "Deutschland", "Spain", "", "FR"])} AS country,
+       {_pick("(c_custkey % 7)", ["Open Deal", "Closed - Converted", "Unqualified", "Nurture", "", "MQL", "in progress"])} AS stage,
+       {_pick("(c_custkey % 6)", ["Organic Search", "Word of mouth", "", "Trade Show", "PARTNER", "???"])} AS source,
+       {_pick("(c_custkey % 3)", ["Maya Chen", "", "Ravi Kumar"])} AS owner,
+       {_pick("(c_custkey % 9)", ["$12,500.00", "", "99.5", "€ 1 000", "TBD", "0", "1500+", "20-40", "7"])} AS deal_value,
+       {_pick("(c_custkey % 7)", ["2023-11-02", "", "11/20/2023", "2023-12-24 08:30", "not a date", "2024-03-01", "2023-10-05T06:07:08Z"])} AS created_at,
+       {_pick("(c_custkey % 5)", ["", "1/5/2024", "2024-01-20 10:11:12", "12/31/2023 11:59 pm", "2024-01-25"])} AS last_contacted_at
+FROM customer"""
+
+# Proposed changes, one per tenth lead; some break a rule.
+PROPOSALS_SQL = f"""
+SELECT c_custkey AS proposal_id,
+       {_pick("(CAST(floor(c_custkey / 10) AS BIGINT) % 3)", ["stage_change", "outreach", "merge"])} AS type,
+       CASE WHEN c_custkey % 70 = 60 THEN printf('LD-%05d,LD-%05d', c_custkey + 1, c_custkey + 900001)
+            WHEN c_custkey % 110 = 100 THEN printf('LD-%05d,LD-%05d', c_custkey + 1, c_custkey + 1)
+            WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 3 = 0 AND c_custkey % 4 = 0 THEN printf('LD-%05d', c_custkey + 1)
+            WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 5 = 4 THEN printf('LD-%05d,LD-%05d,LD-%05d', c_custkey + 1, c_custkey + 2, c_custkey + 11)
+            ELSE printf('LD-%05d,LD-%05d', c_custkey + 2, c_custkey + 1) END AS lead_list,
+       CASE CAST(floor(c_custkey / 10) AS BIGINT) % 3
+            WHEN 0 THEN CASE WHEN c_custkey % 130 = 0 THEN '{{{{"stage":"bogus"}}}}' ELSE '{{{{"stage":"won"}}}}' END
+            WHEN 1 THEN CASE WHEN c_custkey % 140 = 10 THEN '{{{{"subject":" ","body":"x"}}}}' ELSE '{{{{"subject":"Hi","body":"Checking in."}}}}' END
+            ELSE CASE WHEN c_custkey % 150 = 20 THEN '{{{{"primary_id":"LD-00000"}}}}' WHEN c_custkey % 60 = 20 THEN '{{{{}}}}'
+                      ELSE printf('{{{{"primary_id":"LD-%05d"}}}}', c_custkey + 1) END END AS payload_json,
+       'alice' AS actor, CASE WHEN c_custkey % 20 = 0 THEN 'please check' END AS note
+FROM customer WHERE c_custkey % 10 = 0"""
+
+# Decisions on the actions made from these proposals; some actions are decided twice.
+DECISIONS_SQL = f"""
+SELECT printf('AX-%05d', c_custkey + 1) AS action_id,
+       CASE WHEN c_custkey % 4 = 3 THEN 'rejected' ELSE 'approved' END AS verdict,
+       CASE WHEN c_custkey % 2 = 0 THEN 'bob' ELSE 'carol' END AS actor,
+       CASE WHEN c_custkey % 6 = 3 THEN 'not yet' END AS note,
+       {AS_OF_TEXT} + INTERVAL '1' HOUR * (c_custkey % 50) AS at
+FROM customer
+UNION ALL
+SELECT printf('AX-%05d', c_custkey + 1), 'rejected', 'dan', NULL, {AS_OF_TEXT} + INTERVAL '25' HOUR
+FROM customer WHERE c_custkey % 5 = 0"""
+
+# Calls of a ledger, one per event.
+LEDGER_SQL = """
+SELECT concat(substr(CAST(ts AS VARCHAR(40)), 1, 10), 'T', substr(CAST(ts AS VARCHAR(40)), 12, 8), '+00:00') AS at,
+       'provider' AS provider, 'model' AS model,
+       CASE event_type WHEN 'click' THEN 'ask' WHEN 'view' THEN 'explain' WHEN 'purchase' THEN 'draft' ELSE '' END AS purpose,
+       event_type <> 'error' AS ok,
+       CAST(floor(value) AS BIGINT) AS total_tokens, user_id % 3 AS rate_limit_retries, event_id % 5000 AS latency_ms,
+       CASE WHEN event_type = 'error' THEN concat('timeout ', CAST(event_id % 7 AS VARCHAR(20))) END AS error
+FROM events"""
+
+# Graded answers of three runs, one per event: question = user, run = event modulo 3.
+RESULTS_SQL = """
+SELECT printf('Q%05d', user_id) AS question_id, event_id % 3 AS run_id, event_type AS category,
+       CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'rules' ELSE 'llm' END AS source,
+       (user_id % 10 = 0 OR (event_id + user_id) % 9 > 1) AND user_id % 13 <> 12 AS passed,
+       event_id % 4 <> 0 AS answered, event_id % 11 <> 10 AS valid, event_id % 3 + 1 AS sql_attempts, event_id % 2 + 1 AS answer_attempts,
+       CASE event_id % 5 WHEN 0 THEN 'template' WHEN 1 THEN 'rules' ELSE 'none' END AS fallback,
+       (event_id * 7919) % 10007 AS latency_ms, (event_id % 6) * 100 AS backoff_ms, event_id % 900 AS tokens, event_id % 2 AS rate_limited
+FROM events"""
+
+# Known copies in the lead view and what kind of copy each is.
+TRUTH_SQL = """
+SELECT printf('LD-%05d', c_custkey) AS a, printf('LD-%05d', c_custkey + 1) AS b,
+       concat('kind ', CAST(CAST(floor(c_custkey / 25) AS BIGINT) % 6 AS VARCHAR(20))) AS kind
+FROM customer WHERE c_custkey % 25 = 24"""
+
+INPUT_SQL = {"export_rows": (EXPORT_SQL, "customer"), "proposals": (PROPOSALS_SQL, "customer"), "decisions": (DECISIONS_SQL, "customer"),
+             "ledger": (LEDGER_SQL, "events"), "results": (RESULTS_SQL, "events"), "truth": (TRUTH_SQL, "customer")}
+
+
+def input_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text, table = INPUT_SQL[name]
+    text = text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace(f"FROM {table}", f"FROM {{{table}}}")
+    return spark.sql(text, **{table: given_table(spark, sf_dir, table)})
+
+
+def plain_sql(name: str) -> str:
+    """The text of an input view for the SQL side."""
+    return INPUT_SQL[name][0].replace("{{", "{").replace("}}", "}")

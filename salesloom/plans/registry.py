@@ -8,6 +8,7 @@ from salesloom.operators.dedup import find_duplicates
 from salesloom.operators.quality import detect_issues, matching_view
 from salesloom.operators.scoring import score_leads
 from salesloom.plans import dashboard
+from salesloom.plans.jobs import JOBS
 from salesloom.plans.questions import METRICS, QUESTIONS, Plan
 from salesloom.plans.workspace import Workspace
 
@@ -39,4 +40,4 @@ def on_workspace(plan: Plan) -> Query:
     return lambda spark, sf_dir: plan(Workspace(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {name: on_workspace(plan) for name, plan in {**QUESTIONS, **METRICS, **DASHBOARD}.items()}
+QUERIES: dict[str, Query] = {name: on_workspace(plan) for name, plan in {**QUESTIONS, **METRICS, **DASHBOARD, **JOBS}.items()}

@@ -10,7 +10,7 @@ from salesloom.operators.scoring import score_leads
 from salesloom.plans.fixture import FIXTURE_AS_OF, crm_view
 from salesloom.sources.storage import shared_folder, written
 
-_STORED: dict[tuple[str, str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str, str], object] = {}
 
 
 @dataclass(frozen=True)
@@ -25,12 +25,16 @@ class Workspace:
     sf_dir: str
     as_of: datetime = FIXTURE_AS_OF
 
-    def _stored(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build):
+        """The result of `build`, made once per session and data set."""
         key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.sf_dir, name)
         if key not in _STORED:
-            _STORED[key] = written(build(), name)
+            _STORED[key] = build()
         return _STORED[key]
 
+    def _stored(self, name: str, build) -> DataFrame:
+        return self.once(name, lambda: written(build(), name))
+
     @property
     def companies(self) -> DataFrame:
         return self._stored("companies", lambda: crm_view(self.spark, self.sf_dir, "companies"))
