@@ -7,11 +7,35 @@ from salesloom.config import DATE_FORMATS, TITLE_LEVELS
 from salesloom.functions.text import strip
 
 
+SHAPES = (("yyyy", r"\d{4}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), ("H", r"\d{1,2}"), ("h", r"\d{1,2}"), ("m", r"\d{1,2}"),
+          ("s", r"\d{1,2}"), ("a", "[AaPp][Mm]"))
+
+
+def _shape(fmt: str) -> str:
+    """The look of a date format as a pattern: letters become digit runs, everything else stands for itself."""
+    out, rest = "", fmt.replace("'", "")
+    while rest:
+        for letters, pattern in SHAPES:
+            if rest.startswith(letters):
+                out, rest = out + pattern, rest[len(letters):]
+                break
+        else:
+            out, rest = out + rest[0], rest[1:]
+    return f"^{out}$"
+
+
 def parse_date(value: Column) -> Column:
-    """The first of the accepted date formats that fits, as a timestamp without zone."""
-    clean = strip(value)
-    tries = [F.try_to_timestamp(clean, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
-    return F.coalesce(*tries)
+    """The accepted date format that fits, as a timestamp without zone.
+
+    No two formats look alike, so the look picks the one to parse; a failed parse costs an exception.
+    """
+    clean = F.regexp_replace(strip(value), r"\s+", " ")
+    out = None
+    for fmt in DATE_FORMATS:
+        parsed = F.try_to_timestamp(clean, F.lit(fmt)).cast("timestamp_ntz")
+        fits = clean.rlike(_shape(fmt))
+        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
+    return out
 
 
 def parse_number(value: Column) -> Column:

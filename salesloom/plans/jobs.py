@@ -27,7 +27,7 @@ def export_rows(ws: Workspace) -> DataFrame:
 
 
 def judged(ws: Workspace) -> DataFrame:
-    return importing.outcomes(export_rows(ws), MAPPING, ws.as_of)
+    return ws.once("judged", lambda: written(importing.outcomes(export_rows(ws), MAPPING, ws.as_of), "judged"))
 
 
 def import_outcomes(ws: Workspace) -> DataFrame:
@@ -224,8 +224,9 @@ def found_pairs(ws: Workspace) -> DataFrame:
 
 
 def unseeded_pairs(ws: Workspace) -> DataFrame:
+    """Found pairs outside the truth when copies of one kind count as traps."""
     truth = input_view(ws.spark, ws.sf_dir, "truth")
-    return evaluate.false_positives(found_pairs(ws), truth, truth.limit(0))
+    return evaluate.false_positives(found_pairs(ws), truth.filter("kind <> 'kind 3'"), truth.filter("kind = 'kind 3'"))
 
 
 def results(ws: Workspace) -> DataFrame:
@@ -414,6 +415,7 @@ JOBS = {
     "cleaning_metrics": lambda ws: evaluate.cleaning_metrics(ws.data_issues, truth_rows(ws)),
     "recall_by_kind": lambda ws: evaluate.recall_by_kind(found_pairs(ws), input_view(ws.spark, ws.sf_dir, "truth")),
     "unseeded_pairs": unseeded_pairs,
+    "trap_hits": lambda ws: evaluate.trap_hits(found_pairs(ws), input_view(ws.spark, ws.sf_dir, "truth").filter("kind <> 'kind 1'")),
     "answer_table": answer_rows,
     "graded_answers": graded_counts,
     "run_summary": lambda ws: evaluate.run_summary(results(ws)),
