@@ -230,10 +230,13 @@ def _heavy_candidates(persons: DataFrame) -> DataFrame:
 def _name_pairs(persons: DataFrame, heavy_block: int) -> DataFrame:
     named = _named(persons)
     sizes = named.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    heavy = sizes.filter(F.col("size") > heavy_block).select("block")
-    light_pairs = _light_candidates(named.join(heavy, "block", "left_anti"))
-    heavy_pairs = _heavy_candidates(named.join(heavy, "block", "left_semi"))
-    scored = light_pairs.unionByName(heavy_pairs).withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
+    heavy = written(sizes.filter(F.col("size") > heavy_block).select("block"), "heavy-blocks")
+    if heavy.isEmpty():
+        candidates = _light_candidates(named)
+    else:
+        candidates = _light_candidates(named.join(heavy, "block", "left_anti")).unionByName(
+            _heavy_candidates(named.join(heavy, "block", "left_semi")))
+    scored = candidates.withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
     reason = (
         F.when(F.col("ratio") >= EMAIL_LOCAL_THRESHOLD,
                F.concat(F.col("why"), F.lit(" and similar email ("), whole_text(F.col("ratio")), F.lit(") at same company")))
@@ -248,7 +251,10 @@ def _name_pairs(persons: DataFrame, heavy_block: int) -> DataFrame:
 def find_duplicates(leads: DataFrame, clique_limit: int = CLIQUE_LIMIT, heavy_block: int = HEAVY_BLOCK) -> Duplicates:
     """Directed duplicate pairs of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
     persons = written(people(leads), "people")  # read by every rule below; the normalizers run once
-    twins = _twin_cliques(persons, clique_limit)
+    twins = written(_twin_cliques(persons, clique_limit), "large-cliques")
+    if twins.isEmpty():
+        pairs = _email_pairs(persons, clique_limit).unionByName(_name_pairs(persons, heavy_block))
+        return Duplicates(pairs, clique_sizes(persons, clique_limit, twins))
     # Of a large twin clique only the oldest member meets other records; the links stand for the rest.
     standing = persons.join(twins, TWIN_KEY, "left").filter(
         F.col("members").isNull() | (F.col("age") == F.col("oldest"))).drop("members", "oldest")

@@ -128,8 +128,11 @@ def perturbed_notes(ws: Workspace) -> DataFrame:
 
 
 def note_audit(ws: Workspace) -> DataFrame:
-    rows = notes.note_evidence(ws.leads, ws.companies, ws.activities, ws.lead_scores, ws.as_of)
-    verdicts = evidence.audit_texts(perturbed_notes(ws), rows)
+    # Texts and evidence are stored data for the audit, which reads both several times.
+    rows = ws.once("note-evidence", lambda: written(
+        notes.note_evidence(ws.leads, ws.companies, ws.activities, ws.lead_scores, ws.as_of), "evidence"))
+    texts = ws.once("note-texts", lambda: written(perturbed_notes(ws), "texts"))
+    verdicts = evidence.audit_texts(texts, rows)
     return verdicts.select("answer_id", "valid", F.array_join("unknown_ids", ",").alias("unknown_ids"),
                            F.array_join("unsupported_numbers", ",").alias("unsupported_numbers"), "reason")
 
