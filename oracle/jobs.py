@@ -1,5 +1,8 @@
 """SQL of the import, change, evidence, evaluation and event jobs."""
 
+import re
+
+from oracle.base import CTES as BASE
 from oracle.base import (
     FIT_WORDS, RECENCY_CASE, RECENCY_WORDS, SIZE_CASE, UNKNOWN_INDUSTRY, UNKNOWN_SENIORITY, case, email, in_list,
 )
@@ -172,6 +175,34 @@ SELECT run_id, count(*) AS total, count(*) FILTER (passed) AS passed, round(coun
        sum(backoff_ms) AS backoff_ms, sum(tokens) AS tokens, sum(rate_limited) AS rate_limited FROM results GROUP BY run_id""",
 }
 
+
+
+def over(names: dict[str, str], *chain: str) -> dict[str, str]:
+    """Base expressions repeated over other tables: every name in the chain gets the suffix of its source."""
+    suffix = next(iter(names.values())).rsplit("_", 1)[1]
+    renamed = {**names, **{c: f"{c}_{suffix}" for c in chain}}
+    out = {}
+    for c in chain:
+        body = BASE[c]
+        for old, new in renamed.items():
+            body = re.sub(rf"\b(FROM|JOIN)\s+{old}\b", rf"\1 {new}", body)
+        out[renamed[c]] = body
+    return out
+
+
+CTES["activities_after"] = "SELECT a.activity_id, coalesce(d.primary_id, a.lead_id) AS lead_id, a.type, a.occurred_at FROM activities a LEFT JOIN donors d ON d.lead_id = a.lead_id"
+CTES.update(over({"leads": "leads_after", "activities": "activities_after"}, "recent", "parts", "lead_scores"))
+CTES["leads_all"] = "SELECT lead_id, company_id, first_name, last_name, email, phone, title, stage, created_at, last_contacted_at FROM leads UNION ALL SELECT lead_id, company_id, first_name, last_name, email, phone, title, stage, created_at, last_contacted_at FROM new_leads"
+CTES["companies_all"] = "SELECT company_id, name FROM companies UNION ALL SELECT company_id, name FROM new_companies"
+CTES.update(over({"leads": "leads_all", "companies": "companies_all"}, "persons", "keyed", "compared", "rated", "duplicate_pairs", "issue_rows"))
+CTES["sides"] = """
+SELECT issue_type, lead_id FROM (SELECT issue_type, lead_id FROM issue_rows_all UNION ALL SELECT issue_type, related_lead_id FROM issue_rows_all WHERE related_lead_id IS NOT NULL)
+WHERE lead_id IN (SELECT lead_id FROM new_leads)"""
+PLAIN_QUESTION = "regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '^[\"'']+|[\"'']+$', '', 'g'), '\\s+', ' ', 'g'), '[\\s?.!]+$', '')"
+STORED = f"""
+SELECT kind, left(sha256(kind || chr(31) || 'v1' || chr(31) || {PLAIN_QUESTION}), 16) AS key, '{{{{"item_id":' || CAST(item_id AS VARCHAR) || '}}}}' AS payload
+FROM (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'ask' ELSE 'explain' END AS kind FROM benchmark)""".replace("{{", "{").replace("}}", "}")
+
 LIMITED = """
 RECURSIVE folded AS (
     SELECT key, event_id, rn, [t] AS hits, TRUE AS admitted, NULL::DOUBLE AS wait_seconds FROM ordered_hits WHERE rn = 1
@@ -302,5 +333,8 @@ SELECT {email('e')} AS email, count(*) AS n FROM (SELECT unnest(regexp_extract_a
     "document_folds": """
 SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[\\s\\x1c-\\x1f]+', ' ', 'g'))) AS digest FROM documents""",
 }
-EXTRA_CTES = CTES
+JOBS["executed_scores"] = "SELECT * FROM lead_scores_after"
+JOBS["import_issue_counts"] = COUNTS
+JOBS["exported_results"] = STORED
+JOBS["valid_results"] = STORED + " WHERE item_id % 5 <> 1"
 RECURSIVE = {"limit_flags": LIMIT_FLAGS, "stream_limit_flags": LIMIT_FLAGS}
