@@ -161,16 +161,25 @@ def _why(old: str = "_old", new: str = "_new") -> Column:
                        F.col(f"first_formal{old}"), F.col(f"first_formal{new}"), F.col(f"last_formal{new}"))
 
 
+def _keyed(df: DataFrame, keys: Column) -> DataFrame:
+    """One row per candidate key, the key being a hash of the block and the key text.
+
+    Size estimates do not see that the rows multiply here, so joins on `key` carry a merge hint: the
+    exploded side must never be taken for a small one and broadcast.
+    """
+    return df.withColumn("key", F.explode(keys)).withColumn("key", F.xxhash64("block", "key"))
+
+
 def _light_candidates(persons: DataFrame) -> DataFrame:
     """Blocks of bounded size: two or three short name keys per record.
 
     Straight matches share a key of their last names; crosswise matches share one between the older
     last name and the newer first name.
     """
-    older = persons.withColumn("key", F.explode(affix_keys(F.col("last"))))
-    newer = persons.withColumn("key", F.explode(F.array_union(affix_keys(F.col("last")), affix_keys(F.col("first")))))
+    older = _keyed(persons, affix_keys(F.col("last")))
+    newer = _keyed(persons, F.array_union(affix_keys(F.col("last")), affix_keys(F.col("first"))))
     old, new = _renamed(older, "old", ["key", *PERSON]), _renamed(newer, "new", ["key", *PERSON])
-    joined = old.join(new, (F.col("block_old") == F.col("block_new")) & (F.col("key_old") == F.col("key_new"))
+    joined = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new"))
                       & (F.col("age_old") < F.col("age_new")))
     return _supported(joined, _why())
 
@@ -194,9 +203,9 @@ def _matching_names(persons: DataFrame) -> DataFrame:
     names = persons.select(*fields).distinct()
     old_keys = _pairs_of(typo_signatures(F.col("last")), _with_nickname("first"))
     new_keys = F.array_union(old_keys, _pairs_of(typo_signatures(F.col("first")), _with_nickname("last")))
-    old = _renamed(names.withColumn("key", F.explode(old_keys)), "old", ["key", *fields])
-    new = _renamed(names.withColumn("key", F.explode(new_keys)), "new", ["key", *fields])
-    joined = old.join(new, (F.col("block_old") == F.col("block_new")) & (F.col("key_old") == F.col("key_new")))
+    old = _renamed(_keyed(names, old_keys), "old", ["key", *fields])
+    new = _renamed(_keyed(names, new_keys), "new", ["key", *fields])
+    joined = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new")))
     return (joined.withColumn("name_why", _why()).filter(F.col("name_why").isNotNull())
             .select(F.col("block_old").alias("block"), "first_old", "last_old", "first_new", "last_new", "name_why").distinct())
 
@@ -217,11 +226,11 @@ def _evidence_keys(newer: bool) -> Column:
 def _heavy_candidates(persons: DataFrame) -> DataFrame:
     """Very large blocks: match distinct names first, then records on name and evidence together."""
     names = _matching_names(persons)
-    old = _renamed(persons.withColumn("key", F.explode(_evidence_keys(newer=False))), "old", ["key", *PERSON])
-    new = _renamed(persons.withColumn("key", F.explode(_evidence_keys(newer=True))), "new", ["key", *PERSON])
+    old = _renamed(_keyed(persons, _evidence_keys(newer=False)), "old", ["key", *PERSON])
+    new = _renamed(_keyed(persons, _evidence_keys(newer=True)), "new", ["key", *PERSON])
     named = old.join(names, (F.col("block_old") == names["block"]) & (old["first_old"] == names["first_old"])
                      & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"])
-    joined = named.join(new, (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
+    joined = named.join(new.hint("merge"), (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
                         & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new"))
                         & (F.col("age_old") < F.col("age_new")))
     return _supported(joined, F.col("name_why"))
