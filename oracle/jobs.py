@@ -6,6 +6,7 @@ from oracle.base import CTES as BASE
 from oracle.base import (
     FIT_WORDS, RECENCY_CASE, RECENCY_WORDS, SIZE_CASE, UNKNOWN_INDUSTRY, UNKNOWN_SENIORITY, case, email, in_list,
 )
+from oracle.questions import DASHBOARD
 from salesloom.config import (
     ACTIVITY_HOOKS, ACTIVITY_LABELS, COUNTRY_CODES, EMAIL_PATTERN, INDUSTRY_CODES, INDUSTRY_POINTS, INTENT_WEIGHTS, SENIORITY_POINTS, SOURCE_CODES,
     STAGE_CODES,
@@ -333,6 +334,14 @@ SELECT {email('e')} AS email, count(*) AS n FROM (SELECT unnest(regexp_extract_a
     "document_folds": """
 SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[\\s\\x1c-\\x1f]+', ' ', 'g'))) AS digest FROM documents""",
 }
+JOBS["reexported_leads"] = """
+SELECT n.lead_id, count(*) AS same_email, count(*) FILTER (coalesce(n.company_id, '') = coalesce(o.company_id, '')) AS same_company
+FROM leads n JOIN leads o ON lower(trim(o.email)) = lower(trim(n.email))
+WHERE (CAST(substr(n.lead_id, 4) AS INT) - 1) % 25 = 24 AND (CAST(substr(o.lead_id, 4) AS INT) - 1) % 25 <> 24 AND trim(n.email) <> '' GROUP BY 1"""
+JOBS["overview_with_actions"] = DASHBOARD["overview_totals"].replace(
+    "(SELECT count(DISTINCT lead_id) FROM data_issues) AS leads_with_issues)",
+    "(SELECT count(DISTINCT lead_id) FROM data_issues) AS leads_with_issues, (SELECT count(*) FROM decided WHERE status = 'pending') AS pending_actions)")
+JOBS["health_counts"] = "SELECT (SELECT count(*) FROM leads) AS leads, (SELECT count(*) FROM benchmark) AS entries, TRUE AS ready"
 JOBS["executed_scores"] = "SELECT * FROM lead_scores_after"
 JOBS["import_issue_counts"] = COUNTS
 JOBS["exported_results"] = STORED

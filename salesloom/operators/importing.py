@@ -226,6 +226,20 @@ def issue_counts(issues: DataFrame, lead_ids: DataFrame) -> DataFrame:
     return kinds.join(hit, "issue_type", "left").select("issue_type", F.coalesce("leads", F.lit(0)).alias("leads"))
 
 
+def attachment_check(new_leads: DataFrame, old_leads: DataFrame) -> DataFrame:
+    """Re-exported leads: per new lead the older leads with its e-mail, and how many of them have its company.
+
+    Older leads are counted per (e-mail, company) first, so an address many leads share joins as a few rows.
+    """
+    address = F.lower(strip(F.col("email"))).alias("_email")
+    old = old_leads.select(address, F.coalesce("company_id", F.lit("")).alias("_firm")).filter(F.col("_email") != "")
+    per_firm = old.groupBy("_email", "_firm").agg(F.count(F.lit(1)).alias("_n"))
+    total = per_firm.groupBy("_email").agg(F.sum("_n").alias("same_email"))
+    new = new_leads.select("lead_id", F.coalesce("company_id", F.lit("")).alias("_firm"), address)
+    return (new.join(total, "_email").join(per_firm, ["_email", "_firm"], "left")
+            .select("lead_id", "same_email", F.coalesce("_n", F.lit(0)).alias("same_company")))
+
+
 def import_rows(rows: DataFrame, leads: DataFrame, companies: DataFrame, activities: DataFrame, scores: DataFrame,
                 audit_log: DataFrame, filename: str, actor: str, as_of: datetime, at: datetime) -> ImportResult:
     """Run an import of judged rows (`outcomes`) and refresh the derived tables.

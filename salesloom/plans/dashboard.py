@@ -39,6 +39,13 @@ def overview_totals(tables: Tables, actions: DataFrame | None = None) -> DataFra
     return row.withColumn("clean_pct", F.coalesce(F.round(share, 1), F.lit(0.0)))
 
 
+def health_counts(tables: Tables, stored_results: DataFrame) -> DataFrame:
+    """Leads and stored results, and whether there is any data."""
+    leads = tables.leads.agg(F.count(F.lit(1)).alias("leads"))
+    entries = stored_results.agg(F.count(F.lit(1)).alias("entries"))
+    return leads.crossJoin(entries).withColumn("ready", F.col("leads") > 0)  # two one-row frames
+
+
 def issues_by_type(tables: Tables) -> DataFrame:
     return tables.data_issues.groupBy("issue_type").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesloom.config import HEADER_SPELLINGS
 from salesloom.functions.text import fold, normalize_email
 from salesloom.operators import changes, evaluate, evidence, fingerprint, importing, keyed, limiter, notes, quality, scoring
-from salesloom.plans.dashboard import resolve_ids
+from salesloom.plans.dashboard import health_counts, overview_totals, resolve_ids
 from salesloom.plans.fixture import given_table, input_view
 from salesloom.plans.workspace import Workspace
 from salesloom.sources import csv_files, ledger, tables
@@ -70,6 +70,12 @@ def import_csv_files(ws: Workspace) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
+def reexported_leads(ws: Workspace) -> DataFrame:
+    """The copies in the lead view against all other leads: do they sit at the company of their original?"""
+    is_copy = (F.substring("lead_id", 4, 20).cast("bigint") - 1) % 25 == 24
+    return importing.attachment_check(ws.leads.filter(is_copy), ws.leads.filter(~is_copy))
+
+
 # ------------------------------------------------------------------ changes
 
 def proposals(ws: Workspace) -> DataFrame:
@@ -391,6 +397,9 @@ JOBS = {
     "import_issue_counts": lambda ws: imported(ws).issue_counts,
     "import_audit": lambda ws: imported(ws).audit,
     "import_csv_files": import_csv_files,
+    "reexported_leads": reexported_leads,
+    "overview_with_actions": lambda ws: overview_totals(ws, executed(ws).actions),
+    "health_counts": lambda ws: health_counts(ws, stored_results(ws)),
     "proposal_checks": lambda ws: checked(ws).select("proposal_id", "type", "error"),
     "created_actions": lambda ws: action_rows(created(ws).actions).select("action_id", "type", "lead_ids", "payload_json", "status", "note"),
     "decided_actions": lambda ws: action_rows(decided(ws).actions).select("action_id", "status", "decided_at", "decided_by", "note"),
