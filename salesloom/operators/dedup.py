@@ -228,7 +228,7 @@ def _heavy_candidates(persons: DataFrame) -> DataFrame:
     names = _matching_names(persons)
     old = _renamed(_keyed(persons, _evidence_keys(newer=False)), "old", ["key", *PERSON])
     new = _renamed(_keyed(persons, _evidence_keys(newer=True)), "new", ["key", *PERSON])
-    named = old.join(names, (F.col("block_old") == names["block"]) & (old["first_old"] == names["first_old"])
+    named = old.join(names.hint("merge"), (F.col("block_old") == names["block"]) & (old["first_old"] == names["first_old"])
                      & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"])
     joined = named.join(new.hint("merge"), (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
                         & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new"))
