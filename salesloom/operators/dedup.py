@@ -52,7 +52,7 @@ def people(leads: DataFrame) -> DataFrame:
         normalize_email(F.col("email")).alias("email"),
         phone.alias("phone"),
     )
-    return (base.withColumn("email_key", email_local_key(F.col("email")))
+    return (base.withColumn("email_key", F.when(F.col("email").isNotNull(), email_local_key(F.col("email"))))
             .withColumn("local_part", F.coalesce("email_key", F.lit("\x1fnone")))  # never NULL, so it can be a key
             .withColumn("first_formal", canonical_first(F.col("first")))
             .withColumn("last_formal", canonical_first(F.col("last"))))  # a last name may be a first name in the wrong field
