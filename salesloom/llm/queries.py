@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import pieces
+from salesloom.llm import lines, mixing, pieces, simhash
 from salesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@_query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+SQL["op6_mixing"] = mixing.MIX_SQL
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the text blocks that their host repeats."""
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of("url").alias("host"), lines.page_text("html").alias("text"))
+    return lines.drop_frequent_lines(pages, "host", "text", dropped="dropped_lines")
+
+
+SQL["op9_line_dedup"] = lines.PAGES_SQL
+
+
 @_query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_texts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
