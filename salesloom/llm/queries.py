@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chunks, lines, mixing, pieces, quality, simhash, toxicity
+from salesloom.llm import chat, chunks, curves, lines, mixing, pieces, quality, simhash, toxicity
 from salesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_mixing"] = mixing.MIX_SQL
 
 
+@_query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+SQL["op7_chat"] = chat.ROTATE_SQL
+
+
+@_query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=100, k=10)
+
+
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the text blocks that their host repeats."""
