@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, chunks, curves, lines, mixing, pieces, quality, simhash, toxicity
+from salesloom.llm import chat, chunks, curves, lines, mixing, passages, pieces, quality, simhash, toxicity
 from salesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@_query
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
