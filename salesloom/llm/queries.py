@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.llm import chat, chunks, curves, lines, mixing, passages, pieces, quality, simhash, toxicity
-from salesloom.llm.common import table
+from salesloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the text blocks that their host repeats."""
     pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of("url").alias("host"), lines.page_text("html").alias("text"))
+    pages = written(pages, "pages")  # both passes read the text, which takes many patterns to make
     return lines.drop_frequent_lines(pages, "host", "text", dropped="dropped_lines")
 
 
