@@ -4,12 +4,12 @@ Every source gets its weight's share of the words to be mixed. A source whose sh
 clamped there, and what is over goes to the others in proportion to their weights, until none is above its cap. Targets
 come from whole numbers by one multiplication and two divisions, so every engine finds the same.
 
-A target is met by whole repetitions of all documents of the source plus one more of some. Those are the first ones in
-an order that hashes the seed and the document's id, up to the number of words that is missing, and one more document,
-the nearest in size to what is still missing, if that brings the sum nearer. The place of that cut is found in two steps, by sums of
-`SLICES` ranges of the hash and then within one range, so that no task ever orders a whole source. Documents meet the
-cut of their source in a join on the source with one row per source; texts are not moved by it unless sources are so
-many that the table of cuts is too large to send.
+A target is met by whole repetitions of all documents of the source plus one more of some. Those are taken in an order
+that hashes the seed and the document's id: the first ones until the next is too much, then, twice more, those behind that
+are no larger than what is still missing, and at last the one that comes nearest to the rest, if that brings the sum nearer.
+The place of a cut is found in two steps, by sums of `SLICES` ranges of the hash and then within one range, so that no
+task ever orders a whole source. Documents meet the cuts of their source in a join on the source with one row per source;
+texts are not moved by it unless sources are so many that the table of cuts is too large to send.
 
 Null texts have size 0; null sources are one source, the last one. Documents of size 0 take no words and are repeated like
 their source's whole epochs. Documents with the same id (or none) share a hash: they fall on the same side of the cut if
@@ -27,7 +27,7 @@ from salesloom.operators.ordering import number_rows
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_EPOCHS, SEED = 150, 2, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
-SLICES = 4096
+SLICES, PASSES = 4096, 3
 
 
 def size_of(text: str | Column) -> Column:
@@ -65,47 +65,60 @@ def _order_key(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
 
 
-def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, source_size, target, whole, cut_hash, cut_size, last_hash, last_size): one row per source.
-
-    `rows` has source, hash and size of each document, `plan` the targets. Documents up to (cut_hash, cut_size) are taken
-    once more than `whole`, and so is the one at (last_hash, last_size), which is null where none brings the sum nearer.
-    """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    plan = plan.select("source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
-    rows = rows.select(F.col("source").alias("own"), "hash", "size", F.substring("hash", 1, 3).alias("slice"))
-    assert SLICES == 16 ** 3
+def _step(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """`state` after one more pass in the order of (hash, size): documents behind the cut that are no larger than what is
+    missing are taken until the next one would be too much."""
+    left = state.select("source", "missing", "cut_hash", "cut_size")
+    behind = "(hash > cut_hash OR (hash = cut_hash AND size > cut_size))"
+    open_ = rows.join(left, F.col("own").eqNullSafe(F.col("source"))).where(f"size > 0 AND size <= missing AND {behind}").select("own", "hash", "size", "slice", "missing")
 
-    sums = rows.groupBy("own", "slice").agg(F.sum("size").alias("words"))
+    sums = open_.groupBy("own", "slice").agg(F.sum("size").alias("words"), F.max("missing").alias("missing"))
     earlier = Window.partitionBy("own").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows at most
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    held = sums.join(plan, F.col("own").eqNullSafe(F.col("source"))).where("before <= missing AND missing < before + words")
-    held = held.select("source", "missing", F.col("slice").alias("held"), "before")
+    all_of = sums.groupBy(F.col("own").alias("all_own")).agg(F.sum("words").alias("all"))
+    held = sums.where("missing < before + words AND before <= missing").select(F.col("own").alias("of"), F.col("slice").alias("held"), "before")
 
-    inside = rows.join(held, F.col("own").eqNullSafe(F.col("source")) & (F.col("slice") == F.col("held")))
+    inside = open_.join(held, F.col("own").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("held")))
     so_far = F.sum("size").over(Window.partitionBy("own", "slice").orderBy("hash", "size"))  # rows alike count together
     inside = inside.withColumn("got", F.col("before") + so_far).where("got <= missing")
     reached = inside.groupBy(F.col("own").alias("reached")).agg(F.max(F.struct("hash", "size", "got")).alias("at"))
-    cut = held.join(reached, F.col("source").eqNullSafe(F.col("reached")), "left").select(
-        F.col("source").alias("cut_source"),
-        F.coalesce("at.hash", "held").alias("cut_hash"),  # the held slice itself sorts before all that is in it
-        F.coalesce("at.size", F.lit(-1)).alias("cut_size"),
-        (F.col("missing") - F.coalesce("at.got", "before")).alias("rest"),
-    )
-    cut = written(plan.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "missing"), "cuts")
 
-    after = rows.join(cut.select("source", "cut_hash", "cut_size", "rest"), F.col("own").eqNullSafe(F.col("source")))
-    after = after.where("size > 0 AND size < 2 * rest AND (hash > cut_hash OR (hash = cut_hash AND size > cut_size))")
-    last = after.groupBy(F.col("own").alias("last_source")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), "hash", "size")).alias("x"))
-    return cut.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left").select(
-        "source", "source_size", "target", "whole", "cut_hash", "cut_size", F.col("x.hash").alias("last_hash"), F.col("x.size").alias("last_size"))
+    met = state.join(all_of, F.col("source").eqNullSafe(F.col("all_own")), "left").join(held, F.col("source").eqNullSafe(F.col("of")), "left")
+    met = met.join(reached, F.col("source").eqNullSafe(F.col("reached")), "left")
+    cut_hash = F.coalesce("at.hash", "held", F.lit("g"))  # a slice sorts before all that is in it, g behind every hash
+    cut_size = F.coalesce("at.size", F.lit(-1).cast("bigint"))
+    got = F.coalesce("at.got", "before", "all", F.lit(0))
+    return met.select(
+        "source", "source_size", "target", "whole", cut_hash.alias("cut_hash"), cut_size.alias("cut_size"), (F.col("missing") - got).alias("missing"),
+        F.concat("steps", F.array(F.struct(F.col("missing").alias("most"), cut_hash.alias("hash"), cut_size.alias("size")))).alias("steps"))
+
+
+def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, source_size, target, whole, steps, last): one row per source.
+
+    `rows` has source, hash and size of each document, `plan` the targets. Documents that are no larger than a step's `most`
+    and up to its (hash, size) are taken once more than `whole`, and so is the one at `last` (hash, size), which is null
+    where none brings the sum nearer.
+    """
+    assert SLICES == 16 ** 3
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
+    state = plan.select("source", "source_size", "target", whole.alias("whole"), F.lit("").alias("cut_hash"), F.lit(-1).cast("bigint").alias("cut_size"),
+                        (F.col("target") - whole * F.col("source_size")).alias("missing"), F.array().cast("array<struct<most:double,hash:string,size:bigint>>").alias("steps"))
+    rows = rows.select(F.col("source").alias("own"), "hash", "size", F.substring("hash", 1, 3).alias("slice"))
+    for _ in range(PASSES):
+        state = written(_step(rows, state), "cuts")
+    after = rows.join(state.select("source", "cut_hash", "cut_size", "missing"), F.col("own").eqNullSafe(F.col("source")))
+    after = after.where("size > 0 AND size < 2 * missing AND (hash > cut_hash OR (hash = cut_hash AND size > cut_size))")
+    last = after.groupBy(F.col("own").alias("last_own")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "hash", "size")).alias("last"))
+    return state.join(last, F.col("source").eqNullSafe(F.col("last_own")), "left").select("source", "source_size", "target", "whole", "steps", "last")
 
 
 def copies() -> Column:
-    """How often a row with hash, size and its source's cut is taken."""
-    in_cut = F.expr("hash < cut_hash OR (hash = cut_hash AND size <= cut_size)")
-    closing = F.expr("hash = last_hash AND size = last_size")
-    return F.col("whole") + F.coalesce(in_cut, F.lit(False)).cast("bigint") + F.coalesce(closing, F.lit(False)).cast("bigint")
+    """How often a row with hash, size and its source's cuts is taken."""
+    size, hash_ = F.col("size"), F.col("hash")
+    in_step = F.exists("steps", lambda s: (size > 0) & (size <= s["most"]) & ((hash_ < s["hash"]) | ((hash_ == s["hash"]) & (size <= s["size"]))))
+    closing = F.expr("hash = last.hash AND size = last.size")
+    return F.col("whole") + F.coalesce(in_step, F.lit(False)).cast("bigint") + F.coalesce(closing, F.lit(False)).cast("bigint")
 
 
 def sized(df: DataFrame, key: str, text: str, source: str, seed: str = SEED) -> DataFrame:
@@ -158,17 +171,28 @@ t AS (
   FROM k, f),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
-r AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
-         sum(size) OVER (PARTITION BY d.source ORDER BY hash, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS got
+"""
+_PASS_SQL = """r{n} AS (
+  SELECT *, size > 0 AND size <= missing AND (hash, size) > (cut_hash, cut_size) AS open_{n},
+         sum(CASE WHEN size > 0 AND size <= missing AND (hash, size) > (cut_hash, cut_size) THEN size ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY hash, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS got_{n}
+  FROM {before}),
+g{n} AS (
+  SELECT * EXCLUDE (taken, missing, cut_hash, cut_size), taken OR (open_{n} AND got_{n} <= missing) AS taken,
+         missing - coalesce(max(got_{n}) FILTER (open_{n} AND got_{n} <= missing) OVER (PARTITION BY source), 0) AS missing,
+         CASE WHEN bool_or(open_{n} AND got_{n} > missing) OVER (PARTITION BY source)
+              THEN coalesce(max((hash, size)) FILTER (open_{n} AND got_{n} <= missing) OVER (PARTITION BY source), (cut_hash, cut_size))
+              ELSE ('g', 0::BIGINT) END AS cut_{n}
+  FROM r{n}),
+h{n} AS (SELECT * EXCLUDE (cut_{n}), cut_{n}[1] AS cut_hash, cut_{n}[2] AS cut_size FROM g{n}),
+"""
+MIX_SQL += """r AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing, '' AS cut_hash, -1::BIGINT AS cut_size, false AS taken
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-g AS (SELECT *, max(got) FILTER (got <= missing) OVER (PARTITION BY source) AS sum_cut FROM r),
-h AS (SELECT *, missing - coalesce(sum_cut, 0) AS rest FROM g),
-l AS (
-  SELECT source, arg_min((hash, size), (abs(size - rest), hash, size)) AS last
-  FROM h WHERE got > missing AND size > 0 AND size < 2 * rest GROUP BY source)
+""" + "".join(_PASS_SQL.format(n=n, before=f"h{n - 1}" if n else "r") for n in range(PASSES)) + f"""l AS (
+  SELECT source, arg_min((hash, size), (abs(size - missing), hash, size)) AS last
+  FROM h{PASSES - 1} WHERE (hash, size) > (cut_hash, cut_size) AND size > 0 AND size < 2 * missing GROUP BY source)
 SELECT h.doc_id, h.size, h.source_size, h.target,
-       (h.size * (h.whole + CASE WHEN h.got <= h.missing AND h.size > 0 THEN 1 ELSE 0 END
-        + CASE WHEN (h.hash, h.size) = l.last THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM h LEFT JOIN l ON h.source IS NOT DISTINCT FROM l.source
+       (h.size * (h.whole + CASE WHEN h.taken THEN 1 ELSE 0 END + CASE WHEN (h.hash, h.size) = l.last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM h{PASSES - 1} h LEFT JOIN l ON h.source IS NOT DISTINCT FROM l.source
 """
