@@ -127,6 +127,7 @@ def search(df: DataFrame, key: str, vector: str, every: int, k: int, curves: int
     dealt = placed.withColumn("asks", F.lit(False)).unionAll(around.withColumn("asks", F.lit(True))).join(points.select("point", "vector"), "point")
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates(["point", "asks"])  # the end of one curve and the start of the next may share a block
         asks = part["asks"].to_numpy(bool)
         if not asks.any() or asks.all():
             return pd.DataFrame({"asking": [], "point": [], "score": []})
