@@ -109,13 +109,20 @@ SELECT l.lead_id, l.created_at, coalesce(nullif({company_key('c.name')}, ''), 'i
        CASE WHEN length(regexp_replace(l.phone, '\\D', '', 'g')) >= 7
             THEN right(regexp_replace(l.phone, '\\D', '', 'g'), 10) END AS phone
 FROM leads l LEFT JOIN companies c ON c.company_id = l.company_id""",
-    "keyed": f"""
+    "keyed": """
+SELECT *, first_value(lead_id) OVER (PARTITION BY email ORDER BY created_at, lead_id) AS email_center,
+       first_value(lead_id) OVER (PARTITION BY block, first, last, phone ORDER BY created_at, lead_id) AS phone_center,
+       first_value(lead_id) OVER (PARTITION BY block, first, last, email IS NULL, mail_key ORDER BY created_at, lead_id) AS key_center,
+       arg_min(lead_id, (created_at, lead_id)) FILTER (email IS NULL) OVER (PARTITION BY block, first, last) AS lacking_center FROM mailed""",
+    "mailed": f"""
 SELECT *, {formal('first')} AS first_formal, {formal('last')} AS last_formal,
        {formal("split_part(local, '.', 1)")} || CASE WHEN strpos(local, '.') > 0 THEN substr(local, strpos(local, '.')) ELSE '' END AS mail_key
 FROM (SELECT *, regexp_replace({fold("split_part(email, '@', 1)")}, '[._-]+', '.', 'g') AS local FROM persons)""",
     "compared": f"""
 SELECT b.lead_id, a.lead_id AS related_lead_id, a.email AS email_a, b.email AS email_b, a.mail_key AS key_a, b.mail_key AS key_b,
        a.phone = b.phone AS same_phone, a.email IS NULL OR b.email IS NULL AS lacks_email, coalesce(a.email = b.email, FALSE) AS same_email,
+       a.lead_id = b.email_center AS from_email, a.lead_id = b.phone_center AS from_phone, a.lead_id = b.key_center AS from_key,
+       b.lacking_center IN (a.lead_id, b.lead_id) AS from_lacking,
        CASE WHEN a.block <> b.block THEN NULL
             WHEN {firsts('a.first', 'b.first', 'a.first_formal', 'b.first_formal')} AND {lasts('a.last', 'b.last')}
             THEN CASE WHEN a.first = b.first AND a.last = b.last THEN 'same name' ELSE 'matching name' END
@@ -128,8 +135,15 @@ SELECT *, CASE WHEN NOT lacks_email AND NOT same_email AND why IS NOT NULL THEN
        (1 - (length(key_a) + length(key_b) - 2 * {common_letters('key_a', 'key_b')})::DOUBLE / (length(key_a) + length(key_b))) * 100 END AS ratio
 FROM compared WHERE same_email OR why IS NOT NULL""",
     "duplicate_pairs": """
+SELECT lead_id, related_lead_id, reason FROM full_pairs
+WHERE CASE WHEN same_email THEN from_email
+           WHEN why <> 'same name' THEN TRUE
+           WHEN lacks_email THEN from_lacking OR coalesce(same_phone AND from_phone, FALSE)
+           WHEN key_a = key_b THEN from_key OR coalesce(same_phone AND from_phone, FALSE)
+           ELSE ratio >= 85 OR coalesce(same_phone AND from_phone, FALSE) END""",
+    "full_pairs": """
 SELECT * FROM (
-    SELECT lead_id, related_lead_id,
+    SELECT *,
            CASE WHEN same_email THEN 'same email (' || email_a || ')'
                 WHEN ratio >= 85 THEN why || ' and similar email (' || format('{:.0f}', ratio) || ') at same company'
                 WHEN same_phone THEN why || ' and same phone at same company'

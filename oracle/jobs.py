@@ -195,7 +195,7 @@ CTES["activities_after"] = "SELECT a.activity_id, coalesce(d.primary_id, a.lead_
 CTES.update(over({"leads": "leads_after", "activities": "activities_after"}, "recent", "parts", "lead_scores"))
 CTES["leads_all"] = "SELECT lead_id, company_id, first_name, last_name, email, phone, title, stage, created_at, last_contacted_at FROM leads UNION ALL SELECT lead_id, company_id, first_name, last_name, email, phone, title, stage, created_at, last_contacted_at FROM new_leads"
 CTES["companies_all"] = "SELECT company_id, name FROM companies UNION ALL SELECT company_id, name FROM new_companies"
-CTES.update(over({"leads": "leads_all", "companies": "companies_all"}, "persons", "keyed", "compared", "rated", "duplicate_pairs", "issue_rows"))
+CTES.update(over({"leads": "leads_all", "companies": "companies_all"}, "persons", "mailed", "keyed", "compared", "rated", "full_pairs", "duplicate_pairs", "issue_rows"))
 CTES["sides"] = """
 SELECT issue_type, lead_id FROM (SELECT issue_type, lead_id FROM issue_rows_all UNION ALL SELECT issue_type, related_lead_id FROM issue_rows_all WHERE related_lead_id IS NOT NULL)
 WHERE lead_id IN (SELECT lead_id FROM new_leads)"""

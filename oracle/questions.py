@@ -171,6 +171,7 @@ LEFT JOIN lead_scores s ON least(floor(s.score / 10), 9) = b.range GROUP BY 1))"
     "latest_activities": "SELECT activity_id, lead_id, type, occurred_at, position FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY occurred_at DESC, activity_id) AS position FROM activities) WHERE position <= 50",
     "issues_either_side": "SELECT lead_id, issue_id, 'subject' AS side FROM data_issues UNION ALL SELECT related_lead_id, issue_id, 'related' FROM data_issues WHERE related_lead_id IS NOT NULL",
     "find_duplicates": "SELECT lead_id, related_lead_id, reason FROM duplicate_pairs",
+    "expanded_duplicates": "SELECT lead_id, related_lead_id, reason FROM full_pairs WHERE lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Tom Becker') OR related_lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Tom Becker')",
     "detect_issues": "SELECT issue_id, lead_id, issue_type, details, related_lead_id FROM data_issues",
     "score_leads": "SELECT lead_id, score, fit, intent, recency FROM lead_scores",
 }

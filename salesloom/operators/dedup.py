@@ -1,39 +1,25 @@
 """Duplicate people: same e-mail, or matching names with evidence inside one company.
 
-Every pair is directed from the newer record to the older one. Groups that are cliques by definition
-(one e-mail address; or one name inside one company, without e-mails or with one local part) are
-written pair by pair up to `clique_limit` members. A larger clique is written as one link per member to
-its oldest member, which says the same in n-1 rows: all its members are pairwise duplicates, and what
-its oldest member matches, they match. `clique_sizes` gives the exact number of pairs such a clique
-stands for and `expand_cliques` lists them for chosen leads.
+Every row is directed from the newer record to the older one. Records that all match each other by definition form a
+bucket: one e-mail address; one name at one company with one phone, with one local part of the address, or beside a
+record without an address. In a bucket every member is linked to the oldest one (of those without an address, in the
+last case), so a bucket of n members has n-1 rows at any size. Different names that match, and one name with alike but
+different addresses, are written pair by pair. All members take part in all rules. `expand` gives all pairs, those inside
+buckets too, of chosen leads.
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.config import EMAIL_LOCAL_THRESHOLD
 from salesloom.functions.numbers import whole_text
-from salesloom.functions.similarity import (
-    affix_keys, all_pieces, indel_ratio, may_reach_ratio, one_keystroke, ratio_pieces, typo_signatures,
-)
-from salesloom.functions.text import (
-    canonical_first, email_local_key, fold, normalize_company, normalize_email, normalize_phone,
-)
+from salesloom.functions.similarity import all_pieces, indel_ratio, may_reach_ratio, one_keystroke, ratio_pieces, typo_signatures
+from salesloom.functions.text import canonical_first, email_local_key, fold, normalize_company, normalize_email, normalize_phone
 from salesloom.sources.storage import written
 
-CLIQUE_LIMIT = 1000
-HEAVY_BLOCK = 2000
 END_OF_TIME = "9999-12-31 00:00:00"
-
-
-@dataclass(frozen=True)
-class Duplicates:
-    """Pairs to report, and the size of every clique too large to be written pair by pair."""
-
-    pairs: DataFrame  # lead_id (newer), related_lead_id (older), reason
-    large_cliques: DataFrame  # clique, oldest_lead_id, members, pairs
+NAME_KEY = ["block", "first", "last"]
+PERSON = ["block", "lead_id", "age", "first", "last", "first_formal", "last_formal", "email", "phone", "email_key"]
 
 
 def people(leads: DataFrame) -> DataFrame:
@@ -53,114 +39,34 @@ def people(leads: DataFrame) -> DataFrame:
         phone.alias("phone"),
     )
     return (base.withColumn("email_key", F.when(F.col("email").isNotNull(), email_local_key(F.col("email"))))
-            .withColumn("local_part", F.coalesce("email_key", F.lit("\x1fnone")))  # never NULL, so it can be a key
             .withColumn("first_formal", canonical_first(F.col("first")))
             .withColumn("last_formal", canonical_first(F.col("last"))))  # a last name may be a first name in the wrong field
 
 
-def first_names_match(a: Column, b: Column, formal_a: Column, formal_b: Column) -> Column:
-    present = (a != "") & (b != "")
-    return present & ((a == b) | (formal_a == formal_b) | one_keystroke(a, b))
+def _agreement(older: str, newer: str, formal: bool = False) -> Column:
+    """How far two parts of names agree: 2 equal, 1 a keystroke or (for first names) a nickname apart, 0 neither or one is missing."""
+    a, b = F.col(f"{older}_old"), F.col(f"{newer}_new")
+    close = one_keystroke(a, b)
+    if formal:
+        close = close | (F.col(f"{older}_formal_old") == F.col(f"{newer}_formal_new"))
+    return F.when(F.least(F.length(a), F.length(b)) == 0, 0).when(a == b, 2).when(close, 1).otherwise(0)
 
 
-def last_names_match(a: Column, b: Column) -> Column:
-    return (a != "") & (b != "") & ((a == b) | one_keystroke(a, b))
-
-
-def name_reason(first_a: Column, last_a: Column, first_b: Column, last_b: Column, formal_a: Column | None = None,
-                formal_b: Column | None = None, formal_last_b: Column | None = None) -> Column:
-    """Why two names are one person, `a` being the older record; NULL when they are not.
-
-    The formal names may be given where they are stored already.
-    """
-    formal_a = canonical_first(first_a) if formal_a is None else formal_a
-    formal_b = canonical_first(first_b) if formal_b is None else formal_b
-    formal_last_b = canonical_first(last_b) if formal_last_b is None else formal_last_b
-    straight = first_names_match(first_a, first_b, formal_a, formal_b) & last_names_match(last_a, last_b)
-    crosswise = first_names_match(first_a, last_b, formal_a, formal_last_b) & last_names_match(last_a, first_b)
-    return (
-        F.when(straight & (first_a == first_b) & (last_a == last_b), "same name")
-        .when(straight, "matching name")
-        .when(crosswise, "swapped first/last name")
-    )
-
+def name_verdict() -> Column:
+    """Why the names of an older and a newer record are one person's; NULL where they are not."""
+    in_place = F.least(_agreement("first", "first", formal=True), _agreement("last", "last"))
+    crossed = F.least(_agreement("first", "last", formal=True), _agreement("last", "first"))
+    return F.when(in_place == 2, "same name").when(in_place == 1, "matching name").when(crossed > 0, "swapped first/last name")
 
-def _cliques(persons: DataFrame, key: list[str]) -> DataFrame:
-    """Size and oldest member per group of mutually matching records; map-side combined."""
-    return (persons.groupBy(*key)
-            .agg(F.count(F.lit(1)).alias("members"), F.min("age").alias("oldest"))
-            .filter(F.col("members") > 1))
 
-
-def _renamed(persons: DataFrame, side: str, columns: list[str]) -> DataFrame:
+def _side(persons: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return persons.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def _email_pairs(persons: DataFrame, limit: int) -> DataFrame:
-    """All records with one normalized address: pairs of a small group, links to the oldest of a large one."""
-    keyed = persons.filter(F.col("email").isNotNull()).select("lead_id", "age", "email")
-    grouped = keyed.join(_cliques(keyed, ["email"]), "email")
-    reason = F.concat(F.lit("same email ("), F.col("email"), F.lit(")"))
-    small = grouped.filter(F.col("members") <= limit)
-    older = small.select("email", F.col("lead_id").alias("related_lead_id"), F.col("age").alias("age_old"))
-    pairs = (small.join(older, "email").filter(F.col("age_old") < F.col("age"))
-             .select("lead_id", "related_lead_id", reason.alias("reason")))
-    links = (grouped.filter((F.col("members") > limit) & (F.col("age") > F.col("oldest")))
-             .select("lead_id", F.col("oldest.id").alias("related_lead_id"), reason.alias("reason")))
-    return pairs.unionByName(links)
-
-
-NAME_KEY = ["block", "first", "last"]
-TWIN_KEY = [*NAME_KEY, "local_part"]
-
-
 def _named(persons: DataFrame) -> DataFrame:
     return persons.filter((F.col("first") != "") & (F.col("last") != ""))
 
 
-def _twin_cliques(persons: DataFrame, limit: int) -> DataFrame:
-    """Same name and company, and either no e-mail at all or the same local part: every two of them match."""
-    return _cliques(_named(persons), TWIN_KEY).filter(F.col("members") > limit)
-
-
-def _clique_links(persons: DataFrame, large: DataFrame) -> DataFrame:
-    """One link per member of a large twin clique to its oldest member."""
-    members = _named(persons).join(large, TWIN_KEY)
-    oldest = members.filter(F.col("age") == F.col("oldest")).select(
-        F.col("lead_id").alias("related_lead_id"), F.col("phone").alias("phone_old"), F.col("email").alias("email_old"))
-    rest = members.filter(F.col("age") > F.col("oldest")).join(oldest, F.col("oldest.id") == F.col("related_lead_id"))
-    same_phone = F.coalesce(F.col("phone") == F.col("phone_old"), F.lit(False))
-    reason = (F.when(F.col("email").isNotNull(), "same name and similar email (100) at same company")
-              .when(same_phone, "same name and same phone at same company")
-              .otherwise("same name at same company, email missing on one record"))
-    other_address = F.col("email").isNull() | (F.col("email") != F.col("email_old"))
-    return rest.filter(other_address).select("lead_id", "related_lead_id", reason.alias("reason"))
-
-
-PERSON = ["block", "lead_id", "age", "first", "last", "first_formal", "last_formal", "email", "phone", "email_key"]
-
-
-def _supported(pairs: DataFrame, why: Column) -> DataFrame:
-    """Name matches that can still have evidence, once per pair."""
-    both = F.col("email_old").isNotNull() & F.col("email_new").isNotNull()
-    covered = F.coalesce(F.col("email_old") == F.col("email_new"), F.lit(False))  # the e-mail rule reports these
-    same_phone = F.coalesce(F.col("phone_old") == F.col("phone_new"), F.lit(False))
-    possible = ~covered & (~both | same_phone
-                           | may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD))
-    return (
-        pairs.filter((F.col("age_old") < F.col("age_new")) & possible)
-        .withColumn("why", why).filter(F.col("why").isNotNull())
-        .select("lead_id_new", "lead_id_old", "why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
-                F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b"))
-        .dropDuplicates(["lead_id_new", "lead_id_old"])
-    )
-
-
-def _why(old: str = "_old", new: str = "_new") -> Column:
-    return name_reason(F.col(f"first{old}"), F.col(f"last{old}"), F.col(f"first{new}"), F.col(f"last{new}"),
-                       F.col(f"first_formal{old}"), F.col(f"first_formal{new}"), F.col(f"last_formal{new}"))
-
-
 def _keyed(df: DataFrame, keys: Column) -> DataFrame:
     """One row per candidate key, the key being a hash of the block and the key text.
 
@@ -170,19 +76,7 @@ def _keyed(df: DataFrame, keys: Column) -> DataFrame:
     return df.withColumn("key", F.explode(keys)).withColumn("key", F.xxhash64("block", "key"))
 
 
-def _light_candidates(persons: DataFrame) -> DataFrame:
-    """Blocks of bounded size: two or three short name keys per record.
-
-    Straight matches share a key of their last names; crosswise matches share one between the older
-    last name and the newer first name.
-    """
-    older = _keyed(persons, affix_keys(F.col("last")))
-    newer = _keyed(persons, F.array_union(affix_keys(F.col("last")), affix_keys(F.col("first"))))
-    old, new = _renamed(older, "old", ["key", *PERSON]), _renamed(newer, "new", ["key", *PERSON])
-    joined = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new"))
-                      & (F.col("age_old") < F.col("age_new")))
-    return _supported(joined, _why())
-
+# ------------------------------------------------------------------ names
 
 def _with_nickname(name: str) -> Column:
     return F.array_union(typo_signatures(F.col(name)), F.array(F.col(f"{name}_formal")))
@@ -193,22 +87,23 @@ def _pairs_of(left: Column, right: Column) -> Column:
     return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("\x1f"), b))))
 
 
-def _matching_names(persons: DataFrame) -> DataFrame:
-    """Pairs of distinct names inside a block that match, the first one taken as the older record's.
+def matching_names(persons: DataFrame) -> DataFrame:
+    """(block, first_old, last_old, first_new, last_new, why): distinct names inside a block that match, in both age directions.
 
-    Works on distinct names, so records sharing one name cost one row here. A key holds a signature
-    of both names: a frequent last name alone joins nothing.
+    Records that share one name cost one row here. A key holds a signature of both names: a frequent last name alone
+    joins nothing.
     """
     fields = [*NAME_KEY, "first_formal", "last_formal"]
-    names = persons.select(*fields).distinct()
+    names = _named(persons).select(*fields).distinct()
     old_keys = _pairs_of(typo_signatures(F.col("last")), _with_nickname("first"))
     new_keys = F.array_union(old_keys, _pairs_of(typo_signatures(F.col("first")), _with_nickname("last")))
-    old = _renamed(_keyed(names, old_keys), "old", ["key", *fields])
-    new = _renamed(_keyed(names, new_keys), "new", ["key", *fields])
-    joined = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new")))
-    return (joined.withColumn("name_why", _why()).filter(F.col("name_why").isNotNull())
-            .select(F.col("block_old").alias("block"), "first_old", "last_old", "first_new", "last_new", "name_why").distinct())
+    old, new = _side(_keyed(names, old_keys), "old", ["key", *fields]), _side(_keyed(names, new_keys), "new", ["key", *fields])
+    met = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new")))
+    met = met.withColumn("why", name_verdict()).filter(F.col("why").isNotNull())
+    return met.select(F.col("block_old").alias("block"), "first_old", "last_old", "first_new", "last_new", "why").distinct()
+
 
+# ------------------------------------------------------------------ pairs of records
 
 def _evidence_keys(newer: bool) -> Column:
     """What a record can be matched on beside its name: phone, a missing e-mail on one side, pieces of its e-mail."""
@@ -223,86 +118,103 @@ def _evidence_keys(newer: bool) -> Column:
     return F.concat(F.filter(tags, lambda t: t.isNotNull()), F.coalesce(mail, F.array().cast("array<string>")))
 
 
-def _heavy_candidates(persons: DataFrame) -> DataFrame:
-    """Very large blocks: match distinct names first, then records on name and evidence together."""
-    names = _matching_names(persons)
-    old = _renamed(_keyed(persons, _evidence_keys(newer=False)), "old", ["key", *PERSON])
-    new = _renamed(_keyed(persons, _evidence_keys(newer=True)), "new", ["key", *PERSON])
-    named = old.join(names.hint("merge"), (F.col("block_old") == names["block"]) & (old["first_old"] == names["first_old"])
-                     & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"])
-    joined = named.join(new.hint("merge"), (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
-                        & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new"))
-                        & (F.col("age_old") < F.col("age_new")))
-    return _supported(joined, F.col("name_why"))
-
-
-def _name_pairs(persons: DataFrame, heavy_block: int) -> DataFrame:
-    named = _named(persons)
-    sizes = named.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    heavy = written(sizes.filter(F.col("size") > heavy_block).select("block"), "heavy-blocks")
-    if heavy.isEmpty():
-        candidates = _light_candidates(named)
-    else:
-        candidates = _light_candidates(named.join(heavy, "block", "left_anti")).unionByName(
-            _heavy_candidates(named.join(heavy, "block", "left_semi")))
-    scored = candidates.withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
+def _pairs_by_evidence(older: DataFrame, newer: DataFrame, names: DataFrame) -> DataFrame:
+    """Records with matching names and a common piece of evidence, joined on both at once."""
+    old = _side(_keyed(_named(older), _evidence_keys(newer=False)), "old", ["key", *PERSON])
+    new = _side(_keyed(_named(newer), _evidence_keys(newer=True)), "new", ["key", *PERSON])
+    named = old.join(names.hint("merge"), (old["block_old"] == names["block"]) & (old["first_old"] == names["first_old"])
+                     & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"]).drop("block")
+    met = named.join(new.hint("merge"), (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
+                     & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new")))
+    return met.drop(named["first_new"]).drop(named["last_new"]).drop("key_old", "key_new")
+
+
+def _alike_addresses(persons: DataFrame) -> DataFrame:
+    """Records of one name whose local parts differ but are alike. Distinct local parts meet first, so records that share one
+    never meet here."""
+    key = [*NAME_KEY, "email_key"]
+    parts = _named(persons).filter(F.col("email").isNotNull()).select(*key).distinct()
+    old = _side(_keyed(parts, all_pieces(F.col("email_key"))), "old", ["key", *key])
+    new = _side(_keyed(parts, ratio_pieces(F.col("email_key"))), "new", ["key", *key])
+    same_name = (F.col("block_old") == F.col("block_new")) & (F.col("first_old") == F.col("first_new")) & (F.col("last_old") == F.col("last_new"))
+    alike = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & same_name & (F.col("email_key_old") != F.col("email_key_new")))
+    alike = alike.filter(may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD))
+    alike = alike.select("block_old", "first_old", "last_old", "email_key_old", "email_key_new").distinct()
+    alike = alike.filter(indel_ratio(F.col("email_key_old"), F.col("email_key_new")) >= EMAIL_LOCAL_THRESHOLD)
+    with_old = alike.join(_side(persons, "old", PERSON), ["block_old", "first_old", "last_old", "email_key_old"])
+    new = _side(persons, "new", PERSON).withColumnRenamed("email_key_new", "key_of_new")
+    met = with_old.join(new, same_name & (F.col("email_key_new") == F.col("key_of_new"))).drop("key_of_new")
+    return met.withColumn("why", F.lit("same name"))
+
+
+def _bucket_links(persons: DataFrame, key: list[str], center: Column) -> DataFrame:
+    """Every member of a bucket beside the oldest of those that can be its center."""
+    person = F.struct("age", *[c for c in PERSON if c != "age"])
+    centers = persons.filter(center).groupBy(*key).agg(F.min(person).alias("center"))
+    met = persons.select(*key, person.alias("member")).join(centers, key).filter("member.lead_id <> center.lead_id")
+    older = F.when(F.col("member.age") < F.col("center.age"), F.col("member")).otherwise(F.col("center"))
+    newer = F.when(F.col("member.age") < F.col("center.age"), F.col("center")).otherwise(F.col("member"))
+    met = met.select(older.alias("o"), newer.alias("n"))
+    return met.select(*[F.col(f"o.{c}").alias(f"{c}_old") for c in PERSON], *[F.col(f"n.{c}").alias(f"{c}_new") for c in PERSON], F.lit("same name").alias("why"))
+
+
+def _with_reason(pairs: DataFrame) -> DataFrame:
+    """(lead_id, related_lead_id, reason) of the pairs whose evidence holds, once each; equal addresses are left to their own rule."""
+    both = F.col("email_old").isNotNull() & F.col("email_new").isNotNull()
+    same_email = F.coalesce(F.col("email_old") == F.col("email_new"), F.lit(False))
+    same_phone = F.coalesce(F.col("phone_old") == F.col("phone_new"), F.lit(False))
+    possible = ~both | same_phone | may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD)
+    held = pairs.filter((F.col("age_old") < F.col("age_new")) & ~same_email & possible).select(
+        F.col("lead_id_new").alias("lead_id"), F.col("lead_id_old").alias("related_lead_id"), "why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
+        F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b"))
+    held = held.dropDuplicates(["lead_id", "related_lead_id"]).withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
     reason = (
         F.when(F.col("ratio") >= EMAIL_LOCAL_THRESHOLD,
                F.concat(F.col("why"), F.lit(" and similar email ("), whole_text(F.col("ratio")), F.lit(") at same company")))
         .when(F.col("same_phone"), F.concat(F.col("why"), F.lit(" and same phone at same company")))
         .when(F.col("lacks_email"), F.concat(F.col("why"), F.lit(" at same company, email missing on one record")))
     )
-    return (scored.select(F.col("lead_id_new").alias("lead_id"), F.col("lead_id_old").alias("related_lead_id"),
-                          reason.alias("reason"))
-            .filter(F.col("reason").isNotNull()))
+    return held.select("lead_id", "related_lead_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def _email_reason() -> Column:
+    return F.concat(F.lit("same email ("), F.col("email"), F.lit(")")).alias("reason")
 
 
-def find_duplicates(leads: DataFrame, clique_limit: int = CLIQUE_LIMIT, heavy_block: int = HEAVY_BLOCK) -> Duplicates:
-    """Directed duplicate pairs of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
+# ------------------------------------------------------------------ results
+
+def find_duplicates(leads: DataFrame) -> DataFrame:
+    """(lead_id newer, related_lead_id older, reason) of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
     persons = written(people(leads), "people")  # read by every rule below; the normalizers run once
-    twins = written(_twin_cliques(persons, clique_limit), "large-cliques")
-    if twins.isEmpty():
-        pairs = _email_pairs(persons, clique_limit).unionByName(_name_pairs(persons, heavy_block))
-        return Duplicates(pairs, clique_sizes(persons, clique_limit, twins))
-    # Of a large twin clique only the oldest member meets other records; the links stand for the rest.
-    standing = persons.join(twins, TWIN_KEY, "left").filter(
-        F.col("members").isNull() | (F.col("age") == F.col("oldest"))).drop("members", "oldest")
-    pairs = (_email_pairs(persons, clique_limit)
-             .unionByName(_name_pairs(standing, heavy_block))
-             .unionByName(_clique_links(persons, twins)))
-    return Duplicates(pairs, clique_sizes(persons, clique_limit, twins))
-
-
-def clique_sizes(persons: DataFrame, limit: int, twins: DataFrame) -> DataFrame:
-    """Members and exact pair counts of the cliques written as links."""
-    large_emails = _cliques(persons.filter(F.col("email").isNotNull()), ["email"]).filter(F.col("members") > limit)
-    pairs = (F.col("members") * (F.col("members") - 1) / 2).cast("bigint").alias("pairs")
-    local = F.when(F.col("local_part") == "\x1fnone", "without e-mail").otherwise(F.concat(F.lit("with e-mail "), F.col("local_part")))
-    return (
-        large_emails.select(F.concat(F.lit("email "), F.col("email")).alias("clique"),
-                            F.col("oldest.id").alias("oldest_lead_id"), "members", pairs)
-        .unionByName(twins.select(F.concat_ws(" ", F.lit("name"), "first", "last", F.lit("at"), "block", local).alias("clique"),
-                                  F.col("oldest.id").alias("oldest_lead_id"), "members", pairs)))
-
-
-def expand_cliques(leads: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All partners the `chosen(lead_id)` leads have in their cliques, newer to older.
-
-    Output grows with the chosen leads times their group, never with a whole group squared.
+    addressed = persons.filter(F.col("email").isNotNull())
+    oldest = addressed.groupBy("email").agg(F.min("age").alias("oldest"))
+    by_email = (addressed.join(oldest, "email").filter(F.col("age") > F.col("oldest"))
+                .select("lead_id", F.col("oldest.id").alias("related_lead_id"), _email_reason()))
+    named = _named(persons)
+    with_address = F.col("email").isNotNull()
+    links = [
+        _bucket_links(named.filter(F.col("phone").isNotNull()), [*NAME_KEY, "phone"], F.lit(True)),
+        _bucket_links(named.filter(with_address), [*NAME_KEY, "email_key"], F.lit(True)),
+        _bucket_links(named, NAME_KEY, ~with_address),
+        _alike_addresses(persons),
+        _pairs_by_evidence(persons, persons, matching_names(persons).filter("why <> 'same name'")),
+    ]
+    pairs = links[0]
+    for more in links[1:]:
+        pairs = pairs.unionByName(more)
+    return by_email.unionByName(_with_reason(pairs))
+
+
+def expand(leads: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All duplicate pairs, those inside buckets too, in which a `chosen(lead_id)` lead takes part.
+
+    Output grows with the chosen leads times their groups, never with a whole group squared.
     """
-    persons = people(leads)
-    wanted = chosen.select("lead_id").distinct()
-    with_email = persons.filter(F.col("email").isNotNull())
-    by_email = _partners(with_email.join(wanted, "lead_id", "left_semi"), with_email, ["email"])
-    twin = _named(persons)
-    by_name = _partners(twin.join(wanted, "lead_id", "left_semi"), twin, TWIN_KEY)
-    return by_email.unionByName(by_name).distinct()
-
-
-def _partners(asked: DataFrame, persons: DataFrame, key: list[str]) -> DataFrame:
-    one = asked.select(*key, F.col("age").alias("age_asked"))
-    other = persons.select(*key, F.col("age").alias("age_other"))
-    newer = F.greatest(F.col("age_asked"), F.col("age_other"))
-    older = F.least(F.col("age_asked"), F.col("age_other"))
-    return (one.join(other, key).filter(F.col("age_asked") != F.col("age_other"))
-            .select(newer["id"].alias("lead_id"), older["id"].alias("related_lead_id")))
+    persons = written(people(leads), "people")
+    asked = persons.join(chosen.select("lead_id").distinct(), "lead_id", "left_semi")
+    ours, others = asked.select("email", F.col("age").alias("mine")), persons.select("email", "age")
+    met = ours.join(others, "email").filter(F.col("mine") != F.col("age"))
+    by_email = met.select(F.greatest("mine", "age")["id"].alias("lead_id"), F.least("mine", "age")["id"].alias("related_lead_id"), _email_reason())
+    names = written(matching_names(persons), "names")
+    pairs = _pairs_by_evidence(asked, persons, names).unionByName(_pairs_by_evidence(persons, asked, names))
+    return by_email.distinct().unionByName(_with_reason(pairs))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesloom.config import OPEN_STAGES, REQUIRED_FIELDS, STALE_DAYS
 from salesloom.functions.clock import days_before, instant, whole_days
 from salesloom.functions.text import blank
-from salesloom.operators.dedup import CLIQUE_LIMIT, find_duplicates
+from salesloom.operators.dedup import find_duplicates
 from salesloom.operators.ordering import with_ids
 
 ISSUE_COLUMNS = ["issue_id", "lead_id", "issue_type", "details", "related_lead_id"]
@@ -64,9 +64,9 @@ def matching_view(leads: DataFrame, companies: DataFrame) -> DataFrame:
             .join(names, "company_id", "left"))
 
 
-def detect_issues(leads: DataFrame, companies: DataFrame, as_of: datetime, clique_limit: int = CLIQUE_LIMIT) -> DataFrame:
+def detect_issues(leads: DataFrame, companies: DataFrame, as_of: datetime) -> DataFrame:
     """All issues with dense IDs: duplicates by lead, then stale leads, then missing fields by field."""
-    pairs = find_duplicates(matching_view(leads, companies), clique_limit).pairs
+    pairs = find_duplicates(matching_view(leads, companies))
     rows = (duplicate_issues(pairs).unionByName(stale_issues(leads, as_of)).unionByName(missing_issues(leads)))
     return with_ids(rows, ISSUE_ORDER, "issue_id", "ISS").select(*ISSUE_COLUMNS)
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesloom.operators.dedup import find_duplicates
+from salesloom.operators.dedup import expand, find_duplicates
 from salesloom.operators.quality import detect_issues, matching_view
 from salesloom.operators.scoring import score_leads
 from salesloom.plans import dashboard
@@ -30,7 +30,8 @@ DASHBOARD: dict[str, Plan] = {
     "issue_list_duplicates_page_2": lambda t: dashboard.list_issues(t, "duplicate", page=2, page_size=20)[0],
     "latest_activities": dashboard.latest_activities,
     "issues_either_side": dashboard.issues_per_lead,
-    "find_duplicates": lambda t: find_duplicates(matching_view(t.leads, t.companies)).pairs,
+    "find_duplicates": lambda t: find_duplicates(matching_view(t.leads, t.companies)),
+    "expanded_duplicates": lambda t: expand(matching_view(t.leads, t.companies), t.leads.filter("owner = 'Tom Becker'")),
     "detect_issues": lambda t: detect_issues(t.leads, t.companies, t.as_of),
     "score_leads": lambda t: score_leads(t.leads, t.companies, t.activities, t.as_of),
 }
