@@ -12,14 +12,21 @@ from salesloom.sources.storage import reliable, shared_folder, written
 
 __all__ = ["fresh", "reliable", "shared_folder", "ship", "strings", "table", "utf8", "written"]
 
+BATCH_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that Python tasks can import it wherever they run."""
+    """Send this package to the executors once per context, so that Python tasks can import it wherever they run.
+
+    Texts are long, so where the session leaves Spark's default of rows in an Arrow batch, `BATCH_ROWS` is set instead.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_salesloom_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
