@@ -225,7 +225,7 @@ SELECT l.lead_id, s.score, s.fit AS fit_points, {FIT_WORDS} AS fit_summary, s.in
        s.recency AS recency_points, {RECENCY_WORDS} AS recency_summary, coalesce(i.refs, '') AS intent_refs
 FROM {LC} JOIN lead_scores s ON s.lead_id = l.lead_id LEFT JOIN type_counts t ON t.lead_id = l.lead_id
 LEFT JOIN (SELECT lead_id, string_agg(activity_id, ',' ORDER BY place) AS refs FROM (
-    SELECT lead_id, activity_id, row_number() OVER (PARTITION BY lead_id ORDER BY points DESC, activity_id) AS place FROM recent) WHERE place <= 8 GROUP BY 1) i ON i.lead_id = l.lead_id""",
+    SELECT lead_id, activity_id, row_number() OVER (PARTITION BY lead_id ORDER BY points DESC, activity_id) AS place FROM recent) GROUP BY 1) i ON i.lead_id = l.lead_id""",
     "why_now_notes": "SELECT lead_id, note, refs FROM notes",
     "outreach_drafts": f"""
 SELECT lead_id, 'Following up on ' || hook AS subject, 'Hi ' || CASE WHEN first_name = upper(first_name) THEN left(first_name, 1) || lower(substr(first_name, 2)) ELSE first_name END
@@ -248,7 +248,7 @@ WHERE place <= 5 GROUP BY 1""",
     "cited_row_tables": """
 SELECT DISTINCT i.id, CASE split_part(i.id, '-', 1) WHEN 'LD' THEN 'leads' WHEN 'CO' THEN 'companies' ELSE 'activities' END AS "table",
        CASE split_part(i.id, '-', 1) WHEN 'LD' THEN i.id WHEN 'ACT' THEN a.lead_id END AS lead_id
-FROM (SELECT unnest(regexp_extract_all(note, '(?:LD|CO|ACT|ISS|AX)-[0-9]{4,6}')) AS id FROM notes) i LEFT JOIN activities a ON a.activity_id = i.id""",
+FROM (SELECT unnest(regexp_extract_all(note, '(?:LD|CO|ACT|ISS|AX)-[0-9]{4,}')) AS id FROM notes) i LEFT JOIN activities a ON a.activity_id = i.id""",
     "import_outcomes": "SELECT row_no AS row, len(reasons) = 0 AS accepted, array_to_string(reasons, '; ') AS reasons, array_to_string(warnings, '; ') AS warnings FROM judged",
     "import_records": "SELECT * FROM records",
     "import_preview": """
@@ -295,7 +295,7 @@ FROM (SELECT issue_type, count(f) AS found, count(t) AS expected, count(CASE WHE
     "recall_by_kind": "SELECT kind, count(f.a) AS found, count(*) AS total FROM truth t LEFT JOIN (SELECT DISTINCT a, b FROM found_pairs) f ON f.a = t.a AND f.b = t.b GROUP BY 1",
     "unseeded_pairs": """
 SELECT p.a, p.b, t.kind AS trap FROM found_pairs p LEFT JOIN (SELECT * FROM truth WHERE kind = 'kind 3') t ON t.a = p.a AND t.b = p.b
-WHERE NOT EXISTS (SELECT 1 FROM truth x WHERE x.kind <> 'kind 3' AND x.a = p.a AND x.b = p.b) ORDER BY 1, 2 LIMIT 40""",
+WHERE NOT EXISTS (SELECT 1 FROM truth x WHERE x.kind <> 'kind 3' AND x.a = p.a AND x.b = p.b) ORDER BY 1, 2""",
     "trap_hits": "SELECT t.kind, count(*) AS merged FROM truth t WHERE t.kind <> 'kind 1' AND EXISTS (SELECT 1 FROM found_pairs p WHERE p.a = t.a AND p.b = t.b) GROUP BY 1",
     "answer_table": """
 SELECT owner AS question_id, 'scalar' AS kind, '' AS key, min_by(s.score, l.lead_id) AS value FROM leads l JOIN lead_scores s ON s.lead_id = l.lead_id GROUP BY 1

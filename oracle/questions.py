@@ -116,6 +116,8 @@ METRICS = {
     "metric_count_open_fintech": f"SELECT count(*) AS lead_count FROM {SCORED} WHERE l.{OPEN} AND c.industry = 'Fintech'",
     "metric_list_top_open": f"{LISTED} FROM {SCORED} WHERE l.{OPEN} ORDER BY s.score DESC, l.lead_id LIMIT 25",
     "metric_list_capped": f"{LISTED} FROM {SCORED} WHERE l.source IN ('website', 'referral') ORDER BY s.score DESC, l.lead_id LIMIT 200",
+    "metric_list_all": f"{LISTED} FROM {SCORED} WHERE l.source IN ('website', 'referral') ORDER BY s.score DESC, l.lead_id",
+    "metric_list_500": f"{LISTED} FROM {SCORED} ORDER BY s.score DESC, l.lead_id LIMIT 500",
     "metric_avg_score_by_seniority": f"SELECT l.seniority, round({avg('s.score')}, 1) AS avg_score FROM {SCORED} GROUP BY 1",
     "metric_max_score_by_source": f"SELECT l.source, max(s.score) AS max_score FROM {SCORED} WHERE c.employees > 50 GROUP BY 1",
     "metric_sum_deal_by_country": f"SELECT c.country, {total('l.deal_value')} AS total_deal_value FROM {SCORED} WHERE l.stage NOT IN ('lost') GROUP BY 1",
@@ -129,6 +131,7 @@ METRICS = {
     "metric_companies_in_size": "SELECT count(*) AS company_count FROM companies WHERE employees > 100 AND country = 'US'",
     "metric_activities_by_type": f"SELECT a.type, count(*) AS activity_count FROM {ALC} JOIN lead_scores s ON s.lead_id = l.lead_id WHERE l.stage = 'new' AND {since(10, 'a.occurred_at')} GROUP BY 1",
     "metric_activities_by_stage": f"SELECT l.stage, count(*) AS activity_count FROM {ALC} JOIN lead_scores s ON s.lead_id = l.lead_id WHERE a.type = 'meeting' AND {since(20, 'a.occurred_at')} GROUP BY 1",
+    "metric_calls_of_five_days": f"SELECT count(*) AS activity_count FROM {ALC} JOIN lead_scores s ON s.lead_id = l.lead_id WHERE a.type = 'call' AND {since(5, 'a.occurred_at')} AND {since(30, 'a.occurred_at')}",
     "metric_activity_count": f"SELECT count(*) AS activity_count FROM {ALC} JOIN lead_scores s ON s.lead_id = l.lead_id WHERE {since(30, 'a.occurred_at')}",
     "metric_issues_by_type": "SELECT issue_type, count(*) AS issue_count FROM data_issues GROUP BY 1",
     "metric_issue_count": "SELECT count(*) AS issue_count FROM data_issues",

@@ -157,11 +157,9 @@ DATE_FORMATS = (
     "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'",
     "M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy h:m a",
 )
-MAX_FILE_BYTES = 5_000_000
-MAX_FILE_ROWS = 5_000
 
 # Patterns of the evidence audit.
-ID_PATTERN = r"\b(?:LD|CO|ACT|ISS|AX)-\d{4,6}\b"
+ID_PATTERN = r"\b(?:LD|CO|ACT|ISS|AX)-\d{4,}\b"
 DATE_PATTERN = r"\b\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?\b"
 NUMBER_PATTERN = r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?%?(?![\w])"
 CELL_NUMBER_PATTERN = r"-?\d[\d,]*(?:\.\d+)?"
@@ -173,6 +171,5 @@ SUMMARY_LABELED = ("score", "lead_count", "avg_score")
 SUMMARY_ROWS = 5
 
 PROMPT_CONTRIBUTIONS = 8
-RESULT_ROWS = 200
 CALL_SHEET_MIN_SCORE = 80
 RATE_WINDOW_SECONDS = 60

@@ -54,9 +54,10 @@ def trap_hits(found: DataFrame, traps: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("merged")))
 
 
-def false_positives(found: DataFrame, truth: DataFrame, traps: DataFrame, k: int = 40) -> DataFrame:
+def false_positives(found: DataFrame, truth: DataFrame, traps: DataFrame) -> DataFrame:
+    """Found pairs that are not true, with the kind of trap they are, if any."""
     wrong = found.join(truth.select("a", "b"), ["a", "b"], "left_anti")
-    return (wrong.join(traps.select("a", "b", F.col("kind").alias("trap")), ["a", "b"], "left").orderBy("a", "b").limit(k))
+    return (wrong.join(traps.select("a", "b", F.col("kind").alias("trap")), ["a", "b"], "left").orderBy("a", "b"))
 
 
 # ------------------------------------------------------------------ answers

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from salesloom.sources.storage import reliable
 
-# A page that ends within this many rows is one bounded top-k; deeper pages use the dense numbering.
+# A page that ends within this many rows is one bounded top-k; deeper pages use the dense numbering. Both give the same rows.
 TOP_K_ROWS = 10_000
 
 

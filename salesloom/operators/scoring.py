@@ -206,13 +206,13 @@ def intent_summaries(activities: DataFrame, as_of: datetime) -> DataFrame:
     return listed.select("lead_id", text.alias("summary"))
 
 
-def breakdowns(leads: DataFrame, companies: DataFrame, activities: DataFrame, as_of: datetime,
-               per_component: int = PROMPT_CONTRIBUTIONS) -> DataFrame:
-    """Per lead: score and a struct per component with points, maximum, summary and its strongest contributions."""
-    top = top_k_per_group(contributions(leads, companies, activities, as_of), ["lead_id", "component"],
-                          contribution_order(), per_component)
-    listed = top.groupBy("lead_id", "component").agg(
-        F.array_sort(F.collect_list(F.struct("position", "source", "ref", "field", "value", "points"))).alias("rows"))
+def breakdowns(leads: DataFrame, companies: DataFrame, activities: DataFrame, as_of: datetime) -> DataFrame:
+    """Per lead: score and a struct per component with points, maximum, summary and all its contributions, the strongest first.
+
+    A lead's list holds what 30 days gave it; `contributions` is the same as one row each."""
+    strength = (-F.col("points")).alias("strength")
+    listed = contributions(leads, companies, activities, as_of).groupBy("lead_id", "component").agg(
+        F.array_sort(F.collect_list(F.struct("place", strength, "ref", "source", "field", "value", "points"))).alias("rows"))
     plain = F.transform("rows", lambda r: F.struct(r["source"].alias("source"), r["ref"].alias("ref"),
                                                     r["field"].alias("field"), r["value"].alias("value"),
                                                     r["points"].alias("points")))

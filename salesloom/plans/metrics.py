@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.config import CLOSED_STAGES, RESULT_ROWS
+from salesloom.config import CLOSED_STAGES
 from salesloom.functions.clock import in_trailing_window
 from salesloom.functions.numbers import exact_avg, exact_sum
 
@@ -130,7 +130,17 @@ def activity_rows(tables: Tables, c: Condition) -> DataFrame:
     if c.value is not None:
         rows = rows.filter(F.col("type") == c.value)
     if not c.negated:
-        rows = rows.filter(in_trailing_window(F.col("occurred_at"), tables.as_of, c.days or 30))
+        rows = rows.filter(in_trailing_window(F.col("occurred_at"), tables.as_of, 30 if c.days is None else c.days))
+    return rows
+
+
+def counted_activities(tables: Tables, conditions: Sequence[Condition]) -> DataFrame:
+    """The activity rows that meet every condition: their kind and their window hold for the same row."""
+    rows = tables.activities
+    for c in conditions or [active()]:
+        if c.value is not None:
+            rows = rows.filter(F.col("type") == c.value)
+        rows = rows.filter(in_trailing_window(F.col("occurred_at"), tables.as_of, 30 if c.days is None else c.days))
     return rows
 
 
@@ -151,6 +161,10 @@ def metric(tables: Tables, entity: str = "leads", measure: str = "list", group:
         raise UnsupportedMetric("more than one activity type is not supported")
     if any(c.days is not None and c.kind != "activity" for c in where):
         raise UnsupportedMetric("a day window is only supported for activities")
+    if any(c.days is not None and c.days < 1 for c in where):
+        raise UnsupportedMetric("a day window has at least one day")
+    if limit is not None and limit < 1:
+        raise UnsupportedMetric("a limit is at least 1")
     if group and measure == "list":
         measure = "count"
 
@@ -178,11 +192,13 @@ def metric(tables: Tables, entity: str = "leads", measure: str = "list", group:
     if entity == "activities":
         if measure != "count":
             raise UnsupportedMetric("only activity counts are supported")
+        if any(c.negated for c in acts):
+            raise UnsupportedMetric("activities cannot be counted where there are none")
         if group not in (None, "type", *LEAD_GROUPS):
             raise UnsupportedMetric(f"grouping activities by {group} is not supported")
         # Count per lead first, so a lead with very many activities is one small row in the join.
         keys = ["lead_id", "type"] if group == "type" else ["lead_id"]
-        rows = activity_rows(tables, acts[0] if acts else active())
+        rows = counted_activities(tables, acts)
         per_lead = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         joined = per_lead.join(df, "lead_id")
         total = F.coalesce(F.sum("n"), F.lit(0)).alias("activity_count")
@@ -204,7 +220,7 @@ def metric(tables: Tables, entity: str = "leads", measure: str = "list", group:
         return grouped.orderBy(F.col(grouped.columns[1]).desc_nulls_last())
     if measure != "list":
         return df.agg(measures[measure])
-    size = min(limit or (10 if ranked else RESULT_ROWS), RESULT_ROWS)
+    size = 10 if limit is None and ranked else limit
     name = F.concat("first_name", F.lit(" "), "last_name").alias("name")
-    return (df.select("lead_id", name, "company", "stage", "owner", "score")
-            .orderBy(F.desc("score"), F.asc("lead_id")).limit(size))
+    listed = df.select("lead_id", name, "company", "stage", "owner", "score").orderBy(F.desc("score"), F.asc("lead_id"))
+    return listed if size is None else listed.limit(size)

@@ -179,7 +179,10 @@ QUESTIONS: dict[str, Plan] = {
 METRICS: dict[str, Plan] = {
     "metric_count_open_fintech": lambda t: metric(t, measure="count", where=[open_stage(), equals("industry", "Fintech")]),
     "metric_list_top_open": lambda t: metric(t, ranked=True, limit=25, where=[open_stage()]),
-    "metric_list_capped": lambda t: metric(t, where=[one_of("source", "website", "referral")]),
+    "metric_list_capped": lambda t: metric(t, where=[one_of("source", "website", "referral")], limit=200),
+    "metric_list_all": lambda t: metric(t, where=[one_of("source", "website", "referral")]),
+    "metric_list_500": lambda t: metric(t, limit=500),
+    "metric_calls_of_five_days": lambda t: metric(t, entity="activities", measure="count", where=[active(), active("call", 5)]),
     "metric_avg_score_by_seniority": lambda t: metric(t, measure="avg_score", group="seniority"),
     "metric_max_score_by_source": lambda t: metric(t, measure="max_score", group="source", where=[above("employees", 50)]),
     "metric_sum_deal_by_country": lambda t: metric(t, measure="sum_deal", group="country", where=[none_of("stage", "lost")]),

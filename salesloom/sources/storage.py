@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset (tests, local runs)."""
+    """`spark.checkpoint.dir` of the session. Only a local master, whose executors share the driver's disk, may leave it unset."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(context, "_salesloom_folder", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="salesloom-")

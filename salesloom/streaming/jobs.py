@@ -1,10 +1,10 @@
 """Streaming twins of the event-driven parts: intent events, limiter, refresh of derived tables, ledger totals."""
 
 import sys
-from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from salesloom.config import INTENT_WINDOW_DAYS, RATE_WINDOW_SECONDS
 from salesloom.functions.clock import instant
-from salesloom.operators.limiter import MICROS, admit, micros_of
+from salesloom.operators.limiter import MICROS, micros_of, walk
 from salesloom.operators.quality import missing_issues, stale_issues
 from salesloom.operators.scoring import SCORE_COLUMNS, score_leads
 from salesloom.sources.ledger import LEDGER_SCHEMA
@@ -75,15 +75,19 @@ def limit_stream(hits: DataFrame, limit: int, window_seconds: int = RATE_WINDOW_
         if state.hasTimedOut:
             state.remove()
             return
-        recent = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(chunks)).sort_values(["at", "hit_id"])  # one key of one bounded micro-batch
-        waits = pd.Series([admit(recent, now, limit, window) for now in rows["at"]], dtype="object", index=rows.index)
-        state.update((list(recent),))
-        expiry = (int(rows["at"].iloc[-1]) + window) // 1000 + 1
+        # Two numbers for each hit of the key in this micro-batch, whose size the source's rate limit bounds.
+        at, ids = (np.concatenate(c) for c in zip(*[(c["at"].to_numpy(np.int64), c["hit_id"].to_numpy(np.int64)) for c in chunks]))
+        order = np.lexsort((ids, at))
+        at, ids = at[order], ids[order]
+        passed = np.array(state.get[0] if state.exists else [], np.int64)
+        if len(passed):  # hits later than allowed for, before passed ones, count as if they came with the last of these
+            at = np.maximum(at, passed[-1])
+        waits, passed = walk(at, passed, limit, window)
+        state.update((passed.tolist(),))
+        expiry = (int(at[-1]) + window) // 1000 + 1
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        passed = waits.isna()
-        yield pd.DataFrame({"key": key[0], "hit_id": rows["hit_id"], "admitted": passed,
-                            "wait_seconds": (pd.to_numeric(waits) / MICROS).where(~passed, None)})
+        wait = pd.Series(waits / MICROS).where(pd.Series(waits >= 0))
+        yield pd.DataFrame({"key": key[0], "hit_id": ids, "admitted": waits < 0, "wait_seconds": wait})
 
     return timed.groupBy("key").applyInPandasWithState(
         flag, FLAG_SCHEMA, "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -102,9 +106,12 @@ def refresher(root: str, leads: DataFrame, companies: DataFrame, as_of: datetime
     def refresh(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{activity_root}/batch={number:09d}")
-        all_activities = spark.read.schema(batch.schema).parquet(activity_root).dropDuplicates(["activity_id"])
         touched = spark.read.schema(batch.schema).parquet(f"{activity_root}/batch={number:09d}").select("lead_id").distinct()
-        scored = score_leads(leads, companies, all_activities, as_of, touched)
+        # Only rows that can change a score: of the touched leads, inside the intent window; repeats go after that.
+        oldest = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(INTENT_WINDOW_DAYS))
+        recent = spark.read.schema(batch.schema).parquet(activity_root).filter(F.col("occurred_at") >= oldest)
+        recent = recent.join(touched, "lead_id", "left_semi").dropDuplicates(["activity_id"])
+        scored = score_leads(leads, companies, recent, as_of, touched)
         scored.write.mode("overwrite").parquet(f"{score_root}/batch={number:09d}")
         mine = touched.join(leads.select("lead_id"), "lead_id", "left_semi")
         found = stale_issues(leads, as_of, mine).unionByName(missing_issues(leads, mine)).select("lead_id", "issue_type", "details")

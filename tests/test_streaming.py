@@ -1,12 +1,12 @@
 import json
 import random
-from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salesloom.operators.limiter import admit, limit_flags
+from salesloom.operators.limiter import limit_flags, walk
 from salesloom.operators.quality import missing_issues, stale_issues
 from salesloom.operators.scoring import intent_totals, score_leads
 from salesloom.plans.workspace import Workspace
@@ -34,12 +34,41 @@ def hits(n=3000, seed=3):
     return rows
 
 
-def test_published_limiter_case():
-    recent = deque()
-    second = 1_000_000
-    assert [admit(recent, t * second, 3, 60 * second) for t in (0, 1, 2)] == [None] * 3
-    assert admit(recent, 3 * second, 3, 60 * second) == 57 * second
-    assert admit(recent, 61 * second, 3, 60 * second) is None
+@pytest.mark.parametrize("seed", range(20))
+def test_walk_equals_a_count_of_passed_hits(seed):
+    rng = random.Random(seed)
+    times = sorted(rng.randrange(rng.choice([80, 2000])) for _ in range(150))
+    limit, window, cut = rng.randint(1, 6), rng.randint(1, 50), rng.randrange(150)
+    passed, want = [], []
+    for t in times:
+        inside = [x for x in passed if t - x < window]
+        want.append(-1 if len(inside) < limit else inside[-limit] + window - t)
+        if want[-1] < 0:
+            passed.append(t)
+    first, state = walk(np.array(times[:cut], np.int64), np.empty(0, np.int64), limit, window)
+    second, _ = walk(np.array(times[cut:], np.int64), state, limit, window)
+    assert [*first, *second] == want
+
+
+def test_a_very_busy_key(spark):
+    n = 1_000_000  # 1,000 hits a second for 1,000 seconds
+    df = spark.range(n).select(F.lit("busy").alias("key"), F.timestamp_micros(F.col("id") * 1000).alias("t"), F.col("id").alias("hit_id"))
+    got = limit_flags(df, 50, 60).groupBy("admitted").count().collect()
+    assert {r.admitted: r["count"] for r in got} == {True: 17 * 50, False: n - 17 * 50}
+
+
+def test_calm_stretches_keep_everything_and_cut_the_walk(spark):
+    start = datetime(2026, 1, 1)
+    rows = [("k", start + timedelta(seconds=20 * i), i) for i in range(300)] + [("k", start + timedelta(seconds=3000 + i % 7), 1000 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, t timestamp_ntz, hit_id bigint")
+    for limit in (3, 4, 6, 10):
+        assert {r.hit_id: r.admitted for r in limit_flags(df, limit).collect()} == sequential(rows, limit)
+
+
+def test_null_keys_are_one_key_and_null_times_have_no_flag(spark):
+    t = datetime(2026, 1, 1)
+    df = spark.createDataFrame([(None, t, 1), (None, t, 2), ("a", t, 3), ("a", None, 4)], "key string, t timestamp_ntz, hit_id bigint")
+    assert {r.hit_id: r.admitted for r in limit_flags(df, 1).collect()} == {1: True, 2: False, 3: True, 4: None}
 
 
 @pytest.mark.parametrize("limit", [1, 3, 8])
