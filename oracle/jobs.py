@@ -138,8 +138,11 @@ FROM made_actions a LEFT JOIN ranked_decisions d ON d.action_id = a.action_id AN
     "turns": "SELECT action_id, decided_at, unnest(lead_ids) AS lead_id FROM decided WHERE status = 'approved'",
     "planned": """
 SELECT action_id, type, lead_ids, primary_id, CASE WHEN EXISTS (SELECT 1 FROM turns t JOIN turns u ON u.lead_id = t.lead_id
-            WHERE t.action_id = d.action_id AND (u.decided_at, u.action_id) < (t.decided_at, t.action_id)) THEN 'wait' ELSE 'run' END AS state
-FROM decided d WHERE status = 'approved'""",
+            WHERE t.action_id = d.action_id AND (u.decided_at, u.action_id) < (t.decided_at, t.action_id)) THEN 'wait' WHEN missing IS NOT NULL THEN 'gone' ELSE 'run' END AS state, missing
+FROM decided d LEFT JOIN (SELECT action_id AS absent, string_agg(lead_id, ', ' ORDER BY place) AS missing
+    FROM (SELECT action_id, unnest(lead_ids) AS lead_id, generate_subscripts(lead_ids, 1) AS place FROM decided WHERE status = 'approved')
+    WHERE lead_id NOT IN (SELECT lead_id FROM present) GROUP BY 1) ON absent = action_id WHERE status = 'approved'""",
+    "present": "SELECT * FROM leads WHERE CAST(substr(lead_id, 4) AS BIGINT) % 97 <> 5",
     "donors": "SELECT action_id, primary_id, lead_id FROM (SELECT action_id, primary_id, unnest(lead_ids) AS lead_id FROM planned WHERE state = 'run' AND type = 'merge') WHERE lead_id <> primary_id",
     "touched": "SELECT action_id, type, unnest(lead_ids) AS lead_id FROM planned WHERE state = 'run'",
     "survivors": """
@@ -153,8 +156,8 @@ SELECT l.lead_id, l.company_id, l.first_name, l.last_name,
        l.seniority, l.source, CASE WHEN t.type = 'stage_change' THEN 'won' WHEN t.type = 'outreach' AND l.stage = 'new' THEN 'contacted' ELSE l.stage END AS stage,
        l.deal_value, l.owner, l.created_at, CASE WHEN t.type = 'outreach' THEN {AS_OF_TEXT} ELSE l.last_contacted_at END AS last_contacted_at,
        CASE WHEN t.lead_id IS NOT NULL THEN {AS_OF_TEXT} ELSE l.updated_at END AS updated_at
-FROM leads l LEFT JOIN touched t ON t.lead_id = l.lead_id LEFT JOIN survivors s ON s.primary_id = l.lead_id WHERE l.lead_id NOT IN (SELECT lead_id FROM donors)""",
-    "edited": f"SELECT * REPLACE (CASE WHEN owner = 'Tom Becker' THEN {AS_OF_TEXT} ELSE last_contacted_at END AS last_contacted_at) FROM leads WHERE owner <> 'Hana Sato'",
+FROM present l LEFT JOIN touched t ON t.lead_id = l.lead_id LEFT JOIN survivors s ON s.primary_id = l.lead_id WHERE l.lead_id NOT IN (SELECT lead_id FROM donors)""",
+    "edited": f"SELECT * REPLACE (CASE WHEN owner = 'Karl Lindt' THEN {AS_OF_TEXT} ELSE last_contacted_at END AS last_contacted_at) FROM leads WHERE owner <> 'Yara Moss'",
     "ordered_hits": "SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events",
     "by_event": "SELECT printf('Q%05d', user_id) AS question_id, user_id, event_type AS key, count(*)::DOUBLE AS value FROM events GROUP BY ALL",
     "found_pairs": "SELECT least(lead_id, related_lead_id) AS a, greatest(lead_id, related_lead_id) AS b FROM data_issues WHERE issue_type = 'duplicate'",
@@ -269,24 +272,40 @@ SELECT reason, count(*) AS rows FROM (SELECT unnest(CASE WHEN len(reasons) = 0 T
     "created_actions": "SELECT action_id, type, lead_list AS lead_ids, payload_json, 'pending' AS status, note FROM made_actions",
     "decided_actions": "SELECT action_id, status, decided_at, decided_by, note FROM decided",
     "decision_conflicts": """SELECT action_id, "at", actor, action_id || ' is already ' || stands AS message FROM ranked_decisions WHERE turn > 1""",
-    "batch_plan": "SELECT action_id, state, NULL::VARCHAR AS missing FROM planned",
+    "batch_plan": "SELECT action_id, state, missing FROM planned",
     "executed_leads": "SELECT * FROM leads_after",
     "executed_activities": "SELECT a.activity_id, coalesce(d.primary_id, a.lead_id) AS lead_id, a.type, a.occurred_at FROM activities a LEFT JOIN donors d ON d.lead_id = a.lead_id",
     "executed_issues": f"""
 SELECT lead_id, issue_type, details, related_lead_id FROM data_issues WHERE issue_type = 'duplicate' AND lead_id NOT IN (SELECT lead_id FROM donors)
-       AND related_lead_id NOT IN (SELECT lead_id FROM donors)
-UNION ALL SELECT lead_id, issue_type, details, related_lead_id FROM data_issues WHERE issue_type <> 'duplicate' AND lead_id NOT IN (SELECT lead_id FROM touched)
+       AND related_lead_id NOT IN (SELECT lead_id FROM donors) AND lead_id IN (SELECT lead_id FROM present) AND related_lead_id IN (SELECT lead_id FROM present)
+UNION ALL SELECT lead_id, issue_type, details, related_lead_id FROM data_issues WHERE issue_type <> 'duplicate' AND lead_id NOT IN (SELECT lead_id FROM touched) AND lead_id IN (SELECT lead_id FROM present)
 UNION ALL SELECT lead_id, 'missing_field', 'Missing ' || f, NULL FROM (SELECT lead_id, unnest({noted("CASE WHEN email IS NULL OR trim(email) = '' THEN 'email' END", "CASE WHEN phone IS NULL OR trim(phone) = '' THEN 'phone' END", "CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' END")}) AS f
        FROM leads_after WHERE lead_id IN (SELECT lead_id FROM touched))
 UNION ALL SELECT lead_id, 'stale', 'Open lead in stage ''' || stage || ''', ' || CASE WHEN last_contacted_at IS NOT NULL THEN 'last contacted ' ELSE 'never contacted, created ' END
        || CAST(CAST(floor((epoch_us({AS_OF_TEXT}) - epoch_us(coalesce(last_contacted_at, created_at))) / 1e6 / 86400) AS BIGINT) AS VARCHAR) || ' days ago', NULL
 FROM leads_after WHERE lead_id IN (SELECT lead_id FROM touched) AND stage NOT IN ('won', 'lost') AND coalesce(last_contacted_at, created_at) < {AS_OF_TEXT} - INTERVAL '90' DAY""",
+    "executed_audit": """
+SELECT d.action_id, CASE WHEN p.state = 'run' THEN 'executed' ELSE d.status END AS status,
+       concat_ws(' | ', m.actor || '=created ' || d.type || ' for ' || array_to_string(d.lead_ids, ', '),
+           r.actor || '=' || r.verdict || CASE WHEN coalesce(r.note, '') <> '' THEN ': ' || r.note ELSE '' END,
+           CASE p.state WHEN 'gone' THEN 'system=execution failed: leads no longer exist: ' || p.missing
+                WHEN 'run' THEN 'system=executed: ' || CASE d.type
+                    WHEN 'stage_change' THEN 'set stage to ''' || json_extract_string(m.payload_json, '$.stage') || ''' on ' || array_to_string(d.lead_ids, ', ')
+                    WHEN 'outreach' THEN 'logged email outreach to ' || array_to_string(d.lead_ids, ', ')
+                    ELSE 'merged ' || array_to_string(list_filter(d.lead_ids, lambda x: x <> d.primary_id), ', ') || ' into ' || d.primary_id || ' (moved '
+                         || CAST(coalesce(v.moved, 0) AS VARCHAR) || ' activities' || coalesce(', filled ' || nullif(f.filled, ''), '') || ')' END END) AS trail
+FROM decided d JOIN made_actions m ON m.action_id = d.action_id LEFT JOIN ranked_decisions r ON r.action_id = d.action_id AND r.turn = 1
+LEFT JOIN planned p ON p.action_id = d.action_id
+LEFT JOIN (SELECT x.action_id, count(*) AS moved FROM donors x JOIN activities a ON a.lead_id = x.lead_id GROUP BY 1) v ON v.action_id = d.action_id
+LEFT JOIN (SELECT l.lead_id, concat_ws(', ', CASE WHEN (l.email IS NULL OR trim(l.email) = '') AND s.email IS NOT NULL THEN 'email' END,
+               CASE WHEN (l.phone IS NULL OR trim(l.phone) = '') AND s.phone IS NOT NULL THEN 'phone' END, CASE WHEN (l.title IS NULL OR trim(l.title) = '') AND s.title IS NOT NULL THEN 'title' END) AS filled
+           FROM present l JOIN survivors s ON s.primary_id = l.lead_id) f ON f.lead_id = d.primary_id AND d.type = 'merge'""",
     "action_counts": """
 SELECT coalesce(status, 'all') AS status, count(*) AS n FROM (
     SELECT CASE WHEN p.state = 'run' THEN 'executed' ELSE d.status END AS status FROM decided d LEFT JOIN planned p ON p.action_id = d.action_id) GROUP BY ROLLUP (status)""",
     "issue_refresh": f"""
 SELECT lead_id, issue_type, details, related_lead_id FROM data_issues WHERE lead_id IN (SELECT lead_id FROM edited) AND (related_lead_id IS NULL OR related_lead_id IN (SELECT lead_id FROM edited))
-       AND (issue_type <> 'stale' OR lead_id NOT IN (SELECT lead_id FROM leads WHERE owner = 'Tom Becker'))""",
+       AND (issue_type <> 'stale' OR lead_id NOT IN (SELECT lead_id FROM leads WHERE owner = 'Karl Lindt'))""",
     "cleaning_metrics": """
 SELECT issue_type, CASE WHEN found > 0 THEN round(tp / found, 4) ELSE 0 END AS precision, CASE WHEN expected > 0 THEN round(tp / expected, 4) ELSE 0 END AS recall,
        CASE WHEN tp > 0 THEN round(2 * (tp / found) * (tp / expected) / (tp / found + tp / expected), 4) ELSE 0 END AS f1, found, expected

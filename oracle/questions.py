@@ -39,7 +39,7 @@ QUESTIONS = {
     "q06_missing_phone": leads("phone IS NULL OR trim(phone) = ''"),
     "q07_missing_title": leads("title IS NULL OR trim(title) = ''"),
     "q08_negotiation": leads("stage = 'negotiation'"),
-    "q09_owner_leads": leads("owner = 'Maya Chen'"),
+    "q09_owner_leads": leads("owner = 'Ines Vogt'"),
     "q10_fintech_companies": "SELECT count(*) AS n FROM companies WHERE industry = 'Fintech'",
     "q11_demo_last_7_days": f"SELECT count(DISTINCT lead_id) AS n FROM activities WHERE type = 'demo_request' AND {since(7)}",
     "q12_pricing_last_30_days": f"SELECT count(DISTINCT lead_id) AS n FROM activities WHERE type = 'pricing_page_visit' AND {since(30)}",
@@ -52,13 +52,13 @@ QUESTIONS = {
     "q19_from_referrals": leads("source = 'referral'"),
     "q20_c_level": leads("seniority = 'c_level'"),
     "q21_highest_score": "SELECT max(score) AS n FROM lead_scores",
-    "q22_stale_of_owner": f"SELECT count(DISTINCT i.lead_id) AS n FROM {IL} WHERE i.issue_type = 'stale' AND l.owner = 'Tom Becker'",
+    "q22_stale_of_owner": f"SELECT count(DISTINCT i.lead_id) AS n FROM {IL} WHERE i.issue_type = 'stale' AND l.owner = 'Karl Lindt'",
     "q23_large_companies": "SELECT count(*) AS n FROM companies WHERE employees > 1000",
     "q24_leads_in_germany": "SELECT count(*) AS n FROM leads l JOIN companies c ON c.company_id = l.company_id WHERE c.country = 'DE'",
     "q25_average_won_deal": f"SELECT round({avg('deal_value')}, 0) AS n FROM leads WHERE stage = 'won'",
     "q26_top_10": top(LS, "TRUE", 10),
     "q27_top_open_fintech": top(SCORED, f"c.industry = 'Fintech' AND l.{OPEN}", 5),
-    "q28_top_of_owner": top(SCORED, "l.owner = 'Priya Nair'", 5),
+    "q28_top_of_owner": top(SCORED, "l.owner = 'Lena Hoek'", 5),
     "q29_fintech_demo_3_days": f"SELECT DISTINCT a.lead_id FROM {ALC} WHERE c.industry = 'Fintech' AND a.type = 'demo_request' AND {since(3, 'a.occurred_at')}",
     "q30_top_stale": "SELECT i.lead_id FROM data_issues i JOIN lead_scores s ON s.lead_id = i.lead_id WHERE i.issue_type = 'stale' ORDER BY s.score DESC, i.lead_id LIMIT 10",
     "q31_ids_missing_email": "SELECT lead_id FROM leads WHERE email IS NULL OR trim(email) = ''",
@@ -66,7 +66,7 @@ QUESTIONS = {
     "q33_top_c_level_software": top(SCORED, "l.seniority = 'c_level' AND c.industry = 'Software'", 5),
     "q34_negotiation_at_large": "SELECT l.lead_id FROM leads l JOIN companies c ON c.company_id = l.company_id WHERE c.employees > 5000 AND l.stage = 'negotiation'",
     "q35_top_uk": top(SCORED, "c.country = 'GB'", 5),
-    "q36_duplicates_of_owner": f"SELECT DISTINCT i.lead_id FROM {IL} WHERE i.issue_type = 'duplicate' AND l.owner = 'Maya Chen'",
+    "q36_duplicates_of_owner": f"SELECT DISTINCT i.lead_id FROM {IL} WHERE i.issue_type = 'duplicate' AND l.owner = 'Ines Vogt'",
     "q37_top_from_events": top(SCORED, "l.source = 'event'", 5),
     "q38_open_large_deals": f"SELECT lead_id FROM leads WHERE {OPEN} AND deal_value > 60000",
     "q39_top_never_contacted": top(LS, "l.last_contacted_at IS NULL", 5),
@@ -86,7 +86,7 @@ QUESTIONS = {
     "h03_no_phone": leads("phone IS NULL OR trim(phone) = ''"),
     "h04_not_reached": leads("last_contacted_at IS NULL"),
     "h05_mean_c_level_score": f"SELECT round({avg('s.score')}, 1) AS n FROM {LS} WHERE l.seniority = 'c_level'",
-    "h06_open_healthcare_of_owner": f"SELECT count(*) AS n FROM {SCORED} WHERE l.{OPEN} AND c.industry = 'Healthcare' AND l.owner = 'Daniel Ortiz'",
+    "h06_open_healthcare_of_owner": f"SELECT count(*) AS n FROM {SCORED} WHERE l.{OPEN} AND c.industry = 'Healthcare' AND l.owner = 'Otto Brandt'",
     "h07_vp_us_qualified": f"SELECT l.lead_id FROM {SCORED} WHERE l.seniority = 'vp' AND c.industry = 'Logistics' AND c.country = 'US' AND l.stage = 'qualified'",
     "h08_director_linkedin_score": f"SELECT count(*) AS n FROM {SCORED} WHERE l.seniority = 'director' AND l.source = 'linkedin' AND s.score > 60",
     "h09_canadian_c_level_70": f"SELECT l.lead_id FROM {SCORED} WHERE c.country = 'CA' AND l.seniority = 'c_level' AND s.score >= 70",
@@ -105,7 +105,7 @@ QUESTIONS = {
     "h22_fresh_but_quiet": f"SELECT count(*) AS n FROM leads l WHERE l.last_contacted_at < {AS_OF_TEXT} - INTERVAL '60' DAY AND NOT EXISTS (SELECT 1 FROM data_issues i WHERE i.lead_id = l.lead_id AND i.issue_type = 'stale')",
     "h23_stale_by_stage": f"SELECT l.stage, count(DISTINCT i.lead_id) AS value FROM {IL} WHERE i.issue_type = 'stale' GROUP BY 1",
     "d07_demo_never_contacted": "SELECT DISTINCT l.lead_id FROM leads l JOIN activities a ON a.lead_id = l.lead_id WHERE a.type = 'demo_request' AND l.last_contacted_at IS NULL",
-    "d08_replies_of_owner": "SELECT count(*) AS n FROM activities a JOIN leads l ON l.lead_id = a.lead_id WHERE l.owner = 'Priya Nair' AND a.type = 'email_reply' AND a.occurred_at >= TIMESTAMP '2024-01-01' AND a.occurred_at < TIMESTAMP '2024-02-01'",
+    "d08_replies_of_owner": "SELECT count(*) AS n FROM activities a JOIN leads l ON l.lead_id = a.lead_id WHERE l.owner = 'Lena Hoek' AND a.type = 'email_reply' AND a.occurred_at >= TIMESTAMP '2024-01-01' AND a.occurred_at < TIMESTAMP '2024-02-01'",
     "d09_won_deal_by_industry": f"SELECT c.industry, {avg('l.deal_value')} AS value FROM leads l JOIN companies c ON c.company_id = l.company_id WHERE l.stage = 'won' GROUP BY 1",
     "d10_call_first": top(LS, f"l.{OPEN}", 5),
 }
@@ -174,7 +174,7 @@ LEFT JOIN lead_scores s ON least(floor(s.score / 10), 9) = b.range GROUP BY 1))"
     "latest_activities": "SELECT activity_id, lead_id, type, occurred_at, position FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY occurred_at DESC, activity_id) AS position FROM activities) WHERE position <= 50",
     "issues_either_side": "SELECT lead_id, issue_id, 'subject' AS side FROM data_issues UNION ALL SELECT related_lead_id, issue_id, 'related' FROM data_issues WHERE related_lead_id IS NOT NULL",
     "find_duplicates": "SELECT lead_id, related_lead_id, reason FROM duplicate_pairs",
-    "expanded_duplicates": "SELECT lead_id, related_lead_id, reason FROM full_pairs WHERE lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Tom Becker') OR related_lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Tom Becker')",
+    "expanded_duplicates": "SELECT lead_id, related_lead_id, reason FROM full_pairs WHERE lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Karl Lindt') OR related_lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Karl Lindt')",
     "detect_issues": "SELECT issue_id, lead_id, issue_type, details, related_lead_id FROM data_issues",
     "score_leads": "SELECT lead_id, score, fit, intent, recency FROM lead_scores",
 }

@@ -75,7 +75,7 @@ def append_audit(audit_log: DataFrame, entries: DataFrame, order: list[str]) ->
     last = audit_log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     numbered = number_rows(entries, order, "_n").crossJoin(F.broadcast(last))  # one row
     return audit_log.select(*AUDIT_COLUMNS).unionByName(
-        numbered.select((F.col("_n") + F.col("_last")).cast("int").alias("id"), "action_id", "event", "at", "actor"))
+        numbered.select((F.col("_n") + F.col("_last")).alias("id"), "action_id", "event", "at", "actor"))
 
 
 def create_actions(checked: DataFrame, actions: DataFrame, audit_log: DataFrame, at: datetime) -> Change:
@@ -186,9 +186,10 @@ def execute(actions: DataFrame, audit_log: DataFrame, leads: DataFrame, companie
     }
     new_leads = written(joined.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in leads.columns]), "leads")
     moves = donors.select("lead_id", "primary_id", F.col("action_id").alias("_action"))
-    traced = activities.join(moves, "lead_id", "left")
-    new_activities = written(traced.withColumn("lead_id", F.coalesce("primary_id", "lead_id")).select(*activities.columns), "activities")
-    moved = traced.filter(F.col("_action").isNotNull()).groupBy(F.col("_action").alias("action_id")).agg(F.count(F.lit(1)).alias("_moved"))
+    # Activities are not rewritten: a table with a row for each donor says whose they are now, and readers apply it.
+    new_activities = (activities.join(moves.select("lead_id", "primary_id"), "lead_id", "left")
+                      .withColumn("lead_id", F.coalesce("primary_id", "lead_id")).select(*activities.columns))
+    moved = activities.select("lead_id").join(moves, "lead_id").groupBy(F.col("_action").alias("action_id")).agg(F.count(F.lit(1)).alias("_moved"))
 
     gone = donors.select("lead_id")
     related_gone = gone.withColumnRenamed("lead_id", "related_lead_id")
@@ -196,8 +197,11 @@ def execute(actions: DataFrame, audit_log: DataFrame, leads: DataFrame, companie
     left_issues = own.filter(F.col("related_lead_id").isNull()).unionByName(
         own.filter(F.col("related_lead_id").isNotNull()).join(related_gone, "related_lead_id", "left_anti").select(*own.columns))
     touched = running.select(F.explode("lead_ids").alias("lead_id"))
+    # Only activities of the touched leads, donors among them, are read for the new scores.
+    theirs = activities.join(touched.distinct(), "lead_id", "left_semi").join(moves.select("lead_id", "primary_id"), "lead_id", "left")
+    theirs = theirs.withColumn("lead_id", F.coalesce("primary_id", "lead_id")).select(*activities.columns)
     new_issues = refresh_issues(left_issues.select(*issues.columns), new_leads, touched, as_of)
-    new_scores = rescore(scores, new_leads, companies, new_activities, touched, as_of)
+    new_scores = rescore(scores.join(new_leads.select("lead_id"), "lead_id", "left_semi"), new_leads, companies, theirs, touched, as_of)
 
     entries = plan.filter(F.col("state") == "gone").select(
         "action_id", F.concat(F.lit("execution failed: leads no longer exist: "), F.col("missing")).alias("event")).unionByName(

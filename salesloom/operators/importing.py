@@ -255,7 +255,7 @@ def import_rows(rows: DataFrame, leads: DataFrame, companies: DataFrame, activit
     batches = audit_log.filter(F.col("action_id").startswith("IMP-")).agg((F.count(F.lit(1)) + 1).alias("_batch"))
     last = audit_log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     entry = counts.crossJoin(batches).crossJoin(last).select(  # one-row frames
-        (F.col("_last") + 1).cast("int").alias("id"), F.format_string("IMP-%05d", F.col("_batch")).alias("action_id"),
+        (F.col("_last") + 1).cast("bigint").alias("id"), F.format_string("IMP-%05d", F.col("_batch")).alias("action_id"),
         F.concat(F.lit("imported "), F.col("imported").cast("string"), F.lit(f" leads from {filename} ("),
                  F.col("rejected").cast("string"), F.lit(" rows rejected)")).alias("event"),
         instant(at).alias("at"), F.lit(actor).alias("actor"))

@@ -34,8 +34,8 @@ LAST_NAMES = ["Gonzalez", "Smith", "Lee", "Novak", "Rossi", "Garcia", "Jackson",
 TYPO_NAMES = ["Gonzales", "Smiht", "Lee", "Novack", "Rosi", "Garcai", "Jakson", "Rigs", "Freitass", "Lopes",
               "Okafro", "Tanaca", "Schmitd", "Duboi", "Larsne", "Nguyenn", "Patle", "Kovac", "Ng", "Moreua",
               "Fisher", "Santso", "Ivanov"]
-OWNERS = ["Maya Chen", "Daniel Ortiz", "Priya Nair", "Tom Becker", "Aisha Bello", "Lucas Martin", "Hana Sato",
-          "Ravi Kumar"]
+OWNERS = ["Ines Vogt", "Otto Brandt", "Lena Hoek", "Karl Lindt", "Nora Falk", "Emil Roth", "Yara Moss",
+          "Paul Stein"]
 STAGES = ["new", "contacted", "qualified", "proposal", "negotiation", "won", "lost", "new", "contacted"]
 SENIORITIES = ["c_level", "vp", "director", "manager", "individual", "individual", None]
 SOURCES = ["website", "referral", "linkedin", "event", "cold_outbound", "partner"]
@@ -171,13 +171,13 @@ SELECT c_custkey + 2 AS row_no,
        {_pick("(c_custkey % 6)", ["United Kingdom", "usa", "Deutschland", "Spain", "", "FR"])} AS country,
        {_pick("(c_custkey % 7)", ["Open Deal", "Closed - Converted", "Unqualified", "Nurture", "", "MQL", "in progress"])} AS stage,
        {_pick("(c_custkey % 6)", ["Organic Search", "Word of mouth", "", "Trade Show", "PARTNER", "???"])} AS source,
-       {_pick("(c_custkey % 3)", ["Maya Chen", "", "Ravi Kumar"])} AS owner,
+       {_pick("(c_custkey % 3)", ["Ines Vogt", "", "Paul Stein"])} AS owner,
        {_pick("(c_custkey % 9)", ["$12,500.00", "", "99.5", "€ 1 000", "TBD", "0", "1500+", "20-40", "7"])} AS deal_value,
        {_pick("(c_custkey % 7)", ["2023-11-02", "", "11/20/2023", "2023-12-24 08:30", "not a date", "2024-03-01", "2023-10-05T06:07:08Z"])} AS created_at,
        {_pick("(c_custkey % 5)", ["", "1/5/2024", "2024-01-20 10:11:12", "12/31/2023 11:59 pm", "2024-01-25"])} AS last_contacted_at
 FROM customer"""
 
-# Proposed changes, one per tenth lead; some break a rule.
+# Proposed changes, one for each lead; some break a rule.
 PROPOSALS_SQL = f"""
 SELECT c_custkey AS proposal_id,
        {_pick("(CAST(floor(c_custkey / 10) AS BIGINT) % 3)", ["stage_change", "outreach", "merge"])} AS type,
@@ -192,7 +192,7 @@ SELECT c_custkey AS proposal_id,
             ELSE CASE WHEN c_custkey % 150 = 20 THEN '{{{{"primary_id":"LD-00000"}}}}' WHEN c_custkey % 60 = 20 THEN '{{{{}}}}'
                       ELSE printf('{{{{"primary_id":"LD-%05d"}}}}', c_custkey + 1) END END AS payload_json,
        'alice' AS actor, CASE WHEN c_custkey % 20 = 0 THEN 'please check' END AS note
-FROM customer WHERE c_custkey % 10 = 0"""
+FROM customer"""
 
 # Decisions on the actions made from these proposals; some actions are decided twice.
 DECISIONS_SQL = f"""

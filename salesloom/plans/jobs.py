@@ -96,9 +96,14 @@ def decided(ws: Workspace) -> changes.Decided:
         created(ws).actions, input_view(ws.spark, ws.sf_dir, "decisions"), created(ws).audit_log))
 
 
+def remaining(ws: Workspace) -> DataFrame:
+    """The leads that are left when the batch runs: some were deleted after the decisions."""
+    return ws.leads.filter(F.substring("lead_id", 4, 20).cast("bigint") % 97 != 5)
+
+
 def executed(ws: Workspace) -> changes.Executed:
     return ws.once("executed", lambda: changes.execute(
-        decided(ws).actions, decided(ws).audit_log, ws.leads, ws.companies, ws.activities, ws.data_issues, ws.lead_scores, ws.as_of, AT))
+        decided(ws).actions, decided(ws).audit_log, remaining(ws), ws.companies, ws.activities, ws.data_issues, ws.lead_scores, ws.as_of, AT))
 
 
 def action_rows(df: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def audit_trail(ws: Workspace) -> DataFrame:
 
 def batch_plan(ws: Workspace) -> DataFrame:
     approved = decided(ws).actions.filter(F.col("status") == "approved")
-    return changes.plan_batch(approved, ws.leads).select("action_id", "state", "missing")
+    return changes.plan_batch(approved, remaining(ws)).select("action_id", "state", "missing")
 
 
 # ------------------------------------------------------------------ evidence
@@ -367,9 +372,9 @@ def constraint_violations(ws: Workspace) -> DataFrame:
 def issue_refresh(ws: Workspace) -> DataFrame:
     """Issues after every lead of one owner was contacted and another owner's leads were deleted."""
     now = F.lit(ws.as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    edited = ws.leads.filter(F.col("owner") != "Hana Sato").withColumn(
-        "last_contacted_at", F.when(F.col("owner") == "Tom Becker", now).otherwise(F.col("last_contacted_at")))
-    touched = ws.leads.filter(F.col("owner").isin("Tom Becker", "Hana Sato")).select("lead_id")
+    edited = ws.leads.filter(F.col("owner") != "Yara Moss").withColumn(
+        "last_contacted_at", F.when(F.col("owner") == "Karl Lindt", now).otherwise(F.col("last_contacted_at")))
+    touched = ws.leads.filter(F.col("owner").isin("Karl Lindt", "Yara Moss")).select("lead_id")
     return quality.refresh_issues(ws.data_issues, edited, touched, ws.as_of).select("lead_id", "issue_type", "details", "related_lead_id")
 
 

@@ -71,7 +71,7 @@ QUESTIONS: dict[str, Plan] = {
     "q06_missing_phone": leads_where(lambda t: blank(F.col("phone"))),
     "q07_missing_title": leads_where(lambda t: blank(F.col("title"))),
     "q08_negotiation": leads_where(lambda t: F.col("stage") == "negotiation"),
-    "q09_owner_leads": leads_where(lambda t: F.col("owner") == "Maya Chen"),
+    "q09_owner_leads": leads_where(lambda t: F.col("owner") == "Ines Vogt"),
     "q10_fintech_companies": lambda t: count(t.companies.filter(F.col("industry") == "Fintech")),
     "q11_demo_last_7_days": lambda t: distinct_leads(t.activities.filter((F.col("type") == "demo_request") & WINDOW(t, 7))),
     "q12_pricing_last_30_days": lambda t: distinct_leads(
@@ -86,14 +86,14 @@ QUESTIONS: dict[str, Plan] = {
     "q19_from_referrals": leads_where(lambda t: F.col("source") == "referral"),
     "q20_c_level": leads_where(lambda t: F.col("seniority") == "c_level"),
     "q21_highest_score": lambda t: t.lead_scores.agg(F.max("score").alias("n")),
-    "q22_stale_of_owner": lambda t: distinct_leads(issues_of_leads(t, "stale").filter(F.col("owner") == "Tom Becker")),
+    "q22_stale_of_owner": lambda t: distinct_leads(issues_of_leads(t, "stale").filter(F.col("owner") == "Karl Lindt")),
     "q23_large_companies": lambda t: count(t.companies.filter(F.col("employees") > 1000)),
     "q24_leads_in_germany": lambda t: count(t.leads.join(firms(t).filter(F.col("country") == "DE"), "company_id")),
     "q25_average_won_deal": lambda t: t.leads.filter(F.col("stage") == "won").agg(
         F.round(exact_avg(F.col("deal_value")), 0).alias("n")),
     "q26_top_10": lambda t: top(with_score(t), 10),
     "q27_top_open_fintech": lambda t: top(scored(t).filter((F.col("industry") == "Fintech") & is_open()), 5),
-    "q28_top_of_owner": lambda t: top(scored(t).filter(F.col("owner") == "Priya Nair"), 5),
+    "q28_top_of_owner": lambda t: top(scored(t).filter(F.col("owner") == "Lena Hoek"), 5),
     "q29_fintech_demo_3_days": lambda t: acts_of_leads(t, "demo_request", WINDOW(t, 3)).filter(
         F.col("industry") == "Fintech").select("lead_id").distinct(),
     "q30_top_stale": lambda t: top(t.data_issues.filter(F.col("issue_type") == "stale").select("lead_id").join(
@@ -106,7 +106,7 @@ QUESTIONS: dict[str, Plan] = {
         firms(t).filter(F.col("employees") > 5000), "company_id").select("lead_id"),
     "q35_top_uk": lambda t: top(scored(t).filter(F.col("country") == "GB"), 5),
     "q36_duplicates_of_owner": lambda t: issues_of_leads(t, "duplicate").filter(
-        F.col("owner") == "Maya Chen").select("lead_id").distinct(),
+        F.col("owner") == "Ines Vogt").select("lead_id").distinct(),
     "q37_top_from_events": lambda t: top(scored(t).filter(F.col("source") == "event"), 5),
     "q38_open_large_deals": lambda t: t.leads.filter(is_open() & (F.col("deal_value") > 60000)).select("lead_id"),
     "q39_top_never_contacted": lambda t: top(with_score(t).filter(F.col("last_contacted_at").isNull()), 5),
@@ -130,7 +130,7 @@ QUESTIONS: dict[str, Plan] = {
     "h05_mean_c_level_score": lambda t: with_score(t).filter(F.col("seniority") == "c_level").agg(
         F.round(exact_avg(F.col("score")), 1).alias("n")),
     "h06_open_healthcare_of_owner": lambda t: count(scored(t).filter(
-        is_open() & (F.col("industry") == "Healthcare") & (F.col("owner") == "Daniel Ortiz"))),
+        is_open() & (F.col("industry") == "Healthcare") & (F.col("owner") == "Otto Brandt"))),
     "h07_vp_us_qualified": lambda t: scored(t).filter(
         (F.col("seniority") == "vp") & (F.col("industry") == "Logistics") & (F.col("country") == "US")
         & (F.col("stage") == "qualified")).select("lead_id"),
@@ -169,7 +169,7 @@ QUESTIONS: dict[str, Plan] = {
         t.activities.filter(F.col("type") == "demo_request").select("lead_id"), "lead_id", "left_semi").select("lead_id"),
     "d08_replies_of_owner": lambda t: count(t.activities.filter(
         (F.col("type") == "email_reply") & in_range(F.col("occurred_at"), "2024-01-01", "2024-02-01")).select("lead_id").join(
-        t.leads.filter(F.col("owner") == "Priya Nair").select("lead_id"), "lead_id")),
+        t.leads.filter(F.col("owner") == "Lena Hoek").select("lead_id"), "lead_id")),
     "d09_won_deal_by_industry": lambda t: by_group(t.leads.filter(F.col("stage") == "won").join(firms(t), "company_id"),
                                                    "industry", exact_avg(F.col("deal_value"))),
     "d10_call_first": lambda t: top(with_score(t).filter(is_open()), 5),

@@ -31,7 +31,7 @@ DASHBOARD: dict[str, Plan] = {
     "latest_activities": dashboard.latest_activities,
     "issues_either_side": dashboard.issues_per_lead,
     "find_duplicates": lambda t: find_duplicates(matching_view(t.leads, t.companies)),
-    "expanded_duplicates": lambda t: expand(matching_view(t.leads, t.companies), t.leads.filter("owner = 'Tom Becker'")),
+    "expanded_duplicates": lambda t: expand(matching_view(t.leads, t.companies), t.leads.filter("owner = 'Karl Lindt'")),
     "detect_issues": lambda t: detect_issues(t.leads, t.companies, t.as_of),
     "score_leads": lambda t: score_leads(t.leads, t.companies, t.activities, t.as_of),
 }

@@ -14,7 +14,7 @@ SCHEMAS = {
     "lead_scores": "lead_id string, score double, fit double, intent double, recency double",
     "actions": "action_id string, type string, lead_ids array<string>, payload_json string, status string, "
                "created_at timestamp_ntz, decided_at timestamp_ntz, decided_by string, note string",
-    "audit_log": "id int, action_id string, event string, at timestamp_ntz, actor string",
+    "audit_log": "id bigint, action_id string, event string, at timestamp_ntz, actor string",
     "stored_results": "kind string, key string, payload string, deps string, created_at timestamp_ntz, hits int",
 }
 # Primary key and further columns that must not be NULL.

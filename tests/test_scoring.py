@@ -46,7 +46,7 @@ def data():
     for i in range(120):
         gap = rng.choice([None, 0, 1, 2, 3, 5, 6.65, 7, 7.5, 29.9, 30, 31, 75, 400, rng.random() * 60])
         leads.append((f"LD-{i:05d}", rng.choice([None, "CO-99", *[f[0] for f in firms]]), rng.choice(["ANNE-MARIE", "Bo", None, " "]),
-                      rng.choice(["Maya Chen", None, ""]), rng.choice(["vp", "c_level", "individual", None, "", "chef"]),
+                      rng.choice(["Ines Vogt", None, ""]), rng.choice(["vp", "c_level", "individual", None, "", "chef"]),
                       rng.choice(list(config.ALL_STAGES) + [None]), None if gap is None else AS_OF - timedelta(days=gap)))
     acts = []
     for i in range(1500):
