@@ -12,6 +12,7 @@ from salesloom.config import (
     STAGE_CODES,
 )
 from salesloom.plans.fixture import AS_OF_TEXT, INPUT_SQL, plain_sql
+from salesloom.sources.tables import QUERYABLE_TABLES, SCHEMAS
 
 LC = "leads l LEFT JOIN companies c ON c.company_id = l.company_id"
 SENIORITY = f"CAST({case(UNKNOWN_SENIORITY, SENIORITY_POINTS, '0')} AS DOUBLE)"
@@ -366,3 +367,19 @@ JOBS["import_issue_counts"] = COUNTS
 JOBS["exported_results"] = STORED
 JOBS["valid_results"] = STORED + " WHERE item_id % 5 <> 1"
 RECURSIVE = {"limit_flags": LIMIT_FLAGS, "stream_limit_flags": LIMIT_FLAGS}
+
+
+def _checksum_sql(table: str, schema: str) -> str:
+    """The row count of a table and the sum of the first twelve digits of its rows' MD5."""
+    texts = []
+    for part in schema.split(", "):
+        name, kind = part.split()
+        value = {"timestamp_ntz": f"epoch_us({name})", "double": f"CAST(round({name} * 100) AS BIGINT)"}.get(kind, name)
+        texts.append(f"coalesce(CAST({value} AS VARCHAR), '~')")
+    row = " || '|' || ".join(texts)
+    return (f"SELECT '{table}' AS \"table\", count(*) AS rows, CAST(coalesce(sum(CAST('0x' || left(md5({row}), 12) AS HUGEINT)), 0) AS VARCHAR) AS checksum FROM {table}")
+
+
+JOBS["table_fingerprints"] = " UNION ALL ".join(_checksum_sql(t, SCHEMAS[t]) for t in QUERYABLE_TABLES)
+# Latin-1 has no euro sign; it is written as a question mark.
+JOBS["import_mixed_exports"] = "SELECT replace(coalesce(COLUMNS(* EXCLUDE (row_no)), ''), '€', CASE WHEN row_no % 2 = 1 THEN '?' ELSE '€' END) FROM export_rows"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.text import normalize_question
+from salesloom.operators.limiter import micros_of
 from salesloom.sources.tables import read_json, write_json
 
 ENTRY_SCHEMA = "kind string, key string, payload string, deps string"
@@ -28,6 +29,22 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
     return parts.select(F.lit(table).alias("table"), F.concat_ws(":", F.hex("x"), F.col("s").cast("string"), F.col("n").cast("string")).alias("fingerprint"))
 
 
+def portable_checksum(df: DataFrame, table: str) -> DataFrame:
+    """One row `table, rows, checksum` that other engines can compute too: the sum over all rows of the first twelve hexadecimal
+    digits of the MD5 of the row's text. Numbers count in hundredths, times in microseconds."""
+    def text(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind == "timestamp_ntz":
+            c = micros_of(c)
+        elif kind == "double":
+            c = F.round(c * 100).cast("bigint")
+        return F.coalesce(c.cast("string"), F.lit("~"))
+
+    row = F.concat_ws("|", *[text(*column) for column in df.dtypes])
+    part = F.conv(F.left(F.md5(row.cast("binary")), F.lit(12)), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
+
+
 def snapshot(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Fingerprints of all tables, taken before a result is computed: a change meanwhile makes the result miss."""
     return reduce(DataFrame.unionByName, [table_fingerprint(df, name) for name, df in tables.items()])

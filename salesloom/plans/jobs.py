@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def import_csv_files(ws: Workspace) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
+def import_mixed_exports(ws: Workspace) -> DataFrame:
+    """Two exports, one in UTF-8 and one in Latin-1 with its columns the other way round, scanned as one."""
+    def build() -> DataFrame:
+        path = scratch_path(ws.spark, "exports")
+        rows = export_rows(ws)
+        columns = [c for c in rows.columns if c != ROW]
+        csv_files.write_csv(rows.filter(F.col(ROW) % 2 == 0).select(*columns), f"{path}/utf8")
+        csv_files.write_csv(rows.filter(F.col(ROW) % 2 == 1).select(*columns[::-1]), f"{path}/latin1", "ISO-8859-1")
+        return written(csv_files.scan_csv(ws.spark, f"{path}/*/*.csv").rows.select(*columns), "mixed")
+    return ws.once("mixed-exports", build)
+
+
 def reexported_leads(ws: Workspace) -> DataFrame:
     """The copies in the lead view against all other leads: do they sit at the company of their original?"""
     is_copy = (F.substring("lead_id", 4, 20).cast("bigint") - 1) % 25 == 24
@@ -201,6 +215,13 @@ def queryable(ws: Workspace) -> dict[str, DataFrame]:
     return {name: getattr(ws, name) for name in tables.QUERYABLE_TABLES}
 
 
+def table_checksums(ws: Workspace) -> DataFrame:
+    """Row counts and checksums of the five tables, in a form that SQL can check; the fingerprints of results are internal."""
+    columns = {name: [part.split()[0] for part in schema.split(", ")] for name, schema in tables.SCHEMAS.items()}
+    parts = [fingerprint.portable_checksum(df.select(*columns[name]), name) for name, df in queryable(ws).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def valid_results(ws: Workspace) -> DataFrame:
     """Stored results that are still valid after one lead changed its stage."""
     before = fingerprint.snapshot(queryable(ws))
@@ -426,7 +447,8 @@ JOBS = {
     "score_contributions": score_contributions,
     "score_breakdowns": score_breakdowns,
     "score_citations": score_citations,
-    "table_fingerprints": lambda ws: fingerprint.snapshot(queryable(ws)),
+    "table_fingerprints": table_checksums,
+    "import_mixed_exports": import_mixed_exports,
     "valid_results": valid_results,
     "exported_results": exported_results,
     "cleaning_metrics": lambda ws: evaluate.cleaning_metrics(ws.data_issues, truth_rows(ws)),

@@ -132,5 +132,5 @@ def unmapped_headers(headers: Sequence[str], mapping: Mapping[str, str | None])
     return [h for h in headers if h not in set(mapping.values())]
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    df.write.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from salesloom.plans import registry
 from oracle.compare import connect, compare
 from salesloom.operators.ordering import number_rows, page_of, with_ids
 from salesloom.plans import dashboard, metrics as m
 from salesloom.plans.workspace import Workspace
+from salesloom.sources import storage
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +43,7 @@ def test_pages_are_disjoint_and_cover_everything(ws):
     assert len(seen) == len(set(seen)) == total == ws.leads.count()
 
 
-@pytest.mark.parametrize("bad", [{"sort": "nope"}, {"order": "up"}, {"page_size": 500}, {"page": 0}])
+@pytest.mark.parametrize("bad", [{"sort": "nope"}, {"order": "up"}, {"page_size": 0}, {"page": 0}])
 def test_bad_list_requests(ws, bad):
     with pytest.raises(ValueError):
         dashboard.list_leads(ws, **bad)
@@ -82,7 +84,7 @@ def test_scans_read_only_the_needed_columns_and_push_filters(spark, sf_dir, ws):
 def test_registry_is_complete():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
-    assert set(names) - set(entry.oracle_sql()) == {"table_fingerprints", "executed_audit"}
+    assert set(registry.QUERIES) <= set(entry.oracle_sql())
     assert all(len(inspect.signature(q).parameters) == 2 for q in names.values())
 
 
@@ -97,3 +99,32 @@ def test_results_equal_the_sql(spark, sf_dir, name):
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 8 and [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
+
+
+def test_conditions_are_applied_or_refused(ws):
+    def count(*where):
+        return m.metric(ws, "activities", "count", where=where).first()[0]
+
+    assert count(m.active(None, 20), m.active("call", 5)) == count(m.active("call", 5)) < count(m.active(None, 20))
+    for bad in ([m.inactive()], [m.active("call", 0)], [m.active("call"), m.active("meeting")]):
+        with pytest.raises(m.UnsupportedMetric):
+            count(*bad)
+    with pytest.raises(m.UnsupportedMetric):
+        m.metric(ws, limit=0)
+    everything = m.metric(ws).count()
+    assert m.metric(ws, limit=everything - 1).count() == everything - 1
