@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 #: Token hashes remembered by one Python process before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 
 
 class Hashes(dict):

@@ -29,7 +29,7 @@ from salesloom.llm.common import fresh, ship
 
 SPACE = "▁"
 #: Units remembered by a Python worker in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 _LOADED: dict[str, "Codec"] = {}
 
 
