@@ -14,10 +14,13 @@ HEADLINE = [
     "metric_activities_by_type", "metric_stale_by_industry",
     "score_contributions", "score_breakdowns", "why_now_notes", "note_audit",
     "import_records", "import_companies", "executed_leads", "table_fingerprints", "limit_flags", "run_summary", "ledger_by_purpose",
+    "import_csv_files", "stream_limit_flags", "stream_scores",
 ]
 
 
 def main() -> None:
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     from salesloom.plans.registry import QUERIES
@@ -30,6 +33,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))  # one machine: its disk is the shared folder
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,13 +42,15 @@ def main() -> None:
     start = time.perf_counter()
     ws.leads, ws.companies, ws.lead_scores, ws.data_issues  # the stored tables the queries read
     times = {"build_tables": round(time.perf_counter() - start, 3)}
-    for name in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+    warm = {}
+    for seconds in (times, warm):  # cold, then once more
+        for name in HEADLINE:
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+                      "queries": times, "warm": warm, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 
 if __name__ == "__main__":
