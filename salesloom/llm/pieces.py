@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from salesloom.llm.common import fresh, ship
 
 SPACE = "▁"
-#: Units remembered by a Python worker in each of two generations.
+#: Units remembered by a Python worker in each of two generations, where the caller doesn't say: more take memory (about 350
+#: bytes each) and save time.
 REMEMBERED = 80_000
 _LOADED: dict[str, "Codec"] = {}
 
@@ -36,7 +37,7 @@ _LOADED: dict[str, "Codec"] = {}
 class Codec:
     """Encoder and decoder of one model, given as the bytes of its file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -48,7 +49,7 @@ class Codec:
             raise ValueError("only merge-type models with identity normalization are supported")
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in spec.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
-        self.prefix = norm.add_dummy_prefix
+        self.prefix, self.remembered = norm.add_dummy_prefix, remembered
         self.pieces = [p.piece for p in spec.pieces]
         self.scores = {p.piece: p.score for p in spec.pieces if p.type == kinds.NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
@@ -76,8 +77,8 @@ class Codec:
         longer = [p for p in self.ids if len(p) > 1]
         self.by_space = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer)
         self.by_line = not any("\n" in p for p in longer)
-        self.units = _Memo(self._unit)
-        self.segments = _Memo(self._ids)
+        self.units = _Memo(self._unit, remembered)
+        self.segments = _Memo(self._ids, remembered)
         self.plain = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
         self.edge = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
 
@@ -99,7 +100,7 @@ class Codec:
         pair = left << 24 | right
         if (known := self.compatible.get(pair)) is None:
             a, b = self.pieces[left], self.pieces[right]
-            if len(self.compatible) >= 4 * REMEMBERED:
+            if len(self.compatible) >= 4 * self.remembered:
                 self.compatible.clear()
             known = self.compatible[pair] = self.merged(a + b) == [a, b]
         return known
@@ -238,13 +239,13 @@ class Codec:
 class _Memo(dict):
     """Results by argument. When it is full, the entries step back by one generation, and those not asked for since then go."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
         self.older: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)
@@ -274,12 +275,12 @@ def _from_bytes(raw: bytes) -> str:
         return "".join(out)
 
 
-def codec(model: bytes) -> Codec:
+def codec(model: bytes, remembered: int = REMEMBERED) -> Codec:
     """The codec of a model file, built once per Python process."""
-    key = hashlib.sha256(model).hexdigest()
+    key = f"{hashlib.sha256(model).hexdigest()} {remembered}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Codec(model)
+        _LOADED[key] = Codec(model, remembered)
     return _LOADED[key]
 
 
@@ -320,14 +321,14 @@ def decode_ids(df: DataFrame, ids: str, model_path: str, text: str = "decoded")
     return df.mapInArrow(run, schema)
 
 
-def digest_texts(df: DataFrame, key: str, text: str, model_path: str) -> DataFrame:
+def digest_texts(df: DataFrame, key: str, text: str, model_path: str, remembered: int = REMEMBERED) -> DataFrame:
     """One row per row: `key`, n_tokens, ids_sha256, decoded_sha256."""
     model = _shared(df.sparkSession, model_path)
     kept = df.select(key, text)
     schema = T.StructType([kept.schema[key], *T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model.value)
+        own = codec(model.value, remembered)
         for batch in batches:
             rows = [own.digest(x) for x in batch.column(1).to_pylist()]
             n, ids, back = zip(*rows) if rows else ((), (), ())

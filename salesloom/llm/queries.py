@@ -83,4 +83,4 @@ SQL["op9_line_dedup"] = lines.PAGES_SQL
 
 @_query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest_texts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
+    return pieces.digest_texts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), remembered=300_000)
