@@ -169,7 +169,11 @@ def drop_near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     row = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     prints = written(fingerprints(df, text, [row.alias("_row")]), "fingerprints")
     known = classes(prints, F.col("_row"))
-    firsts = known.select("first.*").distinct()
+    return first_rows(df, key, text, known.select("first.*").distinct())
+
+
+def first_rows(df: DataFrame, key: str, text: str, firsts: DataFrame) -> DataFrame:
+    """One row of df for each (key, hash of the text) in `firsts`, all columns."""
     hashed = fresh(df, "_hash")
     rows = df.withColumn(hashed, F.xxhash64(text))
     kept = rows.join(firsts, rows[key].eqNullSafe(firsts["key"]) & (rows[hashed] == firsts["hash"]), "left_semi")
