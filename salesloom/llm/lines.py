@@ -9,6 +9,11 @@ lines of a host that fall are few by nature: each is on more than `max_ratio` of
 than lines on a mean page divided by `max_ratio`. They meet the pages as one list per host, which moves no text where
 all lists together are small enough for Spark to send, and is a join that Spark can split where a host is hot.
 
+Groups broader than a host, such as sources, gather the pages of many sites, so a line that a site repeats is on a small
+share of the group. With `different` only pages with different other lines count: of all pages with the line, those whose
+least hash of another line is the same are one. Copies and most near copies then count as one page, so that what a text
+shares with its own copies is no boilerplate.
+
 Null hosts are one host. Null texts have no lines and stay null. A page that loses all lines stays, with an empty text.
 Rows that repeat are pages of their own. An empty table gives an empty result.
 """
@@ -19,6 +24,9 @@ from pyspark.sql import functions as F
 from salesloom.llm.common import fresh, written
 
 MAX_RATIO, MIN_PAGES = 0.2, 5
+#: Boilerplate of a source: what a site with a twentieth of the source's documents would lose as a host (a fifth of its own
+#: pages, a hundredth of the source), on different documents enough for two hosts.
+SOURCE_RATIO, SOURCE_PAGES = MAX_RATIO / 20, 2 * MIN_PAGES
 #: Tags between which a page's lines lie, and what is no text at all.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
@@ -53,12 +61,29 @@ def _id(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _counts(pages: DataFrame, host: str, own: Column) -> DataFrame:
+    """(host, line, n): pages with each line that have different other lines; for the empty line all pages."""
+    ids = pages.select(F.col(host).alias("host"), own.alias("ids"))
+    others = ids.select("host", "ids", F.array_remove("ids", _id(F.lit(""))).alias("others"))
+    least = others.select("host", "ids", "others", F.array_min("others").alias("least"))
+    second = least.select("host", "ids", "least", F.when(F.size("others") > 1, F.array_min(F.array_remove("others", F.col("least")))).alias("second"))
+    rows = second.select("host", "least", "second", F.explode("ids").alias("line"))
+    rest = F.when(F.col("line") != F.col("least"), F.col("least")).otherwise(F.col("second"))
+    rest = F.when(F.col("line") != _id(F.lit("")), rest)
+    each = rows.select("host", "line", rest.alias("rest")).groupBy("host", "line", "rest").agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("line") == _id(F.lit("")), F.sum("n")).otherwise(F.count(F.lit(1)))
+    return each.groupBy("host", "line").agg(n.alias("n"))
+
+
+def frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, different: bool = False) -> DataFrame:
     """(host, pages, lines): hosts with lines above the ratio, their pages, and the ids of those lines."""
     lines = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: _id(_bare(x))))
     # The id of the empty line stands for the page itself: every page counts it once.
     own = F.array_union(F.array(_id(F.lit(""))), lines)
-    counts = pages.select(F.col(host).alias("host"), F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    if different:
+        counts = _counts(pages, host, own)
+    else:
+        counts = pages.select(F.col(host).alias("host"), F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where((F.col("n") >= min_pages) | (F.col("line") == _id(F.lit(""))))
     counts = written(counts, "lines")
     total = counts.where(F.col("line") == _id(F.lit(""))).select(F.col("host").alias("of"), F.col("n").alias("pages"))
@@ -68,12 +93,12 @@ def frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MA
 
 
 def drop_frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                        kept: str | None = None, dropped: str | None = None) -> DataFrame:
+                        kept: str | None = None, dropped: str | None = None, different: bool = False) -> DataFrame:
     """All rows and columns with `text` without its host's frequent lines.
 
     With `dropped` the number of lines that went is a further column; with `kept` the new text is one, and `text` stays.
     """
-    common = written(frequent_lines(pages, host, text, max_ratio, min_pages), "frequent").select(F.col("host").alias(of := fresh(pages, "_of")), F.col("lines").alias(bad := fresh(pages, "_bad")))
+    common = written(frequent_lines(pages, host, text, max_ratio, min_pages, different), "frequent").select(F.col("host").alias(of := fresh(pages, "_of")), F.col("lines").alias(bad := fresh(pages, "_bad")))
     met = pages.join(common, F.col(f"`{host}`").eqNullSafe(F.col(of)), "left")
     split = F.split(F.col(f"`{text}`"), "\n")
     good = F.filter(split, lambda x: ~F.array_contains(F.col(bad), _id(_bare(x))))
