@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, chunks, curves, lines, mixing, passages, pieces, quality, simhash, toxicity
+from salesloom.llm import chat, chunks, codes, curves, lines, mixing, orc_tokens, passages, pieces, quality, ranking, simhash, toxicity
 from salesloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokenizer_path() -> str:
+    """Where the public byte-level vocabulary lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @_query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -84,3 +91,24 @@ SQL["op9_line_dedup"] = lines.PAGES_SQL
 @_query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_texts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), remembered=300_000)
+
+
+@_query
+def op11_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.token_report(table(spark, sf_dir, "documents"), "doc_id", "text", byte_tokenizer_path())
+
+
+@_query
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+SQL["op12_codes"] = codes.CODES_SQL
+
+
+@_query
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+SQL["op13_ranking"] = ranking.SEARCH_SQL
