@@ -7,9 +7,10 @@ in the row, and offsets take one aggregate over two small columns. Columns of in
 bounded in bytes and can be read by different tasks; each stripe has an index entry with least and greatest values for every
 `STRIDE` rows and a Bloom filter of document ids, which Spark's reader uses for filters on `doc_id`, `part` and `at`.
 
-Encoding: the library's pre-tokenizer never joins what stands before a single space between two other characters with what
-follows, so a text is cut at these spaces, and ids of up to `REMEMBERED` pieces are kept by each Python worker. All else goes to
-the library as it is. Added tokens that a text spells out are recognised, as the library does by default.
+Encoding: the library's pre-tokenizer always ends a piece before a single space or line break between two other characters,
+behind such a line break, and between a Latin letter and one of a few marks. Texts are cut there, and ids of up to `REMEMBERED`
+pieces are kept by each Python worker. New pieces go to the library together, a line for each, as a line break has an id of its own.
+Added tokens that a text spells out are recognised, as the library does by default.
 
 Null texts are empty and have the end id only. Null ids are the last ones. Rows with one id are ordered by the hash of their
 text; rows alike in both are spread over ranges by their place in the input. An empty table gives files without rows and an
@@ -17,12 +18,12 @@ empty result. Further columns of the documents are not written.
 """
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,24 @@ from salesloom.llm.common import ship
 from salesloom.sources.storage import scratch_path
 
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 16 << 20, 1_000, 0.01
-REMEMBERED, LONGEST, BATCH_BYTES = 200_000, 48, 4 << 20
+REMEMBERED, LONGEST = 400_000, 64
 END = 0
 SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+LINES, GROUP = 200, 8 << 20
+#: White space as the vocabulary's pattern and any other reading of it may have it, inside a class of a regular expression.
+_WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = f"[{_WHITE}] | [{_WHITE}]|^ | $"
+_MARK = "\x01"
+
+
+def _cut(texts: pa.StringArray) -> pa.StringArray:
+    """Texts with `_MARK` where the pre-tokenizer ends a piece whatever stands around."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    cut = pc.replace_substring(texts, " ", f"{_MARK} ")
+    if pc.any(odd).as_py():
+        cut = pc.replace_with_mask(cut, odd, pc.replace_substring_regex(texts.filter(odd), f"([^{_WHITE}]) ([^{_WHITE}])", rf"\1{_MARK} \2"))
+    cut = pc.replace_substring_regex(cut, r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?\n])", rf"\1{_MARK}\2")
+    return pc.replace_substring_regex(cut, f"([^{_WHITE}])\n([^{_WHITE}])", f"\\1{_MARK}\n{_MARK}\\2")
 
 
 class Encoder:
@@ -48,25 +63,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text)
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = [x for x in set(rest) if x not in self.known]
-        own: dict[str, bytes] = {}
-        for start in range(0, len(new), 4096):
-            some = new[start:start + 4096]
-            for piece, ids in zip(some, self._ids([" " + x for x in some])):
-                (self.known if len(piece) <= LONGEST else own)[piece] = ids
-        if own:
-            tail = [self.known.get(x) or own.get(x, b"") for x in rest]
-        else:
-            tail = map(self.known.__getitem__, rest)
-        return b"".join([*self._ids([first]), *tail])
+        self.line = int(np.frombuffer(self._one("\n"), "<u4")[0])
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: those without line breaks and odd spaces all in one text, a line for each."""
+        known, plain = self.known, []
+        for piece in pieces:
+            bare = piece[1:] if piece[:1] == " " else piece
+            if bare and bare.strip() is bare and "\n" not in bare:
+                plain.append(piece)
+            else:
+                known[piece] = self._one(piece)
+        for start in range(0, len(plain), LINES):
+            some = plain[start:start + LINES]
+            raw = self._one("\n".join([*some, ""]))
+            ends = np.nonzero(np.frombuffer(raw, "<u4") == self.line)[0].tolist()
+            assert len(ends) == len(some)
+            at = 0
+            for piece, end in zip(some, ends):
+                known[piece] = raw[at:4 * end]
+                at = 4 * end + 4
+
+    def encode_all(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one after the other, and how many each text has, with `end` behind those of each."""
+        lists = pc.split_pattern(_cut(texts), _MARK)
+        pieces = lists.values.dictionary_encode()
+        code, words = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary.to_pylist()
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        self._learn([x for x in words if x not in self.known])
+        known = self.known
+        table = [known[x] for x in words]
+        for i in np.nonzero(pc.match_substring(texts, _MARK).to_numpy(zero_copy_only=False))[0]:  # holds the mark itself
+            code[edges[i]] = len(table)
+            code[edges[i] + 1:edges[i + 1]] = -1
+            table.append(self._one(texts[i].as_py()))
+        table += [b"" if end is None else np.array([end], "<u4").tobytes(), b""]  # code -1 is nothing
+        code = np.insert(code, edges[1:], len(table) - 2)
+        edges += np.arange(len(edges))
+        if len(known) > self.remembered:  # what these texts have is the most frequent part of it
+            self.known = {x: ids for x, ids in zip(words, table) if len(x) <= LONGEST}
+
+        sizes = np.array([len(x) // 4 for x in table], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[code]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        before = np.concatenate([[0], ends])[edges]
+        return np.frombuffer(b"".join(table), "<u4")[at], np.diff(before)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all(pa.array([text]))[0].tolist()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -78,6 +127,22 @@ def _encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `GROUP` bytes of text, which are encoded together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        start = 0
+        for i, more in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if size and size + more > GROUP:
+                yield from pa.Table.from_batches([*held, batch.slice(start, i - start)]).combine_chunks().to_batches()
+                held, size, start = [], 0, i
+            size += more
+        held.append(batch.slice(start))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _order(key: str, text: str) -> list[Column]:
     return [F.col(key).isNull().alias("none"), F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place")]
 
@@ -88,35 +153,20 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, path: str,
     ship(spark)
     spark.sparkContext.addFile(tokenizer)
     name = os.path.basename(tokenizer)
-    last = np.array([end], "<u4").tobytes()
     rows = df.select(*_order(key, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = ["none", "doc_id", "hash", "place"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        encode = _encoder(name).encode
-        held: list[tuple] = []
-        size = 0
-
-        def made() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x[2] for x in held), "<u4").astype(np.int32)
-            lengths = np.array([len(x[2]) // 4 for x in held], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
-            columns = [pa.array([x[0] for x in held], pa.int64()), pa.array(np.full(len(held), part, np.int32)), pa.array([x[1] for x in held], pa.int64()), pa.array(lengths), lists]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
-
-        for batch in batches:
-            for id_, one in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(one.as_py()) + last
-                held.append((id_, at, ids))
-                at += len(ids) // 4
-                size += len(ids)
-                if size >= BATCH_BYTES:
-                    yield made()
-                    held, size = [], 0
-        if held:
-            yield made()
+        encode = _encoder(name).encode_all
+        for batch in _groups(batches):
+            ids, lengths = encode(batch.column(1), end)
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            columns = [batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at + edges[:-1]), pa.array(lengths), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
+            at += int(edges[-1])
 
     options = {"orc.stripe.size": str(STRIPE_BYTES), "orc.create.index": "true", "orc.row.index.stride": str(STRIDE),
                "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(FALSE_POSITIVES), "maxRecordsPerFile": "0"}

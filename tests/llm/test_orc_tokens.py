@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -21,12 +22,25 @@ def library():
 
 def test_cut_texts_encode_as_whole_ones(library):
     rng = random.Random(4)
-    parts = [" ", "  ", "\n", "\t", " \n ", " ", " ", "　", "\x1c", "\x85", "a", "don't", "'s", "<|endoftext|>", "über", "日本語", "Привет", "1234", "!?", "🙂", "​", "é", "﻿"]
+    parts = [" ", " ", "\n", ",", ".", "\x01", "\xa0", "  ", "\n", "\t", " \n ", " ", " ", "　", "\x1c", "\x85", "a", "don't", "'s", "<|endoftext|>", "über", "日本語", "Привет", "1234", "!?", "🙂", "​", "é", "﻿"]
     texts = ["", " ", "a", " a", "a ", "x" * 500, "word " * 2000, "<|endoftext|> a <|endoftext|>", "a <|endoftext|>  b"]
     texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
     own = O.Encoder(PATH, remembered=50)  # forgets often
+    ids, lengths = own.encode_all(pa.array(texts), 0)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
     for text in texts:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_groups_keep_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(O, "GROUP", 10)
+    sizes = [3, 3, 30, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 9, 2, 0, 0, 25]
+    table = pa.table({"id": range(len(sizes)), "text": ["x" * n for n in sizes]})
+    for rows in (1, 2, 5, 50):
+        groups = list(O._groups(iter(table.to_batches(max_chunksize=rows))))
+        assert [x for g in groups for x in g.column(0).to_pylist()] == list(range(len(sizes)))
+        assert all(g.num_rows == 1 or sum(map(len, g.column(1).to_pylist())) <= 10 for g in groups) and all(g.num_rows for g in groups)
 
 
 def brute(rows, library):
