@@ -6,7 +6,8 @@ resident member (codebooks are a few small arrays, sent to all). Members that ke
 that change it are dealt to their new owners, and the union of both has the same partitioner, so the shuffle carries nothing
 else. Owners then sum their residents; the sums of an entry meet, and its new value is the mean. Sums are whole numbers, so the
 result doesn't depend on order or partitions. This takes partitioned collections of numpy blocks, which DataFrames can't keep in
-place over rounds; members are read from and their codes returned to DataFrames. Each round is a reliable checkpoint.
+place over rounds; members are read from and their codes returned to DataFrames. Every third
+round is a reliable checkpoint.
 
 Salts come from a row's place, one for `SALTED` rows in a row, and are no fewer than partitions. Owners are dealt out so that every
 (position, entry) goes on over all partitions by salt: an entry or a vector with a third of all rows is as even as any other.
@@ -36,6 +37,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 BLOCK, PER_PARTITION = 4096, 400_000
 #: Rows that share a salt, and the least number of salts.
 SALTED, SALTS = 256, 1024
+CHECKPOINT_EVERY = 3
 _Books = list[np.ndarray]  # for each position entries x width
 
 
@@ -97,19 +99,21 @@ class Lloyd:
 
     def __init__(self, members: RDD, books: _Books, owners: int, entries: int):
         self.books, self.owners = books, owners
-        self.context = members.context
+        self.context, self.turn, self.earlier = members.context, 0, []
         # Every (position, entry) starts at another partition and goes on by salt, so all of them are spread evenly.
         self.deal = lambda key: (key[0] * entries + key[1]) + key[2]
         self.residents = self._settled(members.partitionBy(owners, self.deal))
 
     def _settled(self, members: RDD) -> RDD:
+        """Kept by the executors; every few rounds the next job also writes a checkpoint, so that lost ones repeat little."""
         members = members.persist(StorageLevel.MEMORY_AND_DISK)
-        members.checkpoint()
-        members.count()  # writes the checkpoint
+        if self.turn % CHECKPOINT_EVERY == 0:
+            members.checkpoint()
+        self.turn += 1
         return members
 
-    def migrate(self) -> int:
-        """Give every member its nearest entry; the number of those that changed it and were dealt anew."""
+    def migrate(self) -> RDD:
+        """Give every member its nearest entry, once the residents are asked for; the blocks of those that change it and are dealt anew."""
         owners, books = self.owners, self.context.broadcast(self.books)
 
         def placed(blocks: Iterator[tuple]) -> Iterator[tuple]:
@@ -125,12 +129,9 @@ class Lloyd:
         step = self.residents.mapPartitions(placed, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
         staying = step.mapPartitions(lambda x: (b for stays, b in x if stays), preservesPartitioning=True)
         leaving = step.mapPartitions(lambda x: (b for stays, b in x if not stays))
-        moved = leaving.map(lambda b: len(b[1][0])).sum()
-        before = self.residents
+        self.earlier += [step, self.residents]
         self.residents = self._settled(staying.union(leaving.partitionBy(owners, self.deal)))
-        step.unpersist()
-        before.unpersist()
-        return moved
+        return leaving
 
     def update(self) -> None:
         """Every entry becomes the mean of its members, rounded down; unused entries stay."""
@@ -145,6 +146,8 @@ class Lloyd:
         # A row for each entry of each position; Python's integers don't overflow.
         for (position, entry), (count, total) in self.residents.mapPartitions(sums).reduceByKey(lambda a, b: [a[0] + b[0], [x + y for x, y in zip(a[1], b[1])]]).collect():
             self.books[position][entry] = [x // count for x in total]
+        while self.earlier:  # the new residents are kept now
+            self.earlier.pop().unpersist()
 
 
 def _members(rows: DataFrame, length: int, parts: int, books: _Books, owners: int) -> RDD:
@@ -175,10 +178,10 @@ def fingerprint(books: _Books) -> str:
 
 
 def train(df: DataFrame, key: str, vector: str, carried: list[str], parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS,
-          per_partition: int = PER_PARTITION) -> tuple[DataFrame, _Books, list[int]]:
-    """(row, key, carried columns, code, error) of the kept rows, the codebooks, and how many members moved in each round.
+          per_partition: int = PER_PARTITION, watched: list[int] | None = None) -> tuple[DataFrame, _Books]:
+    """(row, key, carried columns, code, error) of the kept rows, and the codebooks.
 
-    `code` is an array of entries; `entries` is at most 256."""
+    `code` is an array of entries; `entries` is at most 256. `watched` gets the number of members that move in each round."""
     spark = df.sparkSession
     ship(spark)
     shared_folder(spark)
@@ -194,14 +197,15 @@ def train(df: DataFrame, key: str, vector: str, carried: list[str], parts: int =
     rows = reliable(kept)  # the row numbers stay
     owners = max(1, -(-rows.count() * parts // per_partition), min(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
-    moved = []
     if not firsts:
         members = spark.sparkContext.emptyRDD()
     else:
         lloyd = Lloyd(_members(rows, length, parts, books, owners), books, owners, entries)
         for turn in range(rounds):
             if turn:
-                moved.append(lloyd.migrate())
+                leaving = lloyd.migrate()
+                if watched is not None:
+                    watched.append(leaving.map(lambda b: len(b[1][0])).sum())
             lloyd.update()
         members, books = lloyd.residents, lloyd.books
     last = spark.sparkContext.broadcast(books)
@@ -222,12 +226,12 @@ def train(df: DataFrame, key: str, vector: str, carried: list[str], parts: int =
     codes = packed.mapInArrow(flat, "row bigint, position int, entry int, far bigint").groupBy("row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "entry"))), lambda x: x["entry"]).alias("code"), F.sum("far").alias("error"))  # `parts` rows each
     named = rows.select("row", F.col("_id").alias(key), *[F.col(f"_of_{c}").alias(c) for c in carried])
-    return named.join(codes, "row"), books, moved
+    return named.join(codes, "row"), books
 
 
 def code_report(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """vec_id, code, error, label_error, codebooks_sha256."""
-    coded, books, _ = train(df, key, vector, [label])
+    coded, books = train(df, key, vector, [label])
     coded = reliable(coded)
     sums = coded.groupBy(F.col(label).alias("_label")).agg(F.try_sum("error").alias("label_error"))
     digits = F.array_join(F.transform("code", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
