@@ -33,7 +33,7 @@ from salesloom.llm.common import ship
 from salesloom.sources.storage import scratch_path
 
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 16 << 20, 1_000, 0.01
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 END = 0
 SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 LINES, GROUP = 200, 8 << 20
@@ -91,28 +91,32 @@ class Encoder:
         """All ids of some texts one after the other, and how many each text has, with `end` behind those of each."""
         lists = pc.split_pattern(_cut(texts), _MARK)
         pieces = lists.values.dictionary_encode()
-        code, words = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary.to_pylist()
-        edges = lists.offsets.to_numpy().astype(np.int64)
-        self._learn([x for x in words if x not in self.known])
-        known = self.known
-        table = [known[x] for x in words]
+        code, words = pieces.indices.to_numpy(zero_copy_only=False), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        edges = lists.offsets.to_numpy()
+        table = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(table) if ids is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            table[i] = self.known[words[i]]
+        if len(self.known) > self.remembered:  # what these texts have is the most frequent part of it
+            self.known = {x: ids for x, ids in zip(words, table) if len(x) <= LONGEST}
         for i in np.nonzero(pc.match_substring(texts, _MARK).to_numpy(zero_copy_only=False))[0]:  # holds the mark itself
+            code = code.copy()
             code[edges[i]] = len(table)
             code[edges[i] + 1:edges[i + 1]] = -1
             table.append(self._one(texts[i].as_py()))
         table += [b"" if end is None else np.array([end], "<u4").tobytes(), b""]  # code -1 is nothing
         code = np.insert(code, edges[1:], len(table) - 2)
-        edges += np.arange(len(edges))
-        if len(known) > self.remembered:  # what these texts have is the most frequent part of it
-            self.known = {x: ids for x, ids in zip(words, table) if len(x) <= LONGEST}
+        edges = edges + np.arange(len(edges), dtype=np.int32)
 
-        sizes = np.array([len(x) // 4 for x in table], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         n = sizes[code]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        before = np.concatenate([[0], ends])[edges]
-        return np.frombuffer(b"".join(table), "<u4")[at], np.diff(before)
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(starts[code] - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        before = np.concatenate([np.zeros(1, np.int32), ends])[edges]
+        return np.frombuffer(b"".join(table), "<u4")[at], np.diff(before).astype(np.int64)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all(pa.array([text]))[0].tolist()
@@ -163,13 +167,13 @@ def write_tokens(df: DataFrame, key: str, text: str, tokenizer: str, path: str,
         for batch in _groups(batches):
             ids, lengths = encode(batch.column(1), end)
             edges = np.concatenate([[0], np.cumsum(lengths)])
-            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.view(np.int32)))
             columns = [batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at + edges[:-1]), pa.array(lengths), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
             at += int(edges[-1])
 
     options = {"orc.stripe.size": str(STRIPE_BYTES), "orc.create.index": "true", "orc.row.index.stride": str(STRIDE),
-               "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(FALSE_POSITIVES), "maxRecordsPerFile": "0"}
+               "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(FALSE_POSITIVES), "maxRecordsPerFile": "0", "compression": "lz4"}  # run lengths leave little to compress
     ranged.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
     return path
 
@@ -214,7 +218,7 @@ def checksums(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            flat, edges = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            flat, edges = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
             found = [zlib.crc32(flat[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
