@@ -10,9 +10,10 @@ than lines on a mean page divided by `max_ratio`. They meet the pages as one lis
 all lists together are small enough for Spark to send, and is a join that Spark can split where a host is hot.
 
 Groups broader than a host, such as sources, gather the pages of many sites, so a line that a site repeats is on a small
-share of the group. With `different` only pages with different other lines count: of all pages with the line, those whose
-least hash of another line is the same are one. Copies and most near copies then count as one page, so that what a text
-shares with its own copies is no boilerplate.
+share of the group. With `different` only pages that differ elsewhere count. A first count of all pages gives the candidates, a
+second one looks at what a page has beside all candidates of its group: pages whose rest begins with the same least line hash are
+one, and so are all those whose rest is under a fifth of their characters, as they are copies or near copies of each other. What
+a text shares with its own copies is no boilerplate then, and a block of many lines is found like a single one.
 
 Null hosts are one host. Null texts have no lines and stay null. A page that loses all lines stays, with an empty text.
 Rows that repeat are pages of their own. An empty table gives an empty result.
@@ -27,6 +28,7 @@ MAX_RATIO, MIN_PAGES = 0.2, 5
 #: Boilerplate of a source: what a site with a twentieth of the source's documents would lose as a host (a fifth of its own
 #: pages, a hundredth of the source), on different documents enough for two hosts.
 SOURCE_RATIO, SOURCE_PAGES = MAX_RATIO / 20, 2 * MIN_PAGES
+REST = 5  # a rest of at least one part of so many sets a page apart from its near copies
 #: Tags between which a page's lines lie, and what is no text at all.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
@@ -61,18 +63,20 @@ def _id(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def _counts(pages: DataFrame, host: str, own: Column) -> DataFrame:
-    """(host, line, n): pages with each line that have different other lines; for the empty line all pages."""
-    ids = pages.select(F.col(host).alias("host"), own.alias("ids"))
-    others = ids.select("host", "ids", F.array_remove("ids", _id(F.lit(""))).alias("others"))
-    least = others.select("host", "ids", "others", F.array_min("others").alias("least"))
-    second = least.select("host", "ids", "least", F.when(F.size("others") > 1, F.array_min(F.array_remove("others", F.col("least")))).alias("second"))
-    rows = second.select("host", "least", "second", F.explode("ids").alias("line"))
-    rest = F.when(F.col("line") != F.col("least"), F.col("least")).otherwise(F.col("second"))
-    rest = F.when(F.col("line") != _id(F.lit("")), rest)
-    each = rows.select("host", "line", rest.alias("rest")).groupBy("host", "line", "rest").agg(F.count(F.lit(1)).alias("n"))
-    n = F.when(F.col("line") == _id(F.lit("")), F.sum("n")).otherwise(F.count(F.lit(1)))
-    return each.groupBy("host", "line").agg(n.alias("n"))
+def _different(pages: DataFrame, host: str, text: str, common: DataFrame) -> DataFrame:
+    """(host, line, n): the pages with each candidate of their host that have a rest of their own."""
+    candidates = common.select(F.col("host").alias("of"), F.col("lines").alias("bad"))
+    met = pages.select(F.col(host).alias("host"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("text")).join(candidates, F.col("host").eqNullSafe(F.col("of")))
+    line = F.transform("text", lambda x: F.struct(_id(_bare(x)).alias("id"), F.length(_bare(x)).alias("n")))
+    met = met.select("host", "bad", F.filter(line, lambda x: x["n"] > 0).alias("own"))
+    in_bad = met.select("host", F.filter("own", lambda x: F.array_contains("bad", x["id"])).alias("held"), F.filter("own", lambda x: ~F.array_contains("bad", x["id"])).alias("rest"))
+
+    def size(lines: str) -> Column:
+        return F.aggregate(lines, F.lit(0), lambda total, x: total + x["n"])
+    apart = size("rest") * REST >= size("held") + size("rest")
+    rows = in_bad.select("host", F.when(apart, F.array_min(F.transform("rest", lambda x: x["id"]))).alias("least"), F.explode(F.array_distinct(F.transform("held", lambda x: x["id"]))).alias("line"))
+    each = rows.groupBy("host", "line", "least").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, different: bool = False) -> DataFrame:
@@ -80,16 +84,16 @@ def frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MA
     lines = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: _id(_bare(x))))
     # The id of the empty line stands for the page itself: every page counts it once.
     own = F.array_union(F.array(_id(F.lit(""))), lines)
-    if different:
-        counts = _counts(pages, host, own)
-    else:
-        counts = pages.select(F.col(host).alias("host"), F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.select(F.col(host).alias("host"), F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where((F.col("n") >= min_pages) | (F.col("line") == _id(F.lit(""))))
     counts = written(counts, "lines")
     total = counts.where(F.col("line") == _id(F.lit(""))).select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    common = counts.where(F.col("line") != _id(F.lit(""))).join(total, F.col("host").eqNullSafe(F.col("of")))
-    common = common.where((F.col("n") > F.col("pages") * F.lit(max_ratio)) & (F.col("n") >= min_pages))
-    return common.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_set("line").alias("lines"))
+
+    def above(lines: DataFrame) -> DataFrame:
+        met = lines.join(total, F.col("host").eqNullSafe(F.col("of"))).where((F.col("n") > F.col("pages") * F.lit(max_ratio)) & (F.col("n") >= min_pages))
+        return met.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_set("line").alias("lines"))
+    common = above(counts.where(F.col("line") != _id(F.lit(""))))
+    return above(_different(pages, host, text, written(common, "candidates"))) if different else common
 
 
 def drop_frequent_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
