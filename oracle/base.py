@@ -68,6 +68,11 @@ def common_letters(a: str, b: str) -> str:
             f"lambda v, m: ((v + (v & m)) | (v & xor(m, {full}))) & {full}, {full})))")
 
 
+def stands(old: str, new: str) -> str:
+    """a is the oldest of its class, and b the one that stands for its class beside it."""
+    return f"(a.age = a.{old}_first AND b.age = CASE WHEN b.{new}_first > a.age THEN b.{new}_first ELSE b.{new}_last END)"
+
+
 SIZE_CASE = "CASE " + " ".join(f"WHEN coalesce(c.employees, 0) >= {floor} THEN {p}" for floor, p in SIZE_BANDS) + " ELSE 0 END"
 UNKNOWN_SENIORITY = "coalesce(nullif(l.seniority, ''), 'unknown')"
 UNKNOWN_INDUSTRY = "coalesce(nullif(c.industry, ''), 'unknown')"
@@ -113,7 +118,13 @@ FROM leads l LEFT JOIN companies c ON c.company_id = l.company_id""",
 SELECT *, first_value(lead_id) OVER (PARTITION BY email ORDER BY created_at, lead_id) AS email_center,
        first_value(lead_id) OVER (PARTITION BY block, first, last, phone ORDER BY created_at, lead_id) AS phone_center,
        first_value(lead_id) OVER (PARTITION BY block, first, last, email IS NULL, mail_key ORDER BY created_at, lead_id) AS key_center,
-       arg_min(lead_id, (created_at, lead_id)) FILTER (email IS NULL) OVER (PARTITION BY block, first, last) AS lacking_center FROM mailed""",
+       arg_min(lead_id, age) FILTER (email IS NULL) OVER named AS lacking_center,
+       min(age) OVER named AS name_first, max(age) OVER named AS name_last, count(*) OVER named AS name_n,
+       min(age) FILTER (email IS NULL) OVER named AS bare_first, max(age) FILTER (email IS NULL) OVER named AS bare_last, count(*) FILTER (email IS NULL) OVER named AS bare_n,
+       min(age) OVER phoned AS phone_first, max(age) OVER phoned AS phone_last, count(*) OVER phoned AS phone_n,
+       min(age) OVER written AS key_first, max(age) OVER written AS key_last, count(*) OVER written AS key_n
+FROM (SELECT *, {'t': created_at, 'id': lead_id} AS age FROM mailed)
+WINDOW named AS (PARTITION BY block, first, last), phoned AS (PARTITION BY block, first, last, phone), written AS (PARTITION BY block, first, last, email IS NULL, mail_key)""",
     "mailed": f"""
 SELECT *, {formal('first')} AS first_formal, {formal('last')} AS last_formal,
        {formal("split_part(local, '.', 1)")} || CASE WHEN strpos(local, '.') > 0 THEN substr(local, strpos(local, '.')) ELSE '' END AS mail_key
@@ -123,6 +134,11 @@ SELECT b.lead_id, a.lead_id AS related_lead_id, a.email AS email_a, b.email AS e
        a.phone = b.phone AS same_phone, a.email IS NULL OR b.email IS NULL AS lacks_email, coalesce(a.email = b.email, FALSE) AS same_email,
        a.lead_id = b.email_center AS from_email, a.lead_id = b.phone_center AS from_phone, a.lead_id = b.key_center AS from_key,
        b.lacking_center IN (a.lead_id, b.lead_id) AS from_lacking,
+       coalesce(a.phone = b.phone AND {stands("phone", "phone")}, FALSE) AS rep_phone,
+       a.email IS NULL AND {stands("bare", "name")} AS rep_bare_old, b.email IS NULL AND {stands("name", "bare")} AS rep_bare_new,
+       a.email IS NOT NULL AND b.email IS NOT NULL AND {stands("key", "key")} AS rep_key,
+       a.block, a.phone, a.first AS first_old, a.last AS last_old, b.first AS first_new, b.last AS last_new,
+       a.phone_n AS phone_old, b.phone_n AS phone_new, a.key_n AS key_old, b.key_n AS key_new, a.name_n AS name_old, b.name_n AS name_new, a.bare_n AS bare_old, b.bare_n AS bare_new,
        CASE WHEN a.block <> b.block THEN NULL
             WHEN {firsts('a.first', 'b.first', 'a.first_formal', 'b.first_formal')} AND {lasts('a.last', 'b.last')}
             THEN CASE WHEN a.first = b.first AND a.last = b.last THEN 'same name' ELSE 'matching name' END
@@ -137,10 +153,10 @@ FROM compared WHERE same_email OR why IS NOT NULL""",
     "duplicate_pairs": """
 SELECT lead_id, related_lead_id, reason FROM full_pairs
 WHERE CASE WHEN same_email THEN from_email
-           WHEN why <> 'same name' THEN TRUE
+           WHEN why <> 'same name' THEN rep_phone OR rep_bare_old OR rep_bare_new OR (rep_key AND coalesce(ratio >= 85, FALSE))
            WHEN lacks_email THEN from_lacking OR coalesce(same_phone AND from_phone, FALSE)
            WHEN key_a = key_b THEN from_key OR coalesce(same_phone AND from_phone, FALSE)
-           ELSE ratio >= 85 OR coalesce(same_phone AND from_phone, FALSE) END""",
+           ELSE (ratio >= 85 AND rep_key) OR coalesce(same_phone AND from_phone, FALSE) END""",
     "full_pairs": """
 SELECT * FROM (
     SELECT *,
@@ -173,7 +189,7 @@ def with_ctes(query: str, extra: dict[str, str] | None = None) -> str:
 
     def visit(text: str) -> None:
         for name, body in known.items():
-            if name not in needed and _mentions(text, name):
+            if name not in needed and body != text and _mentions(text, name):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
@@ -181,7 +197,7 @@ def with_ctes(query: str, extra: dict[str, str] | None = None) -> str:
     visit(query)
     if not needed:
         return query
-    return "WITH " + ",\n".join(f"{name} AS ({known[name]})" for name in needed) + "\n" + query
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({known[name]})" for name in needed) + "\n" + query
 
 
 def _mentions(text: str, name: str) -> bool:

@@ -6,7 +6,7 @@ from oracle.base import CTES as BASE
 from oracle.base import (
     FIT_WORDS, RECENCY_CASE, RECENCY_WORDS, SIZE_CASE, UNKNOWN_INDUSTRY, UNKNOWN_SENIORITY, case, email, in_list,
 )
-from oracle.questions import DASHBOARD
+from oracle.questions import DASHBOARD, ISSUE_LIST
 from salesloom.config import (
     ACTIVITY_HOOKS, ACTIVITY_LABELS, COUNTRY_CODES, EMAIL_PATTERN, INDUSTRY_CODES, INDUSTRY_POINTS, INTENT_WEIGHTS, SENIORITY_POINTS, SOURCE_CODES,
     STAGE_CODES,
@@ -158,6 +158,31 @@ SELECT l.lead_id, l.company_id, l.first_name, l.last_name,
        l.deal_value, l.owner, l.created_at, CASE WHEN t.type = 'outreach' THEN {AS_OF_TEXT} ELSE l.last_contacted_at END AS last_contacted_at,
        CASE WHEN t.lead_id IS NOT NULL THEN {AS_OF_TEXT} ELSE l.updated_at END AS updated_at
 FROM present l LEFT JOIN touched t ON t.lead_id = l.lead_id LEFT JOIN survivors s ON s.primary_id = l.lead_id WHERE l.lead_id NOT IN (SELECT lead_id FROM donors)""",
+    "queue_order": "SELECT *, row_number() OVER (ORDER BY decided_at, action_id) AS n FROM decided WHERE status = 'approved'",
+    "queue_run": """
+SELECT 0::BIGINT AS n, NULL::VARCHAR AS action_id, NULL::VARCHAR AS missing, (SELECT coalesce(list(DISTINCT lead_id), []) FROM turns WHERE lead_id NOT IN (SELECT lead_id FROM present)) AS gone
+UNION ALL
+SELECT n, action_id, CASE WHEN len(lost) > 0 THEN array_to_string(lost, ', ') END,
+       CASE WHEN len(lost) = 0 AND type = 'merge' THEN list_concat(gone, list_filter(lead_ids, lambda x: x <> primary_id)) ELSE gone END
+FROM (SELECT q.n, q.action_id, q.type, q.lead_ids, q.primary_id, r.gone, list_filter(q.lead_ids, lambda x: list_contains(r.gone, x)) AS lost
+      FROM queue_run r JOIN queue_order q ON q.n = r.n + 1)""",
+    "queue_done": "SELECT q.n, q.action_id, q.type, q.lead_ids, q.primary_id, json_extract_string(m.payload_json, '$.stage') AS stage FROM queue_order q JOIN queue_run r ON r.action_id = q.action_id JOIN made_actions m ON m.action_id = q.action_id WHERE r.missing IS NULL",
+    "queue_given": "SELECT n, primary_id, lead_id FROM (SELECT n, primary_id, unnest(lead_ids) AS lead_id FROM queue_done WHERE type = 'merge') WHERE lead_id <> primary_id",
+    "queue_below": """
+SELECT lead_id AS top, lead_id AS node, []::STRUCT(n BIGINT, id VARCHAR)[] AS path FROM present
+UNION ALL SELECT b.top, g.lead_id, list_append(b.path, {'n': g.n, 'id': g.lead_id}) FROM queue_below b JOIN queue_given g ON g.primary_id = b.node""",
+    "queue_values": """
+SELECT top, arg_min(email, path) FILTER (trim(email) <> '') AS email, arg_min(phone, path) FILTER (trim(phone) <> '') AS phone, arg_min(title, path) FILTER (trim(title) <> '') AS title
+FROM queue_below b JOIN present p ON p.lead_id = b.node GROUP BY top""",
+    "queue_named": """
+SELECT lead_id, arg_max(stage, n) FILTER (type = 'stage_change') AS stage, max(n) FILTER (type = 'stage_change') AS staged, max(n) FILTER (type = 'outreach') AS sent
+FROM (SELECT n, type, stage, unnest(lead_ids) AS lead_id FROM queue_done) GROUP BY lead_id""",
+    "queue_after": f"""
+SELECT l.* REPLACE (coalesce(v.email, l.email) AS email, coalesce(v.phone, l.phone) AS phone, coalesce(v.title, l.title) AS title,
+       CASE WHEN t.sent > coalesce(t.staged, 0) AND coalesce(t.stage, l.stage) = 'new' THEN 'contacted' ELSE coalesce(t.stage, l.stage) END AS stage,
+       CASE WHEN t.sent IS NOT NULL THEN {AS_OF_TEXT} ELSE l.last_contacted_at END AS last_contacted_at,
+       CASE WHEN t.lead_id IS NOT NULL THEN {AS_OF_TEXT} ELSE l.updated_at END AS updated_at)
+FROM present l LEFT JOIN queue_values v ON v.top = l.lead_id LEFT JOIN queue_named t ON t.lead_id = l.lead_id WHERE l.lead_id NOT IN (SELECT lead_id FROM queue_given)""",
     "edited": f"SELECT * REPLACE (CASE WHEN owner = 'Karl Lindt' THEN {AS_OF_TEXT} ELSE last_contacted_at END AS last_contacted_at) FROM leads WHERE owner <> 'Yara Moss'",
     "ordered_hits": "SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events",
     "by_event": "SELECT printf('Q%05d', user_id) AS question_id, user_id, event_type AS key, count(*)::DOUBLE AS value FROM events GROUP BY ALL",
@@ -269,12 +294,19 @@ SELECT 1 AS id, 'IMP-00001' AS action_id, 'imported ' || CAST((SELECT count(*) F
        || CAST((SELECT count(*) FROM judged WHERE len(reasons) > 0) AS VARCHAR) || ' rows rejected)' AS event, TIMESTAMP '2024-01-26 09:00:00' AS at, 'tester' AS actor""",
     "import_csv_files": """
 SELECT reason, count(*) AS rows FROM (SELECT unnest(CASE WHEN len(reasons) = 0 THEN ['accepted'] ELSE reasons END) AS reason FROM judged) GROUP BY 1""",
+    "import_csv_documents": "SELECT doc_id::VARCHAR AS doc_id, coalesce(source, '') AS source, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     "proposal_checks": "SELECT proposal_id, type, error FROM judged_proposals",
     "created_actions": "SELECT action_id, type, lead_list AS lead_ids, payload_json, 'pending' AS status, note FROM made_actions",
     "decided_actions": "SELECT action_id, status, decided_at, decided_by, note FROM decided",
     "decision_conflicts": """SELECT action_id, "at", actor, action_id || ' is already ' || stands AS message FROM ranked_decisions WHERE turn > 1""",
     "batch_plan": "SELECT action_id, state, missing FROM planned",
     "executed_leads": "SELECT * FROM leads_after",
+    "queue_outcomes": "SELECT action_id, CASE WHEN missing IS NULL THEN 'run' ELSE 'gone' END AS state, missing FROM queue_run WHERE n > 0",
+    "queue_leads": "SELECT * FROM queue_after",
+    "queue_failures": "SELECT action_id, 'execution failed: leads no longer exist: ' || missing AS event FROM queue_run WHERE missing IS NOT NULL",
+    "queue_activities": """
+SELECT a.* REPLACE (coalesce(b.top, a.lead_id) AS lead_id) FROM activities a
+LEFT JOIN (SELECT top, node FROM queue_below WHERE top NOT IN (SELECT lead_id FROM queue_given)) b ON b.node = a.lead_id""",
     "executed_activities": "SELECT a.activity_id, coalesce(d.primary_id, a.lead_id) AS lead_id, a.type, a.occurred_at FROM activities a LEFT JOIN donors d ON d.lead_id = a.lead_id",
     "executed_issues": f"""
 SELECT lead_id, issue_type, details, related_lead_id FROM data_issues WHERE issue_type = 'duplicate' AND lead_id NOT IN (SELECT lead_id FROM donors)
@@ -365,6 +397,26 @@ JOBS["health_counts"] = "SELECT (SELECT count(*) FROM leads) AS leads, (SELECT c
 JOBS["executed_scores"] = "SELECT * FROM lead_scores_after"
 JOBS["import_issue_counts"] = COUNTS
 JOBS["exported_results"] = STORED
+JOBS["batched_duplicates"] = "SELECT lead_id, related_lead_id, reason FROM duplicate_pairs"
+JOBS["advanced_scores"] = "SELECT lead_id, score, fit, intent, recency FROM lead_scores"
+JOBS["advanced_stale"] = "SELECT lead_id, details FROM issue_rows WHERE issue_type = 'stale'"
+JOBS["kept_fingerprints"] = """
+SELECT 'companies' AS "table", count(*) AS rows, TRUE AS same FROM companies UNION ALL SELECT 'leads', count(*), TRUE FROM queue_after UNION ALL SELECT 'activities', count(*), TRUE FROM activities
+UNION ALL SELECT 'data_issues', count(*), TRUE FROM data_issues UNION ALL SELECT 'lead_scores', count(*), TRUE FROM lead_scores"""
+JOBS["issue_page_stored"] = f"""
+SELECT issue_id, issue_type, details, lead_id, related_lead_id, name, company, owner, stage, score, page::INTEGER AS page, total FROM (
+  SELECT *, count(*) OVER () AS total, (row_number() OVER (ORDER BY issue_type, score DESC NULLS LAST, issue_id) - 1) // 20 + 1 AS page FROM ({ISSUE_LIST}))
+WHERE page IN (1, greatest(1, total // 40), greatest(1, (total + 19) // 20))"""
+JOBS["lead_detail"] = f"""
+SELECT 'lead' AS part, l.lead_id AS id, s.score::VARCHAR AS value FROM most_active m JOIN leads l ON l.lead_id = m.lead_id LEFT JOIN lead_scores s ON s.lead_id = l.lead_id
+UNION ALL SELECT 'activity', activity_id, type FROM (SELECT a.* FROM activities a JOIN most_active m ON m.lead_id = a.lead_id ORDER BY occurred_at DESC, activity_id LIMIT 50)
+UNION ALL SELECT 'issue', issue_id, details FROM data_issues i JOIN most_active m ON m.lead_id IN (i.lead_id, i.related_lead_id)"""
+CTES["most_active"] = "SELECT lead_id FROM activities GROUP BY lead_id ORDER BY count(*) DESC, lead_id LIMIT 1"
+JOBS["ledger_since"] = "SELECT count(*) AS calls, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, coalesce(sum(total_tokens) FILTER (ok), 0) AS tokens FROM ledger WHERE \"at\" >= '2024-01-16T12'"
+JOBS["latest_companies"] = "SELECT * REPLACE (upper(industry) AS industry), NULL::VARCHAR AS region FROM companies WHERE employees > 100"
+JOBS["appended_activities"] = "SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, count(*) AS activities, count(DISTINCT lead_id) AS leads FROM activities GROUP BY 1"
+JOBS["rejected_actions"] = "SELECT action_id, decided_by, 2 AS entries FROM decided WHERE status = 'rejected'"
+JOBS["file_limits"] = "SELECT unnest(['rows as many', 'one row less', 'few bytes']) AS \"limit\", (SELECT count(*) FROM export_rows) AS rows, unnest([FALSE, TRUE, TRUE]) AS refused"
 JOBS["valid_results"] = STORED + " WHERE item_id % 5 <> 1"
 RECURSIVE = {"limit_flags": LIMIT_FLAGS, "stream_limit_flags": LIMIT_FLAGS}
 

@@ -174,6 +174,19 @@ LEFT JOIN lead_scores s ON least(floor(s.score / 10), 9) = b.range GROUP BY 1))"
     "latest_activities": "SELECT activity_id, lead_id, type, occurred_at, position FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY occurred_at DESC, activity_id) AS position FROM activities) WHERE position <= 50",
     "issues_either_side": "SELECT lead_id, issue_id, 'subject' AS side FROM data_issues UNION ALL SELECT related_lead_id, issue_id, 'related' FROM data_issues WHERE related_lead_id IS NOT NULL",
     "find_duplicates": "SELECT lead_id, related_lead_id, reason FROM duplicate_pairs",
+    "duplicate_classes": """
+SELECT block, first, last, kind, value, count(*) AS members, arg_min(lead_id, {'t': created_at, 'id': lead_id}) AS oldest, arg_max(lead_id, {'t': created_at, 'id': lead_id}) AS newest
+FROM (SELECT *, 'name' AS kind, '' AS value FROM mailed UNION ALL SELECT *, 'phone', phone FROM mailed WHERE phone IS NOT NULL
+      UNION ALL SELECT *, 'mail', mail_key FROM mailed WHERE email IS NOT NULL UNION ALL SELECT *, 'bare', '' FROM mailed WHERE email IS NULL)
+WHERE first <> '' AND last <> '' GROUP BY block, first, last, kind, value""",
+    "duplicate_edges": "\nUNION ALL ".join(f"""
+SELECT why, block, first_old, last_old, '{old}' AS kind_old, {values[0]} AS value_old, {old.replace('mail', 'key')}_old AS members_old,
+       first_new, last_new, '{new}' AS kind_new, {values[1]} AS value_new, {new.replace('mail', 'key')}_new AS members_new, related_lead_id, lead_id
+FROM rated WHERE {rule}""" for old, new, values, rule in (
+        ("phone", "phone", ("phone", "phone"), "why <> 'same name' AND rep_phone"),
+        ("bare", "name", ("''", "''"), "why <> 'same name' AND rep_bare_old"),
+        ("name", "bare", ("''", "''"), "why <> 'same name' AND rep_bare_new"),
+        ("mail", "mail", ("key_a", "key_b"), "rep_key AND (why <> 'same name' OR key_a <> key_b) AND why IS NOT NULL AND (key_a = key_b OR ratio >= 85)"))),
     "expanded_duplicates": "SELECT lead_id, related_lead_id, reason FROM full_pairs WHERE lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Karl Lindt') OR related_lead_id IN (SELECT lead_id FROM leads WHERE owner = 'Karl Lindt')",
     "detect_issues": "SELECT issue_id, lead_id, issue_type, details, related_lead_id FROM data_issues",
     "score_leads": "SELECT lead_id, score, fit, intent, recency FROM lead_scores",

@@ -1,7 +1,8 @@
 """Reviewed changes: proposals, decisions, execution and the audit trail, as batches.
 
 One batch runs at most one action per lead, the one decided first. Later actions on a lead wait for
-the next batch, which gives the order of a single writer without taking actions one by one.
+the next batch, which gives the order of a single writer without taking actions one by one. An action that failed
+stays approved, as its audit entry says, and takes part in no further batch. `queue.execute_queue` runs all that wait at once.
 """
 
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ ACTION_COLUMNS = ["action_id", "type", "lead_ids", "payload_json", "status", "cr
 AUDIT_COLUMNS = ["id", "action_id", "event", "at", "actor"]
 
 
-def _field(name: str) -> Column:
+def field_of(name: str) -> Column:
     return F.get_json_object("payload_json", f"$.{name}")
 
 
@@ -40,9 +41,9 @@ def check_proposals(proposals: DataFrame, leads: DataFrame) -> DataFrame:
     wanted = proposals.select("proposal_id", F.posexplode("lead_ids").alias("place", "lead_id"))
     gone = wanted.join(leads.select("lead_id"), "lead_id", "left_anti").groupBy("proposal_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "lead_id"))).alias("_gone"))  # bounded by one proposal's list
-    primary = F.coalesce(_field("primary_id"), F.get("lead_ids", F.lit(0)))
-    subject, body = strip(F.coalesce(_field("subject"), F.lit(""))), strip(F.coalesce(_field("body"), F.lit("")))
-    stage = F.coalesce(_field("stage"), F.lit(""))
+    primary = F.coalesce(field_of("primary_id"), F.get("lead_ids", F.lit(0)))
+    subject, body = strip(F.coalesce(field_of("subject"), F.lit(""))), strip(F.coalesce(field_of("body"), F.lit("")))
+    stage = F.coalesce(field_of("stage"), F.lit(""))
     kind = F.col("type")
     error = (
         F.when(F.size("lead_ids") < 1, "at least one lead_id is required")
@@ -53,12 +54,12 @@ def check_proposals(proposals: DataFrame, leads: DataFrame) -> DataFrame:
         .when((kind == "outreach") & ((subject == "") | (body == "")), "outreach needs payload.subject and payload.body")
         .when(F.col("_gone").isNotNull(), F.concat(F.lit("unknown lead_ids: "), F.array_join("_gone.lead_id", ", ")))
     )
-    cited = F.coalesce(F.from_json(_field("citations"), "array<string>"), F.array().cast("array<string>"))
+    cited = F.coalesce(F.from_json(field_of("citations"), "array<string>"), F.array().cast("array<string>"))
     clean = (
         F.when(kind == "stage_change", F.to_json(F.struct(stage.alias("stage"))))
         .when(kind == "merge", F.to_json(F.struct(primary.alias("primary_id"))))
         .otherwise(F.to_json(F.struct(subject.alias("subject"), body.alias("body"),
-                                      F.coalesce(_field("channel"), F.lit("email")).alias("channel"), cited.alias("citations"))))
+                                      F.coalesce(field_of("channel"), F.lit("email")).alias("channel"), cited.alias("citations"))))
     )
     return (proposals.join(gone, "proposal_id", "left").withColumn("error", error)
             .withColumn("payload_json", F.when(F.col("error").isNull(), clean).otherwise(F.col("payload_json"))).drop("_gone"))
@@ -137,6 +138,14 @@ class Executed:
     deferred: DataFrame  # action_id of the actions left for the next batch
 
 
+FAILED = "execution failed: "
+
+
+def failed_before(audit_log: DataFrame) -> DataFrame:
+    """(action_id) of the actions that were tried and failed."""
+    return audit_log.filter(F.col("event").startswith(FAILED)).select("action_id").distinct()
+
+
 def plan_batch(approved: DataFrame, leads: DataFrame) -> DataFrame:
     """Approved actions with `state`: run, gone (with the missing leads) or wait."""
     pairs = approved.select("action_id", F.struct("decided_at", "action_id").alias("turn"), F.posexplode("lead_ids").alias("place", "lead_id"))
@@ -152,7 +161,7 @@ def plan_batch(approved: DataFrame, leads: DataFrame) -> DataFrame:
 
 def _merges(running: DataFrame) -> DataFrame:
     """Donor lead to primary lead, one row per donor."""
-    merge = running.filter(F.col("type") == "merge").select("action_id", "lead_ids", _field("primary_id").alias("primary_id"))
+    merge = running.filter(F.col("type") == "merge").select("action_id", "lead_ids", field_of("primary_id").alias("primary_id"))
     return (merge.select("action_id", "primary_id", F.explode("lead_ids").alias("lead_id"))
             .filter(F.col("lead_id") != F.col("primary_id")))
 
@@ -167,12 +176,13 @@ def _survivors(leads: DataFrame, donors: DataFrame) -> DataFrame:
 def execute(actions: DataFrame, audit_log: DataFrame, leads: DataFrame, companies: DataFrame, activities: DataFrame,
             issues: DataFrame, scores: DataFrame, as_of: datetime, at: datetime) -> Executed:
     """Run one batch of the approved actions and refresh issues and scores of the touched leads."""
-    plan = written(plan_batch(actions.filter(F.col("status") == "approved"), leads), "batch")
+    approved = actions.filter(F.col("status") == "approved").join(failed_before(audit_log), "action_id", "left_anti")
+    plan = written(plan_batch(approved, leads), "batch")
     running = plan.filter(F.col("state") == "run")
     now = instant(as_of)
     donors = written(_merges(running), "donors")
     survivors = written(_survivors(leads, donors), "survivors")
-    stage_set = running.filter(F.col("type") == "stage_change").select(F.explode("lead_ids").alias("lead_id"), _field("stage").alias("_stage"))
+    stage_set = running.filter(F.col("type") == "stage_change").select(F.explode("lead_ids").alias("lead_id"), field_of("stage").alias("_stage"))
     contacted = running.filter(F.col("type") == "outreach").select(F.explode("lead_ids").alias("lead_id"), F.lit(True).alias("_sent"))
     kept = leads.join(donors, "lead_id", "left_anti")
     joined = (kept.join(stage_set, "lead_id", "left").join(contacted, "lead_id", "left")
@@ -204,9 +214,9 @@ def execute(actions: DataFrame, audit_log: DataFrame, leads: DataFrame, companie
     new_scores = rescore(scores.join(new_leads.select("lead_id"), "lead_id", "left_semi"), new_leads, companies, theirs, touched, as_of)
 
     entries = plan.filter(F.col("state") == "gone").select(
-        "action_id", F.concat(F.lit("execution failed: leads no longer exist: "), F.col("missing")).alias("event")).unionByName(
+        "action_id", F.concat(F.lit(f"{FAILED}leads no longer exist: "), F.col("missing")).alias("event")).unionByName(
         running.join(moved, "action_id", "left").join(_filled(leads, survivors), "action_id", "left")
-        .select("action_id", F.concat(F.lit("executed: "), _summary()).alias("event")))
+        .select("action_id", F.concat(F.lit("executed: "), execution_summary()).alias("event")))
     entries = entries.select("action_id", "event", instant(at).alias("at"), F.lit("system").alias("actor"))
     done = running.select("action_id").withColumn("_done", F.lit("executed"))
     updated = actions.join(done, "action_id", "left").withColumn("status", F.coalesce("_done", "status")).select(*ACTION_COLUMNS)
@@ -222,14 +232,14 @@ def _filled(leads: DataFrame, survivors: DataFrame) -> DataFrame:
     return primary.select("action_id", taken.alias("_filled"))
 
 
-def _summary() -> Column:
-    primary = _field("primary_id")
+def execution_summary() -> Column:
+    primary = field_of("primary_id")
     others = F.array_join(F.filter("lead_ids", lambda i: i != primary), ", ")
     extra = F.when(F.size(F.coalesce("_filled", F.array().cast("array<string>"))) > 0,
                    F.concat(F.lit(", filled "), F.array_join("_filled", ", "))).otherwise("")
     return (
-        F.when(F.col("type") == "stage_change", F.concat(F.lit("set stage to '"), _field("stage"), F.lit("' on "), _lead_list()))
-        .when(F.col("type") == "outreach", F.concat(F.lit("logged "), F.coalesce(_field("channel"), F.lit("email")),
+        F.when(F.col("type") == "stage_change", F.concat(F.lit("set stage to '"), field_of("stage"), F.lit("' on "), _lead_list()))
+        .when(F.col("type") == "outreach", F.concat(F.lit("logged "), F.coalesce(field_of("channel"), F.lit("email")),
                                                     F.lit(" outreach to "), _lead_list()))
         .otherwise(F.concat(F.lit("merged "), others, F.lit(" into "), primary, F.lit(" (moved "),
                             F.coalesce("_moved", F.lit(0)).cast("string"), F.lit(" activities"), extra, F.lit(")")))

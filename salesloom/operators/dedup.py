@@ -3,9 +3,13 @@
 Every row is directed from the newer record to the older one. Records that all match each other by definition form a
 bucket: one e-mail address; one name at one company with one phone, with one local part of the address, or beside a
 record without an address. In a bucket every member is linked to the oldest one (of those without an address, in the
-last case), so a bucket of n members has n-1 rows at any size. Different names that match, and one name with alike but
-different addresses, are written pair by pair. All members take part in all rules. `expand` gives all pairs, those inside
-buckets too, of chosen leads.
+last case), so a bucket of n members has n-1 rows at any size.
+
+Different names that match, and alike but different addresses, meet as classes: all records of one name at one company, those
+of them with one phone, with one local part of the address, and without an address. An edge joins two classes whose members all
+match each other; it has one row, of the oldest member of the older side and the oldest younger one of the other (the newest, if
+its oldest is no younger). Members of a class are linked by its bucket, so rows stay linear in the records, and records that
+match are always linked over others. `classes`, `memberships` and `class_edges` give the graph, `expand` all pairs of chosen leads.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -87,22 +91,88 @@ def _pairs_of(left: Column, right: Column) -> Column:
     return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("\x1f"), b))))
 
 
-def matching_names(persons: DataFrame) -> DataFrame:
-    """(block, first_old, last_old, first_new, last_new, why): distinct names inside a block that match, in both age directions.
+def matching_names(persons: DataFrame, younger: DataFrame | None = None) -> DataFrame:
+    """(block, first_old, last_old, first_new, last_new, why): distinct names inside a block that match, in both age directions,
+    or those of `persons` as the older ones with those of `younger`.
 
     Records that share one name cost one row here. A key holds a signature of both names: a frequent last name alone
     joins nothing.
     """
     fields = [*NAME_KEY, "first_formal", "last_formal"]
     names = _named(persons).select(*fields).distinct()
+    new_names = names if younger is None else _named(younger).select(*fields).distinct()
     old_keys = _pairs_of(typo_signatures(F.col("last")), _with_nickname("first"))
     new_keys = F.array_union(old_keys, _pairs_of(typo_signatures(F.col("first")), _with_nickname("last")))
-    old, new = _side(_keyed(names, old_keys), "old", ["key", *fields]), _side(_keyed(names, new_keys), "new", ["key", *fields])
+    old, new = _side(_keyed(names, old_keys), "old", ["key", *fields]), _side(_keyed(new_names, new_keys), "new", ["key", *fields])
     met = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & (F.col("block_old") == F.col("block_new")))
     met = met.withColumn("why", name_verdict()).filter(F.col("why").isNotNull())
     return met.select(F.col("block_old").alias("block"), "first_old", "last_old", "first_new", "last_new", "why").distinct()
 
 
+# ------------------------------------------------------------------ classes
+
+CLASS_KEY = [*NAME_KEY, "kind", "value"]
+_MEMBER = ["age", "lead_id", "first_formal", "last_formal", "email", "phone", "email_key"]
+
+
+def _in_classes(persons: DataFrame, columns: list[Column]) -> DataFrame:
+    """A row for each class that a named record is in: of its name, its phone, its address's local part, or those without one."""
+    def one(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    has_email = F.col("email").isNotNull()
+    kinds = F.array(one("name", F.lit("")), F.when(F.col("phone").isNotNull(), one("phone", F.col("phone"))),
+                    F.when(has_email, one("mail", F.col("email_key"))), F.when(~has_email, one("bare", F.lit(""))))
+    return _named(persons).select(*NAME_KEY, *columns, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
+
+
+def classes(persons: DataFrame) -> DataFrame:
+    """(block, first, last, kind, value, members, oldest, newest)."""
+    each = _in_classes(persons, [F.struct(*_MEMBER).alias("member")])
+    return each.groupBy(*CLASS_KEY).agg(F.count(F.lit(1)).alias("members"), F.min("member").alias("oldest"), F.max("member").alias("newest"))
+
+
+def memberships(leads: DataFrame) -> DataFrame:
+    """(lead_id, block, first, last, kind, value)."""
+    return _in_classes(people(leads), [F.col("lead_id")])
+
+
+def _class_keys(newer: bool) -> Column:
+    """What the classes of both sides of an edge have in common: a phone, one side without addresses, pieces of the addresses."""
+    pieces = ratio_pieces(F.col("value")) if newer else all_pieces(F.col("value"))
+    lacking = "older lacks e-mail" if newer else "newer lacks e-mail"
+    bare = "newer lacks e-mail" if newer else "older lacks e-mail"
+    return (F.when(F.col("kind") == "phone", F.array(F.concat(F.lit("phone "), F.col("value"))))
+            .when(F.col("kind") == "name", F.array(F.lit(lacking))).when(F.col("kind") == "bare", F.array(F.lit(bare)))
+            .otherwise(F.transform(pieces, lambda t: F.concat(F.lit("mail "), t))))
+
+
+def class_edges(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """(why, block, and for both sides first, last, kind, value, members, and one member each: old, new) of the edges between `classes`.
+
+    Addresses of an edge between local parts may reach the ratio; whether they do is left to `_with_reason`.
+    """
+    fields = [*CLASS_KEY, "members", "oldest", "newest"]
+    old = _side(_keyed(groups, _class_keys(newer=False)), "old", ["key", *fields])
+    new = _side(_keyed(groups, _class_keys(newer=True)), "new", ["key", *fields])
+    named = old.join(names.withColumnRenamed("block", "block_old").hint("merge"), ["block_old", "first_old", "last_old"])
+    # Records of one name meet by different local parts only; all else links them in buckets.
+    named = named.filter((F.col("why") != "same name") | (F.col("kind_old") == "mail"))
+    met = named.join(new.withColumnRenamed("block_new", "block_old").withColumnRenamed("key_new", "key_old").hint("merge"), ["block_old", "first_new", "last_new", "key_old"])
+    mail = F.col("kind_old") == "mail"
+    met = met.filter(~mail | may_reach_ratio(F.col("value_old"), F.col("value_new"), EMAIL_LOCAL_THRESHOLD))
+    met = met.filter((F.col("why") != "same name") | (F.col("value_old") != F.col("value_new")))
+    younger = F.when(F.col("oldest_new.age") > F.col("oldest_old.age"), F.col("oldest_new")).otherwise(F.col("newest_new"))
+    edges = met.select("why", F.col("block_old").alias("block"), *[f"{c}_{side}" for side in ("old", "new") for c in ("first", "last", "kind", "value", "members")],
+                       F.col("oldest_old").alias("old"), younger.alias("new")).filter(F.col("old.age") < F.col("new.age"))
+    sides = [f"{c}_{side}" for side in ("old", "new") for c in ("first", "last", "kind", "value")]
+    return edges.dropDuplicates(["why", "block", *sides])  # addresses have several pieces in common
+
+
+def _edge_pairs(edges: DataFrame) -> DataFrame:
+    both = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("old", "new") for c in _MEMBER]
+    return edges.select(*both, "why", (F.col("kind_old") != "mail").alias("sure"))
+
+
 # ------------------------------------------------------------------ pairs of records
 
 def _evidence_keys(newer: bool) -> Column:
@@ -119,58 +189,46 @@ def _evidence_keys(newer: bool) -> Column:
 
 
 def _pairs_by_evidence(older: DataFrame, newer: DataFrame, names: DataFrame) -> DataFrame:
-    """Records with matching names and a common piece of evidence, joined on both at once."""
+    """Records with matching names and a common piece of evidence, joined on both at once; one of the sides is chosen leads."""
     old = _side(_keyed(_named(older), _evidence_keys(newer=False)), "old", ["key", *PERSON])
     new = _side(_keyed(_named(newer), _evidence_keys(newer=True)), "new", ["key", *PERSON])
     named = old.join(names.hint("merge"), (old["block_old"] == names["block"]) & (old["first_old"] == names["first_old"])
                      & (old["last_old"] == names["last_old"])).drop(names["first_old"]).drop(names["last_old"]).drop("block")
     met = named.join(new.hint("merge"), (F.col("block_old") == F.col("block_new")) & (named["first_new"] == new["first_new"])
                      & (named["last_new"] == new["last_new"]) & (F.col("key_old") == F.col("key_new")))
-    return met.drop(named["first_new"]).drop(named["last_new"]).drop("key_old", "key_new")
-
-
-def _alike_addresses(persons: DataFrame) -> DataFrame:
-    """Records of one name whose local parts differ but are alike. Distinct local parts meet first, so records that share one
-    never meet here."""
-    key = [*NAME_KEY, "email_key"]
-    parts = _named(persons).filter(F.col("email").isNotNull()).select(*key).distinct()
-    old = _side(_keyed(parts, all_pieces(F.col("email_key"))), "old", ["key", *key])
-    new = _side(_keyed(parts, ratio_pieces(F.col("email_key"))), "new", ["key", *key])
-    same_name = (F.col("block_old") == F.col("block_new")) & (F.col("first_old") == F.col("first_new")) & (F.col("last_old") == F.col("last_new"))
-    alike = old.join(new.hint("merge"), (F.col("key_old") == F.col("key_new")) & same_name & (F.col("email_key_old") != F.col("email_key_new")))
-    alike = alike.filter(may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD))
-    alike = alike.select("block_old", "first_old", "last_old", "email_key_old", "email_key_new").distinct()
-    alike = alike.filter(indel_ratio(F.col("email_key_old"), F.col("email_key_new")) >= EMAIL_LOCAL_THRESHOLD)
-    with_old = alike.join(_side(persons, "old", PERSON), ["block_old", "first_old", "last_old", "email_key_old"])
-    new = _side(persons, "new", PERSON).withColumnRenamed("email_key_new", "key_of_new")
-    met = with_old.join(new, same_name & (F.col("email_key_new") == F.col("key_of_new"))).drop("key_of_new")
-    return met.withColumn("why", F.lit("same name"))
+    return met.select(*[f"{c}_{side}" for side in ("old", "new") for c in _MEMBER], "why", F.lit(True).alias("sure"))
 
 
 def _bucket_links(persons: DataFrame, key: list[str], center: Column) -> DataFrame:
     """Every member of a bucket beside the oldest of those that can be its center."""
-    person = F.struct("age", *[c for c in PERSON if c != "age"])
+    person = F.struct(*_MEMBER)
     centers = persons.filter(center).groupBy(*key).agg(F.min(person).alias("center"))
     met = persons.select(*key, person.alias("member")).join(centers, key).filter("member.lead_id <> center.lead_id")
     older = F.when(F.col("member.age") < F.col("center.age"), F.col("member")).otherwise(F.col("center"))
     newer = F.when(F.col("member.age") < F.col("center.age"), F.col("center")).otherwise(F.col("member"))
     met = met.select(older.alias("o"), newer.alias("n"))
-    return met.select(*[F.col(f"o.{c}").alias(f"{c}_old") for c in PERSON], *[F.col(f"n.{c}").alias(f"{c}_new") for c in PERSON], F.lit("same name").alias("why"))
+    return met.select(*[F.col(f"o.{c}").alias(f"{c}_old") for c in _MEMBER], *[F.col(f"n.{c}").alias(f"{c}_new") for c in _MEMBER],
+                      F.lit("same name").alias("why"), F.lit(True).alias("sure"))
 
 
 def _with_reason(pairs: DataFrame) -> DataFrame:
-    """(lead_id, related_lead_id, reason) of the pairs whose evidence holds, once each; equal addresses are left to their own rule."""
+    """(lead_id, related_lead_id, reason) of the pairs whose evidence holds, once each; equal addresses are left to their own rule.
+
+    Pairs that are not `sure` meet by their addresses, which have to be alike then."""
     both = F.col("email_old").isNotNull() & F.col("email_new").isNotNull()
     same_email = F.coalesce(F.col("email_old") == F.col("email_new"), F.lit(False))
     same_phone = F.coalesce(F.col("phone_old") == F.col("phone_new"), F.lit(False))
     possible = ~both | same_phone | may_reach_ratio(F.col("email_key_old"), F.col("email_key_new"), EMAIL_LOCAL_THRESHOLD)
     held = pairs.filter((F.col("age_old") < F.col("age_new")) & ~same_email & possible).select(
-        F.col("lead_id_new").alias("lead_id"), F.col("lead_id_old").alias("related_lead_id"), "why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
-        F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b"))
-    held = held.dropDuplicates(["lead_id", "related_lead_id"]).withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
+        F.col("lead_id_new").alias("lead_id"), F.col("lead_id_old").alias("related_lead_id"), "sure",
+        F.struct("why", same_phone.alias("same_phone"), (~both).alias("lacks_email"),
+                 F.when(both, F.col("email_key_old")).alias("key_a"), F.when(both, F.col("email_key_new")).alias("key_b")).alias("facts"))
+    held = held.groupBy("lead_id", "related_lead_id").agg(F.max("sure").alias("sure"), F.min("facts").alias("facts")).select("lead_id", "related_lead_id", "sure", "facts.*")
+    held = held.withColumn("ratio", indel_ratio(F.col("key_a"), F.col("key_b")))
     reason = (
         F.when(F.col("ratio") >= EMAIL_LOCAL_THRESHOLD,
                F.concat(F.col("why"), F.lit(" and similar email ("), whole_text(F.col("ratio")), F.lit(") at same company")))
+        .when(~F.col("sure"), None)
         .when(F.col("same_phone"), F.concat(F.col("why"), F.lit(" and same phone at same company")))
         .when(F.col("lacks_email"), F.concat(F.col("why"), F.lit(" at same company, email missing on one record")))
     )
@@ -183,26 +241,45 @@ def _email_reason() -> Column:
 
 # ------------------------------------------------------------------ results
 
-def find_duplicates(leads: DataFrame) -> DataFrame:
-    """(lead_id newer, related_lead_id older, reason) of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
-    persons = written(people(leads), "people")  # read by every rule below; the normalizers run once
+def email_rows(persons: DataFrame) -> DataFrame:
+    """(lead_id, related_lead_id, reason): every record of an address beside the oldest one."""
     addressed = persons.filter(F.col("email").isNotNull())
     oldest = addressed.groupBy("email").agg(F.min("age").alias("oldest"))
-    by_email = (addressed.join(oldest, "email").filter(F.col("age") > F.col("oldest"))
-                .select("lead_id", F.col("oldest.id").alias("related_lead_id"), _email_reason()))
+    return (addressed.join(oldest, "email").filter(F.col("age") > F.col("oldest"))
+            .select("lead_id", F.col("oldest.id").alias("related_lead_id"), _email_reason()))
+
+
+def name_rows(persons: DataFrame, groups: DataFrame, names: DataFrame) -> DataFrame:
+    """(lead_id, related_lead_id, reason): the buckets of the names of `persons`, and the edges between `groups` over `names`."""
     named = _named(persons)
     with_address = F.col("email").isNotNull()
     links = [
         _bucket_links(named.filter(F.col("phone").isNotNull()), [*NAME_KEY, "phone"], F.lit(True)),
         _bucket_links(named.filter(with_address), [*NAME_KEY, "email_key"], F.lit(True)),
         _bucket_links(named, NAME_KEY, ~with_address),
-        _alike_addresses(persons),
-        _pairs_by_evidence(persons, persons, matching_names(persons).filter("why <> 'same name'")),
+        _edge_pairs(class_edges(groups, names)),
     ]
     pairs = links[0]
     for more in links[1:]:
         pairs = pairs.unionByName(more)
-    return by_email.unionByName(_with_reason(pairs))
+    return _with_reason(pairs)
+
+
+def find_duplicates(leads: DataFrame) -> DataFrame:
+    """(lead_id newer, related_lead_id older, reason) of `leads(lead_id, company_id, first_name, last_name, email, created_at[, company_name, phone])`."""
+    persons = written(people(leads), "people")  # read by every rule below; the normalizers run once
+    return email_rows(persons).unionByName(name_rows(persons, written(classes(persons), "classes"), matching_names(persons)))
+
+
+def duplicate_edges(leads: DataFrame) -> DataFrame:
+    """The verified edges between classes of `leads`: what joins them, how many records are on both sides, and the pair that stands for them."""
+    persons = written(people(leads), "people")
+    edges = class_edges(written(classes(persons), "classes"), matching_names(persons))
+    mail = F.col("kind_old") == "mail"
+    rated = edges.withColumn("ratio", indel_ratio(F.when(mail, F.col("value_old")), F.when(mail, F.col("value_new"))))
+    return rated.filter(~mail | (F.col("ratio") >= EMAIL_LOCAL_THRESHOLD)).select(
+        "why", "block", "first_old", "last_old", "kind_old", "value_old", "members_old", "first_new", "last_new", "kind_new", "value_new", "members_new",
+        F.col("old.lead_id").alias("related_lead_id"), F.col("new.lead_id").alias("lead_id"))
 
 
 def expand(leads: DataFrame, chosen: DataFrame) -> DataFrame:

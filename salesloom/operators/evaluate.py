@@ -1,9 +1,13 @@
 """Measures of detection quality and of answered questions."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from salesloom.operators.evidence import is_id
+from salesloom.sources.storage import written
 
 
 def _rates(tp: Column, found: Column, truth: Column) -> list[Column]:
@@ -110,9 +114,42 @@ def grade(got: DataFrame, expected: DataFrame, asked: DataFrame) -> DataFrame:
     return runs.join(verdict, ["question_id", "run_id"], "left").select("question_id", "run_id", passed.alias("passed"))
 
 
-def nearest_rank(column: str, percent: float) -> Column:
-    """The smallest value with at least `percent` of all values at or below it, 0 for no values."""
-    return F.coalesce(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column})"), F.lit(0))
+BINS = 256
+
+
+def _same_group(a: str, b: str, by: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
+
+
+def nearest_ranks(df: DataFrame, by: list[str], ranks: dict[str, tuple[str, int]]) -> DataFrame:
+    """`by` and, for each name in `ranks`, the nearest-rank percentile of a whole-number column: the smallest value with at least
+    that percent of all values at or below it, 0 where there are none. `ranks` has (column, percent).
+
+    The range that holds a rank is cut into `BINS` bins, the rows in each are counted, and the bin with the rank is the next range,
+    until it is one value: a pass for each eight bits of the range. Counts are combined before the shuffle, so no task ever holds
+    the values of a group, however large it is.
+    """
+    measures = list(dict.fromkeys(column for column, _ in ranks.values()))
+    rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value")) for m in measures])).alias("m"))
+    rows = rows.select(*by, "m.measure", "m.value").filter(F.col("value").isNotNull())
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(column).alias("of"), F.lit(percent).alias("percent")) for name, (column, percent) in ranks.items()]))
+    sizes = rows.groupBy(*by, "measure").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    state = sizes.select("*", asked.alias("a")).filter("a.of = measure").select(
+        *by, "measure", "a.name", "low", "high", F.greatest(F.lit(1), F.ceil(F.col("a.percent") * F.col("n") / 100)).alias("rank"))
+    state = written(state, "ranks")
+    key = [*by, "measure"]
+    while not state.filter("low < high").isEmpty():
+        open_ = state.filter("low < high").withColumn("width", F.floor((F.col("high") - F.col("low")) / BINS) + 1)
+        met = rows.alias("r").join(open_.alias("s"), _same_group("r", "s", key) & F.expr("r.value BETWEEN s.low AND s.high"))
+        bins = met.groupBy(*[F.col(f"s.{c}").alias(c) for c in [*key, "name", "low", "high", "rank", "width"]], F.floor((F.col("r.value") - F.col("s.low")) / F.col("s.width")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy(*key, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # `BINS` rows
+        placed = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before < rank AND rank <= before + n")
+        low = F.col("low") + F.col("bin") * F.col("width")
+        found = placed.select(*key, "name", low.alias("low"), F.least(F.col("high"), low + F.col("width") - 1).alias("high"), (F.col("rank") - F.col("before")).alias("rank"))
+        state = written(state.filter("low = high").unionByName(found), "ranks")
+    wide = state.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in ranks])
+    groups = df.select(*by).distinct()
+    return groups.alias("r").join(wide.alias("s"), _same_group("r", "s", by), "left").select(*[F.col(f"r.{c}") for c in by], *[F.coalesce(F.col(f"s.{name}"), F.lit(0)).alias(name) for name in ranks])
 
 
 def run_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -130,7 +167,8 @@ def run_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     good = F.count_if(F.col("answered") & F.col("valid"))
     retried = F.count_if((F.col("sql_attempts") > 1) | (F.col("answer_attempts") > 1))
     fell_back = F.count_if(F.col("fallback") != "none")
-    return rows.groupBy(*(by or ["run_id"])).agg(
+    groups = by or ["run_id"]
+    measured = rows.groupBy(*groups).agg(
         n.alias("total"), F.count_if("passed").alias("passed"), share(F.count_if("passed"), n).alias("accuracy"),
         answered.alias("answered"), (n - answered).alias("declined"), share(good, answered).alias("citation_valid_rate"),
         F.count_if(F.col("answered") & ~F.col("valid")).alias("hallucinated_citations"), share(retried, n).alias("retry_rate"),
@@ -138,10 +176,12 @@ def run_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum(F.greatest(F.col("answer_attempts") - 1, F.lit(0))).alias("answer_retries"), share(fell_back, n).alias("fallback_rate"),
         F.count_if(F.col("fallback") == "template").alias("fallback_template"), F.count_if(F.col("fallback") == "rules").alias("fallback_rules"),
         F.bround(F.avg("latency_ms"), 0).cast("bigint").alias("avg_latency_ms"),
-        nearest_rank("latency_ms", 50).alias("p50_latency_ms"), nearest_rank("latency_ms", 95).alias("p95_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"), nearest_rank("_net", 50).alias("p50_latency_ex_backoff_ms"),
-        nearest_rank("_net", 95).alias("p95_latency_ex_backoff_ms"), F.sum(F.coalesce("backoff_ms", F.lit(0))).alias("backoff_ms"),
+        F.max("latency_ms").alias("max_latency_ms"), F.sum(F.coalesce("backoff_ms", F.lit(0))).alias("backoff_ms"),
         F.sum("tokens").alias("tokens"), F.sum("rate_limited").alias("rate_limited"))
+    ranks = nearest_ranks(rows, groups, {"p50_latency_ms": ("latency_ms", 50), "p95_latency_ms": ("latency_ms", 95),
+                                         "p50_latency_ex_backoff_ms": ("_net", 50), "p95_latency_ex_backoff_ms": ("_net", 95)})
+    met = measured.alias("r").join(ranks.alias("s"), _same_group("r", "s", groups))
+    return met.select("r.*", *[F.col(f"s.{c}") for c in ranks.columns if c not in groups])
 
 
 def passed_by(results: DataFrame, column: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Content fingerprints of tables, and stored results that stay valid while their tables do."""
+"""Content fingerprints of tables, and stored results that stay valid while their tables do.
+
+A fingerprint is the XOR, the sum and the count of row hashes, so it follows changes without a scan of the table: rows that
+leave are taken off, rows that enter are put on (`delta`, `advance`). A change by upsert, delete or merge knows both. `verify`
+compares kept fingerprints with the tables themselves now and then.
+"""
 
 from collections.abc import Mapping
 from functools import reduce
@@ -18,15 +23,51 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
 
 
-def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
-    """One row `table, fingerprint`: XOR, sum and count of row hashes, combined on the map side, in any row order.
+PARTS_SCHEMA = "table string, x bigint, s decimal(38,0), n bigint"
+
+
+def fingerprint_parts(df: DataFrame, table: str) -> DataFrame:
+    """One row `table, x, s, n`: XOR, sum and count of row hashes, combined on the map side, in any row order.
 
     The sum and the count notice repeated rows, which cancel out in an XOR.
     """
     hashed = df.select(row_hash(df).alias("h"))
-    parts = hashed.agg(F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).alias("x"),
-                       F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n"))
-    return parts.select(F.lit(table).alias("table"), F.concat_ws(":", F.hex("x"), F.col("s").cast("string"), F.col("n").cast("string")).alias("fingerprint"))
+    return hashed.agg(F.lit(table).alias("table"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).cast("bigint").alias("x"),
+                      F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def as_fingerprints(parts: DataFrame) -> DataFrame:
+    """`table, fingerprint` of rows of parts."""
+    return parts.select("table", F.concat_ws(":", F.hex("x"), F.col("s").cast("string"), F.col("n").cast("string")).alias("fingerprint"))
+
+
+def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
+    """One row `table, fingerprint`."""
+    return as_fingerprints(fingerprint_parts(df, table))
+
+
+def delta(leaving: DataFrame, entering: DataFrame, table: str) -> DataFrame:
+    """The parts that rows leaving and entering a table add to its own. A row that is replaced leaves as it was and enters as it is;
+    all columns count, in the table's order."""
+    out, into = fingerprint_parts(leaving, table), fingerprint_parts(entering.select(*leaving.columns), table)
+    return into.unionByName(out.withColumn("s", (-F.col("s")).cast("decimal(38,0)")).withColumn("n", -F.col("n")))
+
+
+def advance(kept: DataFrame, *deltas: DataFrame) -> DataFrame:
+    """Kept parts of several tables after changes to some of them; no table is read."""
+    rows = reduce(DataFrame.unionByName, deltas, kept)
+    return rows.groupBy("table").agg(F.expr("bit_xor(x)").alias("x"), F.sum("s").cast("decimal(38,0)").alias("s"), F.sum("n").alias("n"))
+
+
+def verify(kept: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table) of the tables whose kept parts are not those of a full pass."""
+    full = reduce(DataFrame.unionByName, [fingerprint_parts(df, name) for name, df in tables.items()])
+    return kept.filter(F.col("table").isin(*tables)).exceptAll(full.select(*kept.columns)).unionByName(full.select(*kept.columns).exceptAll(kept)).select("table").distinct()
+
+
+def keyed_delta(table_rows: DataFrame, changes: DataFrame, key: str, table: str) -> DataFrame:
+    """The delta of an upsert: rows of the keys in `changes` leave, the changes enter. Only these keys' rows are hashed."""
+    return delta(table_rows.join(changes.select(key), key, "left_semi").select(*table_rows.columns), changes, table)
 
 
 def portable_checksum(df: DataFrame, table: str) -> DataFrame:

@@ -1,13 +1,20 @@
-"""Dense numbering, top-k and paging without pulling a table into one task."""
+"""Dense numbering, top-k and paging without pulling a table into one task.
+
+`store_order` keeps a table in the order of its pages: range-partitioned, sorted, and numbered in its own columns, in files of one
+range each. Beside it lie its fences, a row for each file: the numbers of its first and last row. A page reads the files whose
+fences it meets, and in them the row groups with its numbers; nothing is sorted or counted again, however deep the page lies.
+"""
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from salesloom.sources.storage import reliable
 
+NUMBER = "_number"
+
 # A page that ends within this many rows is one bounded top-k; deeper pages use the dense numbering. Both give the same rows.
 TOP_K_ROWS = 10_000
 
@@ -69,3 +76,28 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -
         return df.orderBy(*order).offset(first).limit(page_size)
     numbered = number_rows(df, order, "_n")
     return numbered.filter((F.col("_n") > first) & (F.col("_n") <= first + page_size)).orderBy("_n").drop("_n")
+
+
+def store_order(df: DataFrame, order: Sequence[Column | str], path: str, rows_per_file: int = 1_000_000) -> str:
+    """Write the rows in a total order below `path`, numbered from 1, and their fences."""
+    numbered = number_rows(df, order, NUMBER)
+    part = F.floor((F.col(NUMBER) - 1) / rows_per_file)
+    # One task for each file of `rows_per_file` rows; the numbers lie dense in it, so its row groups have narrow ranges.
+    files = numbered.withColumn("_file", part).repartitionByRange("_file").sortWithinPartitions("_file", NUMBER)
+    files.write.partitionBy("_file").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    fences = stored.groupBy("_file").agg(F.min(NUMBER).alias("first"), F.max(NUMBER).alias("last"))
+    fences.repartitionByRange("first").sortWithinPartitions("first").write.parquet(f"{path}/fences")
+    return path
+
+
+def stored_page(spark: SparkSession, path: str, page: int, page_size: int) -> tuple[DataFrame, int]:
+    """Page `page` (from 1) of a stored order, and the number of all rows."""
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size start at 1")
+    first = (page - 1) * page_size
+    fences = spark.read.parquet(f"{path}/fences")
+    wanted = [r["_file"] for r in fences.filter((F.col("last") > first) & (F.col("first") <= first + page_size)).select("_file").collect()]  # as many as a page has files
+    total = fences.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("_file").isin(wanted) & (F.col(NUMBER) > first) & (F.col(NUMBER) <= first + page_size))
+    return rows.orderBy(NUMBER).drop("_file", NUMBER), total

@@ -147,18 +147,25 @@ def call_sheet(tables: Tables, page: int = 1, page_size: int = 50) -> tuple[Data
     return list_leads(tables, page=page, page_size=page_size, stage=list(OPEN_STAGES), min_score=CALL_SHEET_MIN_SCORE)
 
 
-def list_issues(tables: Tables, issue_type: str | None = None, page: int = 1, page_size: int = 100) -> tuple[DataFrame, DataFrame]:
+def issue_order() -> list[Column]:
+    return [F.asc("issue_type"), F.col("score").desc_nulls_last(), F.asc("issue_id")]
+
+
+def issue_rows(tables: Tables, issue_type: str | None = None) -> DataFrame:
     issues = tables.data_issues
     if issue_type:
         issues = issues.filter(F.col("issue_type") == issue_type)
     firms = tables.companies.select("company_id", F.col("name").alias("company"))
     name = F.concat("first_name", F.lit(" "), "last_name").alias("name")
     people = tables.leads.select("lead_id", "company_id", name, "owner", "stage")
-    rows = (issues.join(people, "lead_id").join(firms, "company_id", "left")
+    return (issues.join(people, "lead_id").join(firms, "company_id", "left")
             .join(tables.lead_scores.select("lead_id", "score"), "lead_id", "left")
             .select("issue_id", "issue_type", "details", "lead_id", "related_lead_id", "name", "company", "owner", "stage", "score"))
-    order = [F.asc("issue_type"), F.col("score").desc_nulls_last(), F.asc("issue_id")]
-    return page_of(rows, order, page, page_size), issues.agg(F.count(F.lit(1)).alias("total"))
+
+
+def list_issues(tables: Tables, issue_type: str | None = None, page: int = 1, page_size: int = 100) -> tuple[DataFrame, DataFrame]:
+    issues = tables.data_issues if issue_type is None else tables.data_issues.filter(F.col("issue_type") == issue_type)
+    return page_of(issue_rows(tables, issue_type), issue_order(), page, page_size), issues.agg(F.count(F.lit(1)).alias("total"))
 
 
 def latest_activities(tables: Tables, k: int = 50) -> DataFrame:

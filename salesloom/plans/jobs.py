@@ -1,7 +1,6 @@
 """Registered jobs of the other operators over the given tables: import, changes, evidence, reuse, evaluation, events."""
 
-from datetime import datetime
-
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,8 +8,9 @@ from pyspark.sql import functions as F
 
 from salesloom.config import HEADER_SPELLINGS
 from salesloom.functions.text import fold, normalize_email
-from salesloom.operators import changes, evaluate, evidence, fingerprint, importing, keyed, limiter, notes, quality, scoring
-from salesloom.plans.dashboard import health_counts, overview_totals, resolve_ids
+from salesloom.operators import calendar, changes, dedup_index, evaluate, evidence, fingerprint, importing, keyed, limiter, notes, quality, queue, scoring
+from salesloom.operators.ordering import store_order, stored_page
+from salesloom.plans.dashboard import health_counts, issue_order, issue_rows, lead_detail, overview_totals, resolve_ids
 from salesloom.plans.fixture import given_table, input_view
 from salesloom.plans.workspace import Workspace
 from salesloom.sources import csv_files, ledger, tables
@@ -84,6 +84,21 @@ def import_mixed_exports(ws: Workspace) -> DataFrame:
     return ws.once("mixed-exports", build)
 
 
+def import_csv_documents(ws: Workspace) -> DataFrame:
+    """Whole documents as CSV cells, scanned in small splits, so that cells with line breaks go over their ends."""
+    def build() -> DataFrame:
+        spark, name = ws.spark, "spark.sql.files.maxPartitionBytes"
+        path, before = scratch_path(spark, "documents"), spark.conf.get(name)
+        csv_files.write_csv(given_table(spark, ws.sf_dir, "documents").select("doc_id", "source", "text"), path)
+        spark.conf.set(name, "256k")
+        try:
+            rows = csv_files.scan_csv(spark, f"{path}/*.csv").rows
+            return written(rows.select("doc_id", "source", F.length("text").alias("n_chars"), F.md5("text").alias("digest")), "documents-scanned")
+        finally:
+            spark.conf.set(name, before)
+    return ws.once("csv-documents", build)
+
+
 def reexported_leads(ws: Workspace) -> DataFrame:
     """The copies in the lead view against all other leads: do they sit at the company of their original?"""
     is_copy = (F.substring("lead_id", 4, 20).cast("bigint") - 1) % 25 == 24
@@ -120,6 +135,12 @@ def executed(ws: Workspace) -> changes.Executed:
         decided(ws).actions, decided(ws).audit_log, remaining(ws), ws.companies, ws.activities, ws.data_issues, ws.lead_scores, ws.as_of, AT))
 
 
+def queued(ws: Workspace) -> queue.Executed:
+    """The same decisions as `executed`, run to the end: every action in the order of a single writer."""
+    return ws.once("queued", lambda: queue.execute_queue(
+        decided(ws).actions, decided(ws).audit_log, remaining(ws), ws.companies, ws.activities, ws.data_issues, ws.lead_scores, ws.as_of, AT))
+
+
 def action_rows(df: DataFrame) -> DataFrame:
     return df.select("action_id", "type", F.array_join("lead_ids", ",").alias("lead_ids"), "payload_json", "status", "decided_at", "decided_by", "note")
 
@@ -222,14 +243,34 @@ def table_checksums(ws: Workspace) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def kept_parts(ws: Workspace) -> DataFrame:
+    """Fingerprint parts of the queryable tables, from one full pass."""
+    return ws.once("parts", lambda: written(reduce(DataFrame.unionByName, [fingerprint.fingerprint_parts(df, name) for name, df in queryable(ws).items()]), "parts"))
+
+
 def valid_results(ws: Workspace) -> DataFrame:
-    """Stored results that are still valid after one lead changed its stage."""
-    before = fingerprint.snapshot(queryable(ws))
-    entries = fingerprint.store_results(stored_results(ws), before)
-    first = ws.leads.agg(F.min("lead_id").alias("lead_id"))
-    changed = keyed.update_keys(ws.leads, first, "lead_id", {"stage": F.lit("negotiation")})
-    after = fingerprint.snapshot({**queryable(ws), "leads": changed})
-    return fingerprint.valid_entries(entries, after).select("kind", "key", "payload")
+    """Stored results that are still valid after one lead changed its stage; no table is scanned again."""
+    entries = fingerprint.store_results(stored_results(ws), fingerprint.as_fingerprints(kept_parts(ws)))
+    first = ws.leads.join(ws.leads.agg(F.min("lead_id").alias("lead_id")), "lead_id", "left_semi").select(*ws.leads.columns)
+    moved = first.withColumn("stage", F.lit("negotiation"))
+    after = fingerprint.advance(kept_parts(ws), fingerprint.keyed_delta(ws.leads, moved, "lead_id", "leads"))
+    return fingerprint.valid_entries(entries, fingerprint.as_fingerprints(after)).select("kind", "key", "payload")
+
+
+def kept_fingerprints(ws: Workspace) -> DataFrame:
+    """Kept parts after the deletion of leads and a whole queue of changes with merges, from the changed rows alone, and whether a
+    full pass over the tables finds the same."""
+    run = queued(ws)
+    deleted = ws.leads.filter(F.substring("lead_id", 4, 20).cast("bigint") % 97 == 5)
+    named = run.outcomes.filter("state = 'run'").select("action_id").join(decided(ws).actions, "action_id").select(F.explode("lead_ids").alias("lead_id")).distinct()
+    out = deleted.unionByName(remaining(ws).join(named, "lead_id", "left_semi").select(*ws.leads.columns))
+    into = run.leads.join(named, "lead_id", "left_semi").select(*ws.leads.columns)
+    given = named.join(run.leads.select("lead_id"), "lead_id", "left_anti")
+    left = ws.activities.join(given, "lead_id", "left_semi").select(*ws.activities.columns)
+    moved = run.activities.join(left.select("activity_id"), "activity_id", "left_semi").select(*ws.activities.columns)
+    after = written(fingerprint.advance(kept_parts(ws), fingerprint.delta(out, into, "leads"), fingerprint.delta(left, moved, "activities")), "advanced")
+    wrong = fingerprint.verify(after, {**queryable(ws), "leads": run.leads, "activities": run.activities}).withColumn("_wrong", F.lit(True))
+    return after.join(wrong, "table", "left").select("table", F.col("n").alias("rows"), F.col("_wrong").isNull().alias("same"))
 
 
 def exported_results(ws: Workspace) -> DataFrame:
@@ -242,6 +283,111 @@ def exported_results(ws: Workspace) -> DataFrame:
     return ws.once("exported", build).select("kind", "key", "payload")
 
 
+# ------------------------------------------------------------------ duplicates over batches
+
+def batched_duplicates(ws: Workspace) -> DataFrame:
+    """Duplicates after a start with a quarter of the leads and three batches: new leads, wrong addresses put right, others deleted."""
+    def build() -> DataFrame:
+        view, root = quality.matching_view(ws.leads, ws.companies), scratch_path(ws.spark, "duplicates")
+        view = written(view.withColumn("_n", F.substring("lead_id", 4, 20).cast("bigint")), "view")
+        leads, nobody = view.drop("_n"), ws.leads.select("lead_id").limit(0)
+
+        def part(n: int) -> DataFrame:
+            return view.filter(F.col("_n") % 4 == n).drop("_n")
+        wrong = part(0).withColumn("email", F.lit("desk@shared.example")).withColumn("last_name", F.lower(F.reverse("last_name")))
+        extra = part(1).withColumn("lead_id", F.concat(F.lit("XX-"), F.col("lead_id")))
+        dedup_index.build(wrong, root)
+        dedup_index.apply_batch(ws.spark, root, part(1).unionByName(extra), nobody)
+        dedup_index.apply_batch(ws.spark, root, part(2).unionByName(part(0)), nobody)
+        dedup_index.apply_batch(ws.spark, root, part(3), extra.select("lead_id").unionByName(leads.select("lead_id").limit(0)))
+        return dedup_index.duplicates(ws.spark, root)
+    return ws.once("batched-duplicates", build)
+
+
+# ------------------------------------------------------------------ the clock
+
+def advanced(ws: Workspace) -> DataFrame:
+    """Scores and stale records nine days ago, moved on to as_of in three steps."""
+    def build() -> DataFrame:
+        root, before = scratch_path(ws.spark, "calendar"), ws.as_of - timedelta(days=9)
+        calendar.start(ws.leads, ws.companies, ws.activities, before, root)
+        for step, days in enumerate((8, 3, 0), 1):
+            now = ws.as_of - timedelta(days=days)
+            calendar.advance(ws.spark, ws.leads, ws.companies, ws.activities, before, now, root, step)
+            before = now
+        return written(calendar.current(ws.spark, root, ws.leads), "advanced")
+    return ws.once("advanced", build)
+
+
+# ------------------------------------------------------------------ tables, pages and files
+
+def issue_page_stored(ws: Workspace) -> DataFrame:
+    """Three pages of the stored issue order: the first, one in the middle and the last, with the number of all issues."""
+    def build() -> str:
+        return store_order(issue_rows(ws), issue_order(), scratch_path(ws.spark, "issue-order"), rows_per_file=250)
+    path = ws.once("issue-order", build)
+    total = stored_page(ws.spark, path, 1, 20)[1]
+    pages = [1, max(1, total // 40), max(1, -(-total // 20))]
+    return reduce(DataFrame.unionByName, [stored_page(ws.spark, path, p, 20)[0].withColumn("page", F.lit(p)).withColumn("total", F.lit(total)) for p in dict.fromkeys(pages)])
+
+
+def lead_detail_rows(ws: Workspace) -> DataFrame:
+    """The page of one lead, the one with the most activities: what is on it, by part."""
+    first = ws.activities.groupBy("lead_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lead_id").first()["lead_id"]
+    parts = lead_detail(ws, first)
+    rows = [parts["lead"].select(F.lit("lead").alias("part"), F.col("lead_id").alias("id"), F.col("score").cast("string").alias("value")),
+            parts["activities"].select(F.lit("activity"), "activity_id", "type"), parts["issues"].select(F.lit("issue"), "issue_id", "details")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+def since_half(ws: Workspace) -> DataFrame:
+    """The ledger's files, from the middle of its time on."""
+    def build() -> str:
+        folder = scratch_path(ws.spark, "ledger-files")
+        ledger.append_ledger(ledger_entries(ws), folder)
+        return folder
+    return ledger.read_ledger(ws.spark, ws.once("ledger-files", build), since="2024-01-16T12")
+
+
+def latest_companies(ws: Workspace) -> DataFrame:
+    """A table that was refreshed once, read at its newest version with a column that it does not have yet."""
+    def build() -> str:
+        root = scratch_path(ws.spark, "companies-table")
+        tables.replace_rows(ws.companies, root)
+        tables.replace_rows(ws.companies.filter("employees > 100").withColumn("industry", F.upper("industry")), root)
+        return root
+    return tables.read_latest(ws.spark, ws.once("companies-table", build), tables.SCHEMAS["companies"] + ", region string")
+
+
+def appended_activities(ws: Workspace) -> DataFrame:
+    """Activities appended in two parts, counted by their day folders."""
+    def build() -> str:
+        path = scratch_path(ws.spark, "activities-table")
+        for rest in (0, 1):
+            tables.append_activities(ws.activities.filter(F.pmod(F.crc32("activity_id"), F.lit(2)) == rest), path)
+        return path
+    stored = ws.spark.read.parquet(ws.once("activities-table", build))
+    return stored.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("activities"), F.count_distinct("lead_id").alias("leads"))
+
+
+def file_limits(ws: Workspace) -> DataFrame:
+    """Whether the export is refused under limits that its rows pass or do not pass."""
+    def build() -> tuple[str, int]:
+        path, rows = scratch_path(ws.spark, "limited"), export_rows(ws).drop(ROW)
+        csv_files.write_csv(rows.coalesce(1), path)  # limits hold for each file
+        return path, rows.count()
+    path, count = ws.once("limited-export", build)
+
+    def refused(**limits) -> bool:
+        try:
+            csv_files.scan_csv(ws.spark, f"{path}/*.csv", **limits)
+            return False
+        except csv_files.ImportRejected:
+            return True
+    found = [("rows as many", refused(max_rows=count)), ("one row less", refused(max_rows=count - 1)), ("few bytes", refused(max_bytes=count))]
+    return ws.spark.createDataFrame([(name, count, no) for name, no in found], "limit string, rows bigint, refused boolean")
+
+
 # ------------------------------------------------------------------ evaluation
 
 def truth_rows(ws: Workspace) -> DataFrame:
@@ -322,7 +468,9 @@ def _drained(ws: Workspace, name: str, df: DataFrame) -> DataFrame:
 def stream_limit_flags(ws: Workspace) -> DataFrame:
     def build() -> DataFrame:
         hits = _event_stream(ws).select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("t"), F.col("event_id").alias("hit_id"))
-        return _drained(ws, "flags", streams.limit_stream(hits, 3, DAY))
+        root = scratch_path(ws.spark, "flags")
+        streams.run_refresh(hits, streams.limiter(root, 3, DAY), scratch_path(ws.spark, "flags-checkpoint"))
+        return streams.current_flags(ws.spark, root)
     return ws.once("stream-flags", build).select("key", "hit_id", "admitted", F.round("wait_seconds", 3).alias("wait_seconds"))
 
 
@@ -423,6 +571,7 @@ JOBS = {
     "import_issue_counts": lambda ws: imported(ws).issue_counts,
     "import_audit": lambda ws: imported(ws).audit,
     "import_csv_files": import_csv_files,
+    "import_csv_documents": import_csv_documents,
     "reexported_leads": reexported_leads,
     "overview_with_actions": lambda ws: overview_totals(ws, executed(ws).actions),
     "health_counts": lambda ws: health_counts(ws, stored_results(ws)),
@@ -436,6 +585,10 @@ JOBS = {
     "executed_issues": lambda ws: executed(ws).issues.select("lead_id", "issue_type", "details", "related_lead_id"),
     "executed_scores": lambda ws: executed(ws).scores,
     "executed_audit": audit_trail,
+    "queue_outcomes": lambda ws: queued(ws).outcomes,
+    "queue_leads": lambda ws: queued(ws).leads,
+    "queue_activities": lambda ws: queued(ws).activities,
+    "queue_failures": lambda ws: queued(ws).audit_log.filter(F.col("event").startswith(changes.FAILED)).select("action_id", "event"),
     "action_counts": lambda ws: changes.action_counts(executed(ws).actions),
     "issue_refresh": issue_refresh,
     "why_now_notes": lambda ws: lead_notes(ws).select("lead_id", "note", F.array_join("refs", ",").alias("refs")),
@@ -450,6 +603,18 @@ JOBS = {
     "table_fingerprints": table_checksums,
     "import_mixed_exports": import_mixed_exports,
     "valid_results": valid_results,
+    "kept_fingerprints": kept_fingerprints,
+    "batched_duplicates": batched_duplicates,
+    "advanced_scores": lambda ws: advanced(ws).select("lead_id", "score", "fit", "intent", "recency"),
+    "advanced_stale": lambda ws: advanced(ws).filter("stale IS NOT NULL").select("lead_id", F.col("stale").alias("details")),
+    "issue_page_stored": issue_page_stored,
+    "lead_detail": lead_detail_rows,
+    "ledger_since": lambda ws: ledger.ledger_totals(since_half(ws)),
+    "latest_companies": latest_companies,
+    "appended_activities": appended_activities,
+    "rejected_actions": lambda ws: changes.list_actions(decided(ws).actions, decided(ws).audit_log, status="rejected").select(
+        "action_id", "decided_by", F.size("audit").alias("entries")),
+    "file_limits": file_limits,
     "exported_results": exported_results,
     "cleaning_metrics": lambda ws: evaluate.cleaning_metrics(ws.data_issues, truth_rows(ws)),
     "recall_by_kind": lambda ws: evaluate.recall_by_kind(found_pairs(ws), input_view(ws.spark, ws.sf_dir, "truth")),

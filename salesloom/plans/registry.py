@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesloom.operators.dedup import expand, find_duplicates
+from salesloom.operators.dedup import classes, duplicate_edges, expand, find_duplicates, people
 from salesloom.operators.quality import detect_issues, matching_view
 from salesloom.operators.scoring import score_leads
 from salesloom.plans import dashboard
@@ -31,6 +32,9 @@ DASHBOARD: dict[str, Plan] = {
     "latest_activities": dashboard.latest_activities,
     "issues_either_side": dashboard.issues_per_lead,
     "find_duplicates": lambda t: find_duplicates(matching_view(t.leads, t.companies)),
+    "duplicate_classes": lambda t: classes(people(matching_view(t.leads, t.companies))).select(
+        "block", "first", "last", "kind", "value", "members", F.col("oldest.lead_id").alias("oldest"), F.col("newest.lead_id").alias("newest")),
+    "duplicate_edges": lambda t: duplicate_edges(matching_view(t.leads, t.companies)),
     "expanded_duplicates": lambda t: expand(matching_view(t.leads, t.companies), t.leads.filter("owner = 'Karl Lindt'")),
     "detect_issues": lambda t: detect_issues(t.leads, t.companies, t.as_of),
     "score_leads": lambda t: score_leads(t.leads, t.companies, t.activities, t.as_of),

@@ -1,26 +1,19 @@
 """Streaming twins of the event-driven parts: intent events, limiter, refresh of derived tables, ledger totals."""
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from salesloom.config import INTENT_WINDOW_DAYS, RATE_WINDOW_SECONDS
 from salesloom.functions.clock import instant
-from salesloom.operators.limiter import MICROS, micros_of, walk
+from salesloom.operators.limiter import CHUNK_HITS, FLAGGED, MICROS, flagged_hits, micros_of
+from salesloom.operators.ordering import top_k_per_group
 from salesloom.operators.quality import missing_issues, stale_issues
 from salesloom.operators.scoring import SCORE_COLUMNS, score_leads
 from salesloom.sources.ledger import LEDGER_SCHEMA
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def stream_folder(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", pattern: str | None = None,
                   files_per_batch: int = 1000) -> DataFrame:
     """A folder of files as a stream; `files_per_batch` bounds a micro-batch."""
@@ -59,38 +52,37 @@ def intent_events(activities: DataFrame, as_of: datetime, late: str = "2 days")
 
 # ------------------------------------------------------------------ limiter
 
-FLAG_SCHEMA = "key string, hit_id bigint, admitted boolean, wait_seconds double"
-
+def limiter(root: str, limit: int, window_seconds: int = RATE_WINDOW_SECONDS, chunk_hits: int = CHUNK_HITS) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: the flags of a stream of `hits(key, t, hit_id)`.
 
-def limit_stream(hits: DataFrame, limit: int, window_seconds: int = RATE_WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
-    """Flags for a stream of `hits(key, t, hit_id)`; the state of a key is its last `limit` passed instants.
-
-    Hits of one micro-batch are taken in time order. A key without hits for a window loses its state.
+    A micro-batch is flagged like any table, so a key with most of a backlog is cut into chunks. The state is a table with up to
+    `limit` last passed times of each key, written anew by every batch; keys that have nothing in the window any more are left
+    out of it. Hits that come later than passed ones of their key count as if they came with the last of these. A repeated batch
+    overwrites its own folders and nothing else.
     """
     window = window_seconds * MICROS
-    timed = (hits.select("key", "hit_id", micros_of(F.col("t")).alias("at"), _event_time(F.col("t")).alias("event_time"))
-             .withWatermark("event_time", late))
-
-    def flag(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # Two numbers for each hit of the key in this micro-batch, whose size the source's rate limit bounds.
-        at, ids = (np.concatenate(c) for c in zip(*[(c["at"].to_numpy(np.int64), c["hit_id"].to_numpy(np.int64)) for c in chunks]))
-        order = np.lexsort((ids, at))
-        at, ids = at[order], ids[order]
-        passed = np.array(state.get[0] if state.exists else [], np.int64)
-        if len(passed):  # hits later than allowed for, before passed ones, count as if they came with the last of these
-            at = np.maximum(at, passed[-1])
-        waits, passed = walk(at, passed, limit, window)
-        state.update((passed.tolist(),))
-        expiry = (int(at[-1]) + window) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        wait = pd.Series(waits / MICROS).where(pd.Series(waits >= 0))
-        yield pd.DataFrame({"key": key[0], "hit_id": ids, "admitted": waits < 0, "wait_seconds": wait})
-
-    return timed.groupBy("key").applyInPandasWithState(
-        flag, FLAG_SCHEMA, "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def flag(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        hits = batch.select("key", micros_of(F.col("t")).alias("at"), "hit_id")
+        before = None
+        if number:
+            before = spark.read.schema("key string, at bigint").parquet(f"{root}/passed/batch={number - 1:09d}")
+            last = before.groupBy(F.col("key").alias("of")).agg(F.max("at").alias("last"))
+            hits = hits.join(last, F.col("key").eqNullSafe(F.col("of")), "left").select("key", F.when(F.col("at").isNotNull(), F.greatest("at", "last")).alias("at"), "hit_id")
+        flagged_hits(hits, limit, window_seconds, before, chunk_hits).write.mode("overwrite").parquet(f"{root}/flags/batch={number:09d}")
+        passed = spark.read.schema(FLAGGED).parquet(f"{root}/flags/batch={number:09d}").filter("admitted").select("key", "at")
+        passed = passed if before is None else passed.unionByName(before)
+        now = passed.agg(F.max("at")).first()[0]
+        lasting = top_k_per_group(passed.filter(F.col("at") > (now or 0) - window), ["key"], [F.col("at").desc()], limit)
+        lasting.select("key", "at").write.mode("overwrite").parquet(f"{root}/passed/batch={number:09d}")
+
+    return flag
+
+
+def current_flags(spark: SparkSession, root: str) -> DataFrame:
+    """Flags of all hits so far."""
+    return spark.read.schema(FLAGGED).parquet(f"{root}/flags/batch=*").drop("at")
 
 
 # ------------------------------------------------------------------ derived tables

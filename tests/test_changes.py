@@ -154,3 +154,98 @@ def test_table_versions_appends_and_snapshots(spark, crm, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id":"Q1","kind":"scalar","question":"q","expected":3}\n{"id":"Q2","kind":"id_set","question":"q","expected":["LD-1"]}\n')
     rows = tables.read_questions(spark, str(tmp_path / "q.jsonl")).select("id", F.to_json("expected").alias("e")).orderBy("id").collect()
     assert [(r.id, r.e) for r in rows] == [("Q1", "3"), ("Q2", '["LD-1"]')]
+
+
+# ------------------------------------------------------------------ a whole queue
+
+def single_writer(leads, acts, approved):
+    """Leads, owners of activities and events after the actions one by one."""
+    now, owner, events = {r["lead_id"]: r.asDict() for r in leads}, {a: l for a, l in acts}, []
+    for action, kind, ids, payload in approved:
+        gone = [i for i in ids if i not in now]
+        if gone:
+            events.append((action, "execution failed: leads no longer exist: " + ", ".join(gone)))
+            continue
+        for i in ids:
+            now[i]["updated_at"] = AS_OF
+            if kind == "stage_change":
+                now[i]["stage"] = payload["stage"]
+            if kind == "outreach":
+                now[i]["last_contacted_at"] = AS_OF
+                now[i]["stage"] = "contacted" if now[i]["stage"] == "new" else now[i]["stage"]
+        if kind == "stage_change":
+            events.append((action, f"executed: set stage to '{payload['stage']}' on {', '.join(ids)}"))
+        elif kind == "outreach":
+            events.append((action, f"executed: logged email outreach to {', '.join(ids)}"))
+        else:
+            primary = payload["primary_id"]
+            others = [i for i in ids if i != primary]
+            filled = []
+            for f in ("email", "phone", "title"):
+                given = [now[i][f] for i in sorted(others) if (now[i][f] or "").strip()]
+                if given and not (now[primary][f] or "").strip():
+                    now[primary][f] = given[0]
+                    filled.append(f)
+            moved = [a for a, l in owner.items() if l in others]
+            owner.update(dict.fromkeys(moved, primary))
+            for i in others:
+                del now[i]
+            extra = f", filled {', '.join(filled)}" if filled else ""
+            events.append((action, f"executed: merged {', '.join(others)} into {primary} (moved {len(moved)} activities{extra})"))
+    return now, owner, events
+
+
+def queue_of(spark, leads, acts, approved, status="approved", log=None):
+    from salesloom.operators import queue
+    firms = spark.createDataFrame([("CO-00001", "Acme", "a.com", "Software", 10, "US", datetime(2020, 1, 1))], SCHEMAS["companies"])
+    rows = [(a, k, ids, json.dumps(p), status, AS_OF, AS_OF + timedelta(minutes=n), "bo", None) for n, (a, k, ids, p) in enumerate(approved)]
+    actions = spark.createDataFrame(rows, SCHEMAS["actions"])
+    return queue.execute_queue(actions, empty_table(spark, "audit_log") if log is None else log, leads, firms, acts, detect_issues(leads, firms, AS_OF),
+                               score_leads(leads, firms, acts, AS_OF), AS_OF, AS_OF)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_queue_is_a_single_writer(spark, seed):
+    import random
+    rng = random.Random(seed)
+    ids = [f"LD-{n:05d}" for n in range(1, 26)]
+    leads = spark.createDataFrame([lead(n, "A", "B", rng.choice([None, " ", f"m{n}@a.com"]), rng.choice([None, f"p{n}"]), rng.choice(["", f"t{n}"]), rng.choice(["new", "won"])) for n in range(1, 26)], SCHEMAS["leads"])
+    acts = spark.createDataFrame([(f"ACT-{i:05d}", rng.choice(ids), "call", AS_OF - timedelta(days=i)) for i in range(60)], SCHEMAS["activities"])
+    approved = []
+    for n in range(45):
+        some = rng.sample(ids + ["LD-99999"], rng.randint(2, 3)) if rng.random() < 0.9 else ["LD-00001", rng.choice(ids[1:])]
+        kind = rng.choice(["merge", "merge", "stage_change", "outreach"])
+        payload = {"merge": {"primary_id": some[0]}, "stage_change": {"stage": rng.choice(["new", "proposal"])}, "outreach": {"subject": "s", "body": "b", "channel": "email"}}[kind]
+        approved.append((f"AX-{rng.randrange(10**4):04d}{n:02d}", kind, some, payload))
+    got = queue_of(spark, leads, acts, approved)
+    now, owner, events = single_writer(leads.collect(), [(r.activity_id, r.lead_id) for r in acts.collect()], approved)
+    assert [(r.action_id, r.event) for r in got.audit_log.orderBy("id").collect()] == events
+    assert {r.lead_id: r.asDict() for r in got.leads.collect()} == now
+    assert {r.activity_id: r.lead_id for r in got.activities.collect()} == owner
+    full = {(r.lead_id, r.score) for r in score_leads(got.leads, spark.createDataFrame([("CO-00001", "Acme", "a.com", "Software", 10, "US", datetime(2020, 1, 1))], SCHEMAS["companies"]), got.activities, AS_OF).collect()}
+    assert {(r.lead_id, r.score) for r in got.scores.collect()} == full
+    assert {r.status for r in got.actions.collect()} == {"approved", "executed"}
+    again = queue_of(spark, got.leads, got.activities, approved, "approved", got.audit_log.filter(F.col("event").startswith("execution failed")))
+    failed = {a for a, e in events if e.startswith("execution failed")}
+    assert failed and not failed & {r.action_id for r in again.outcomes.collect()}  # tried once
+
+
+def test_a_failed_action_does_not_hold_up_a_batch(spark, crm):
+    """The first action on a lead merges it with a deleted one; the next batch goes on with the second action."""
+    leads, firms, acts, issues, scores = crm
+    made = changes.create_actions(changes.check_proposals(propose(spark, [("merge", ["LD-00001", "LD-00002"], {"primary_id": "LD-00001"}), ("stage_change", ["LD-00001"], {"stage": "won"})]), leads),
+                                  empty_table(spark, "actions"), empty_table(spark, "audit_log"), AS_OF)
+    decisions = spark.createDataFrame([(f"AX-0000{n}", "approved", "bo", None, AS_OF + timedelta(minutes=n)) for n in (1, 2)], DECISIONS)
+    state = changes.decide(made.actions, decisions, made.audit_log)
+    left, actions, log = leads.filter("lead_id <> 'LD-00002'"), state.actions, state.audit_log
+    seen = []
+    for _ in range(3):
+        done = changes.execute(actions, log, left, firms, acts, issues, scores, AS_OF, AS_OF)
+        actions, log, left = done.actions, done.audit_log, done.leads
+        seen.append(([r.status for r in actions.orderBy("action_id").collect()], log.filter(F.col("event").startswith("execution failed")).count()))
+    assert seen == [(["approved", "approved"], 1), (["approved", "executed"], 1), (["approved", "executed"], 1)]
+
+
+def test_an_empty_queue(spark, crm):
+    got = queue_of(spark, crm[0], crm[2], [])
+    assert got.leads.count() == crm[0].count() and got.audit_log.count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.similarity import affix_keys, all_pieces, indel_ratio, one_keystroke, ratio_pieces, typo_signatures
 from salesloom.functions.text import fold, normalize_company, normalize_email, normalize_phone
-from salesloom.operators.dedup import expand, find_duplicates
+from salesloom.operators.dedup import classes, duplicate_edges, expand, find_duplicates, memberships, people
 
 SCHEMA = ("lead_id string, company_id string, company_name string, first_name string, last_name string, "
           "email string, phone string, created_at timestamp_ntz")
@@ -115,6 +115,70 @@ def test_buckets_have_one_link_for_each_member(spark):
     assert pairs == want
 
 
+def components(pairs, ids):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+def test_two_name_variants_give_rows_linear_in_the_records(spark):
+    made = Records(8)
+    rows = [made.add(first_name=("Bob", "Robert")[n % 2], last_name="Gonzalez", email=None, phone=None, company_id="CO-1", company_name="One") for n in range(120)]
+    got = found(find_duplicates(made.frame(spark)))
+    assert len(got) <= 2 * len(rows) and len(set(components(got, [r["lead_id"] for r in rows]).values())) == 1
+    edges = duplicate_edges(made.frame(spark)).collect()
+    assert {(e.kind_old, e.kind_new, e.members_old, e.members_new) for e in edges} == {("bare", "name", 60, 60), ("name", "bare", 60, 60)}
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_classes_join_what_all_pairs_join(spark, seed):
+    """Few names, phones and addresses, so that all kinds of evidence cross; `expand` of all leads is the truth."""
+    rng, made = random.Random(seed), Records(seed)
+    for _ in range(90):
+        first, last = rng.choice([("Bob", "Hale"), ("Robert", "Hale"), ("Rob", "Hale"), ("Hale", "Robert"), ("Bob", "Hales"), ("Ann", "Hale")])
+        made.add(first_name=first, last_name=last, company_id=rng.choice(["CO-1", "CO-2"]), company_name=None, phone=rng.choice([None, "4420000001", "4420000002", "4420000003"]),
+                 email=rng.choice([None, f"{rng.choice(['bob.hale', 'bob.hales', 'b.hale', 'robert.hale', 'quite.other'])}@{rng.choice(['one.org', 'two.org', 'three.org'])}"]))
+    ids = [r["lead_id"] for r in made.rows]
+    got, whole = found(find_duplicates(made.frame(spark))), found(expand(made.frame(spark), made.frame(spark)))
+    assert got.items() <= whole.items() and components(got, ids) == components(whole, ids) and len(got) < len(whole)
+    members = memberships(made.frame(spark)).groupBy("block", "first", "last", "kind", "value").count().collect()
+    assert sorted(r["count"] for r in members) == sorted(r["members"] for r in classes(people(made.frame(spark))).collect())
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_batches_keep_what_a_full_search_finds(spark, tmp_path, seed):
+    from salesloom.operators import dedup_index
+    rng, made, now = random.Random(seed), Records(seed), {}
+
+    def some(row=None):
+        first, last = rng.choice([("Bob", "Hale"), ("Robert", "Hale"), ("Hale", "Bob"), ("Ann", "Hales"), ("Ann", None)])
+        edit = dict(first_name=first, last_name=last, company_id=rng.choice(["CO-1", "CO-2"]), company_name=None, phone=rng.choice([None, "4420000001", "4420000002"]),
+                    email=rng.choice([None, f"{rng.choice(['bob.hale', 'bob.hales', 'other'])}@{rng.choice(['one.org', 'two.org'])}"]))
+        return {**row, **edit} if row else made.add(**edit)
+
+    def table(rows):
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return frame(spark, [tuple(r[c] for c in names) for r in rows])
+    now = {r["lead_id"]: r for r in (some() for _ in range(30))}
+    root = str(tmp_path / "index")
+    dedup_index.build(table(now.values()), root)
+    for _ in range(3):
+        changed = [some(now[i]) for i in rng.sample(sorted(now), 4)]
+        gone = rng.sample(sorted(set(now) - {r["lead_id"] for r in changed}), 3)
+        up = changed + [some() for _ in range(5)]
+        now = {i: r for i, r in now.items() if i not in gone} | {r["lead_id"]: r for r in up}
+        dedup_index.apply_batch(spark, root, table(up), spark.createDataFrame([(i,) for i in gone], "lead_id string"))
+        assert found(dedup_index.duplicates(spark, root)) == found(find_duplicates(table(now.values())))
+    dedup_index.apply_batch(spark, root, table([]), spark.createDataFrame([], "lead_id string"))
+    assert found(dedup_index.duplicates(spark, root)) == found(find_duplicates(table(now.values())))
+
+
 def test_a_very_large_bucket(spark):
     n = 100_000
     leads = spark.range(n).select(

@@ -38,14 +38,21 @@ def test_answers_and_grades(spark):
     assert passed(bad) == {"S": False, "I": False, "T": False, "D": True, "E": False, "N": False, "Z": False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 19, 20, 40, 101])
-def test_nearest_rank(spark, n):
-    values = [random.Random(n).randint(0, 1000) for _ in range(n)]
-    df = spark.createDataFrame([(v,) for v in values], "v int")
-    row = df.agg(E.nearest_rank("v", 50).alias("p50"), E.nearest_rank("v", 95).alias("p95")).first()
-    def rank(p):
-        return sorted(values)[max(0, math.ceil(p / 100 * n) - 1)]
-    assert (row.p50, row.p95) == (rank(50), rank(95))
+def rank(values, p):
+    return sorted(values)[max(0, math.ceil(p / 100 * len(values)) - 1)] if values else 0
+
+
+def test_nearest_ranks_of_groups_of_any_size(spark):
+    """One run has nearly all rows; others have few, equal, negative, missing or no values."""
+    rng = random.Random(5)
+    groups = {f"n{n}": [rng.randint(0, 1000) for _ in range(n)] for n in (1, 2, 3, 10, 19, 20, 40, 101)}
+    groups |= {"hot": [int(rng.lognormvariate(8, 2)) for _ in range(20_000)], "equal": [7] * 300, "wide": [-10**15, -3, 0, 10**15], "none": [], None: [4, 5, 6, 6]}
+    rows = [(g, v, -v) for g, values in groups.items() for v in values] + [("none", None, None), ("n3", None, None)]
+    df = spark.createDataFrame(rows, "run string, v bigint, w bigint").repartition(7)
+    got = E.nearest_ranks(df, ["run"], {"p50": ("v", 50), "p95": ("v", 95), "first": ("v", 0), "last": ("v", 100), "w5": ("w", 5)})
+    assert {r.run: tuple(r)[1:] for r in got.collect()} == {
+        g: (rank(v, 50), rank(v, 95), rank(v, 0), rank(v, 100), rank([-x for x in v], 5)) for g, v in groups.items()}
+    assert E.nearest_ranks(df.limit(0), ["run"], {"p50": ("v", 50)}).collect() == []
 
 
 def test_summary_spread_and_stability(spark):

@@ -57,6 +57,19 @@ def test_a_very_busy_key(spark):
     assert {r.admitted: r["count"] for r in got} == {True: 17 * 50, False: n - 17 * 50}
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 12])
+def test_a_hot_key_in_chunks_has_the_same_flags(spark, rounds):
+    """Hits at random, every second, and in bursts; few rounds leave pieces that are walked as a whole."""
+    rng, start = random.Random(9), datetime(2026, 1, 1)
+    rows = [("dense", start + timedelta(seconds=rng.random() * 3000), i) for i in range(2500)]
+    rows += [("even", start + timedelta(seconds=i), 10_000 + i) for i in range(900)]
+    rows += [(None, start + timedelta(seconds=70 * (i // 40) + i % 3), 20_000 + i) for i in range(800)]
+    rows += [("", start + timedelta(seconds=rng.randrange(900)), 30_000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, t timestamp_ntz, hit_id bigint").repartition(3)
+    got = limit_flags(df, 7, chunk_hits=150, rounds=rounds)
+    assert {r.hit_id: r.admitted for r in got.collect()} == sequential(rows, 7)
+
+
 def test_calm_stretches_keep_everything_and_cut_the_walk(spark):
     start = datetime(2026, 1, 1)
     rows = [("k", start + timedelta(seconds=20 * i), i) for i in range(300)] + [("k", start + timedelta(seconds=3000 + i % 7), 1000 + i) for i in range(40)]
@@ -87,9 +100,24 @@ def test_stream_flags_equal_the_batch_twin(spark, tmp_path):
         chunk = rows[part * 300:(part + 1) * 300]
         spark.createDataFrame(chunk, "key string, t timestamp_ntz, hit_id bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.stream_folder(spark, str(tmp_path / "in"), "key string, t timestamp_ntz, hit_id bigint", files_per_batch=1)
-    jobs.drain(jobs.limit_stream(stream, 3), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = {r.hit_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == sequential(rows, 3)
+    root = str(tmp_path / "out")
+    jobs.run_refresh(stream, jobs.limiter(root, 3, chunk_hits=100), str(tmp_path / "ck"))
+    assert {r.hit_id: r.admitted for r in jobs.current_flags(spark, root).collect()} == sequential(rows, 3)
+    assert spark.read.parquet(f"{root}/passed/batch=000000002").groupBy("key").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_a_backlog_with_a_hot_key_late_hits_and_null_keys(spark, tmp_path):
+    start, root = datetime(2026, 1, 1), str(tmp_path / "out")
+    first = [("hot", start + timedelta(milliseconds=100 * i), i) for i in range(4000)] + [(None, start + timedelta(seconds=i), 9000 + i) for i in range(200)]
+    late = [("hot", start + timedelta(seconds=10 + i), 5000 + i) for i in range(5)] + [("hot", start + timedelta(seconds=401 + i), 5100 + i) for i in range(50)] + [("cold", None, 7000)]
+    flag = jobs.limiter(root, 10, chunk_hits=500)
+    for number, rows in enumerate((first, late)):
+        for _ in range(2):  # a repeated batch changes nothing
+            flag(spark.createDataFrame(rows, "key string, t timestamp_ntz, hit_id bigint"), number)
+    got = {r.hit_id: r.admitted for r in jobs.current_flags(spark, root).collect()}
+    passed_before = max(t for k, t, h in first if k == "hot" and got[h])
+    moved = [(k, max(t, passed_before) if t and k == "hot" else t, h) for k, t, h in late]
+    assert got == sequential([r for r in first + moved if r[1]], 10) | {7000: None}
 
 
 def test_stream_intent_events_give_the_batch_intent(spark, sf_dir, tmp_path):
