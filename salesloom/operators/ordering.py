@@ -85,7 +85,8 @@ def store_order(df: DataFrame, order: Sequence[Column | str], path: str, rows_pe
     # One task for each file of `rows_per_file` rows; the numbers lie dense in it, so its row groups have narrow ranges.
     files = numbered.withColumn("_file", part).repartitionByRange("_file").sortWithinPartitions("_file", NUMBER)
     files.write.partitionBy("_file").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows")
-    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    files.limit(0).write.parquet(f"{path}/columns")  # a table without rows has no files
+    stored = df.sparkSession.read.schema(files.schema).parquet(f"{path}/rows")
     fences = stored.groupBy("_file").agg(F.min(NUMBER).alias("first"), F.max(NUMBER).alias("last"))
     fences.repartitionByRange("first").sortWithinPartitions("first").write.parquet(f"{path}/fences")
     return path
@@ -99,5 +100,5 @@ def stored_page(spark: SparkSession, path: str, page: int, page_size: int) -> tu
     fences = spark.read.parquet(f"{path}/fences")
     wanted = [r["_file"] for r in fences.filter((F.col("last") > first) & (F.col("first") <= first + page_size)).select("_file").collect()]  # as many as a page has files
     total = fences.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
-    rows = spark.read.parquet(f"{path}/rows").filter(F.col("_file").isin(wanted) & (F.col(NUMBER) > first) & (F.col(NUMBER) <= first + page_size))
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows").filter(F.col("_file").isin(wanted) & (F.col(NUMBER) > first) & (F.col(NUMBER) <= first + page_size))
     return rows.orderBy(NUMBER).drop("_file", NUMBER), total
