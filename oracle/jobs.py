@@ -412,6 +412,23 @@ SELECT 'lead' AS part, l.lead_id AS id, s.score::VARCHAR AS value FROM most_acti
 UNION ALL SELECT 'activity', activity_id, type FROM (SELECT a.* FROM activities a JOIN most_active m ON m.lead_id = a.lead_id ORDER BY occurred_at DESC, activity_id LIMIT 50)
 UNION ALL SELECT 'issue', issue_id, details FROM data_issues i JOIN most_active m ON m.lead_id IN (i.lead_id, i.related_lead_id)"""
 CTES["most_active"] = "SELECT lead_id FROM activities GROUP BY lead_id ORDER BY count(*) DESC, lead_id LIMIT 1"
+def _cut(x: str, decimals: int) -> str:
+    units = f"floor(({x}) * {10 ** decimals})::BIGINT"
+    return f"{units}::VARCHAR" if not decimals else f"(({units}) // 10)::VARCHAR || '.' || (({units}) % 10)::VARCHAR"
+
+
+CTES["told"] = f"""
+SELECT l.lead_id, [l.deal_value, s.score, s.fit, s.intent, s.fit / greatest(s.score, 1.0), 1.0] AS cells,
+       'Deal of ' || {_cut('l.deal_value + s.fit / 40', 0)} || ', score ' || {_cut('s.score', 1)} || ' as of 2024-01-26, fit is ' || {_cut('s.fit / greatest(s.score, 1.0) * 100', 1)}
+       || '% of it, a third ' || {_cut('s.score / 3', 1)} || ' in 1 row [' || l.lead_id || '].' AS text
+FROM leads l JOIN lead_scores s ON s.lead_id = l.lead_id WHERE l.deal_value IS NOT NULL"""
+JOBS["number_audit"] = """
+SELECT lead_id AS answer_id, count(*) FILTER (NOT held) = 0 AS valid, coalesce(string_agg(token, ' ' ORDER BY place) FILTER (NOT held), '') AS unsupported_numbers FROM (
+  SELECT lead_id, token, place, len(list_filter(cells, lambda c: abs(value - c) <= margin OR (token LIKE '%\\%' ESCAPE '\\' AND abs(value - 100 * c) <= margin))) > 0 AS held FROM (
+    SELECT *, replace(rtrim(token, '%'), ',', '')::DOUBLE AS value, 0.5 * pow(10, -length(regexp_extract(rtrim(token, '%'), '\\.([0-9]+)$', 1))) + 1e-9 AS margin FROM (
+      SELECT lead_id, cells, unnest(found) AS token, generate_subscripts(found, 1) AS place FROM (
+        SELECT lead_id, cells, regexp_extract_all(regexp_replace(regexp_replace(text, '(?:LD|CO|ACT|ISS|AX)-[0-9]{4,}', ' ', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}', ' ', 'g'), '[0-9][0-9,]*(?:\\.[0-9]+)?%?') AS found FROM told))))
+GROUP BY lead_id"""
 JOBS["ledger_since"] = "SELECT count(*) AS calls, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, coalesce(sum(total_tokens) FILTER (ok), 0) AS tokens FROM ledger WHERE \"at\" >= '2024-01-16T12'"
 JOBS["latest_companies"] = "SELECT * REPLACE (upper(industry) AS industry), NULL::VARCHAR AS region FROM companies WHERE employees > 100"
 JOBS["appended_activities"] = "SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, count(*) AS activities, count(DISTINCT lead_id) AS leads FROM activities GROUP BY 1"

@@ -183,6 +183,25 @@ def note_audit(ws: Workspace) -> DataFrame:
                            F.array_join("unsupported_numbers", ",").alias("unsupported_numbers"), "reason")
 
 
+def _cut_number(x, decimals: int):
+    """A number cut, not rounded, to one decimal or none, so that about half of the texts state what no cell rounds to."""
+    units = F.floor(x * 10 ** decimals).cast("bigint")
+    return units.cast("string") if not decimals else F.concat((F.floor(units / 10)).cast("bigint").cast("string"), F.lit("."), F.pmod(units, F.lit(10)).cast("string"))
+
+
+def number_audit(ws: Workspace) -> DataFrame:
+    """Texts that state deal value, score, share, day and row count of a lead, checked against its row."""
+    share = (F.col("fit") / F.greatest("score", F.lit(1.0))).alias("share")
+    rows = ws.leads.filter("deal_value IS NOT NULL").join(ws.lead_scores, "lead_id").select("lead_id", "deal_value", "score", "fit", "intent", share)
+    ev = rows.select(F.col("lead_id").alias("answer_id"), F.lit(0).cast("bigint").alias("row_no"), evidence.to_cells(rows).alias("cells"))
+    third = F.col("score") / 3
+    text = F.concat(F.lit("Deal of "), _cut_number(F.col("deal_value") + F.col("fit") / 40, 0), F.lit(", score "), _cut_number(F.col("score"), 1), F.lit(" as of 2024-01-26, fit is "),
+                    _cut_number(F.col("share") * 100, 1), F.lit("% of it, a third "), _cut_number(third, 1), F.lit(" in 1 row ["), F.col("lead_id"), F.lit("]."))
+    texts = rows.select(F.col("lead_id").alias("answer_id"), text.alias("text"), F.lit(None).cast("string").alias("question"))
+    verdicts = evidence.audit_texts(written(texts, "texts"), written(ev, "evidence"))
+    return verdicts.select("answer_id", "valid", F.array_join("unsupported_numbers", " ").alias("unsupported_numbers"))
+
+
 def industry_summaries(ws: Workspace) -> DataFrame:
     """One answer per industry: its companies as result rows, summarized."""
     rows = ws.companies.filter(F.col("industry").isNotNull())
@@ -595,6 +614,7 @@ JOBS = {
     "outreach_drafts": lambda ws: notes.outreach_drafts(ws.leads, ws.companies, ws.activities, ws.as_of).select(
         "lead_id", "subject", "body", F.array_join("citations", ",").alias("citations")),
     "note_audit": note_audit,
+    "number_audit": number_audit,
     "industry_summaries": industry_summaries,
     "cited_row_tables": cited_row_tables,
     "score_contributions": score_contributions,
