@@ -15,6 +15,7 @@ HEADLINE = [
     "score_contributions", "score_breakdowns", "why_now_notes", "note_audit",
     "import_records", "import_companies", "executed_leads", "table_fingerprints", "limit_flags", "run_summary", "ledger_by_purpose",
     "import_csv_files", "stream_limit_flags", "stream_scores",
+    "import_csv_documents", "queue_outcomes", "advanced_scores", "kept_fingerprints", "issue_page_stored",
 ]
 
 
@@ -23,8 +24,8 @@ def main() -> None:
 
     from pyspark.sql import SparkSession
 
+    from salesloom.plans import workspace
     from salesloom.plans.registry import QUERIES
-    from salesloom.plans.workspace import Workspace
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,12 +39,13 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
-    ws = Workspace(spark, sf_dir)
-    start = time.perf_counter()
-    ws.leads, ws.companies, ws.lead_scores, ws.data_issues  # the stored tables the queries read
-    times = {"build_tables": round(time.perf_counter() - start, 3)}
-    warm = {}
-    for seconds in (times, warm):  # cold, then once more
+    times, warm = {}, {}
+    for seconds in (times, warm):  # cold, then once more from the given tables: results stored by the first pass are forgotten
+        workspace._STORED.clear()
+        ws = workspace.Workspace(spark, sf_dir)
+        start = time.perf_counter()
+        ws.leads, ws.companies, ws.lead_scores, ws.data_issues  # the stored tables the queries read
+        seconds["build_tables"] = round(time.perf_counter() - start, 3)
         for name in HEADLINE:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
