@@ -32,7 +32,7 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_steps_equal_a_full_rebuild(spark, tmp_path, seed):
     leads, firms, acts = (df.cache() for df in crm(spark, seed))
     root, before = str(tmp_path / "c"), START

@@ -204,7 +204,7 @@ def queue_of(spark, leads, acts, approved, status="approved", log=None):
                                score_leads(leads, firms, acts, AS_OF), AS_OF, AS_OF)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_a_queue_is_a_single_writer(spark, seed):
     import random
     rng = random.Random(seed)

