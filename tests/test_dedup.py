@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from salesloom.functions.similarity import affix_keys, all_pieces, indel_ratio, one_keystroke, ratio_pieces, typo_signatures
+from salesloom.functions.similarity import _common_subsequence, affix_keys, all_pieces, indel_ratio, one_keystroke, ratio_pieces, reaching_ratio, typo_signatures
 from salesloom.functions.text import fold, normalize_company, normalize_email, normalize_phone
+from salesloom.operators import dedup
 from salesloom.operators.dedup import classes, duplicate_edges, expand, find_duplicates, memberships, people
 
 SCHEMA = ("lead_id string, company_id string, company_name string, first_name string, last_name string, "
@@ -244,3 +245,42 @@ def test_alike_texts_share_a_piece(spark):
     a, b = F.col("a"), F.col("b")
     got = df.select("*", indel_ratio(a, b).alias("is"), F.arrays_overlap(ratio_pieces(b), all_pieces(a)).alias("piece"))
     assert got.filter("abs(is - ratio) > 1e-9 OR (ratio >= 85 AND NOT piece)").collect() == []
+
+
+# ------------------------------------------------------------------ crowds
+
+def test_local_parts_that_begin_alike_make_no_edges_unless_they_reach_the_ratio(spark):
+    parts = [f"person{n * 7919 % 1_000_000:06d}" for n in range(60)]
+    leads = _crowd(spark, [("Ann", "Lee", f"{p}@x.com") for p in parts])
+    persons = dedup.people(leads)
+    edges = dedup.class_edges(dedup.classes(persons), dedup.matching_names(persons)).filter("kind_old = 'mail'").select("value_old", "value_new").collect()
+    alike = {(a, b) for i, a in enumerate(parts) for b in parts[i + 1:] if (1 - (24 - 2 * _common_subsequence(a, b)) / 24) * 100 >= 85}
+    assert len(edges) == len(alike) and {tuple(r) for r in edges} == alike
+
+
+def _crowd(spark, people):
+    rows = [(f"LD-{n:05d}", "CO-1", first, last, email, datetime(2024, 1, 1) + timedelta(minutes=n)) for n, (first, last, email) in enumerate(people)]
+    return spark.createDataFrame(rows, "lead_id string, company_id string, first_name string, last_name string, email string, created_at timestamp_ntz")
+
+
+@pytest.mark.parametrize("limits", [{"FEW_NAMES": 0, "FEW_MEETINGS": 0, "BLOCK_CLASSES": 3}, {"FEW_NAMES": 10**6, "FEW_MEETINGS": 10**6}])
+def test_blocks_and_joins_find_the_same(spark, monkeypatch, limits):
+    dice = random.Random(5)
+    names = [("Robert", "Gonzalez"), ("Bob", "Gonzales"), ("Jose", "Lee"), ("Joe", "Lee"), ("Lee", "Joe"), ("Katherine", "Novak")]
+    people = [(*dice.choice(names), dice.choice([None, f"{dice.choice(['bob.gonzalez', 'j', 'x' * 70])}{dice.randrange(60)}@x.com"])) for _ in range(70)]
+    leads = _crowd(spark, people)
+    want = sorted(map(tuple, dedup.find_duplicates(leads).collect()))
+    for name, value in limits.items():
+        monkeypatch.setattr(dedup, name, value)
+    assert want and sorted(map(tuple, dedup.find_duplicates(leads).collect())) == want
+
+
+def test_reaching_ratio_finds_all_pairs_of_any_length():
+    dice = random.Random(1)
+    texts = ["".join(dice.choice("abé1") for _ in range(dice.choice([0, 1, 3, 8, 15, 63, 64, 65, 90]))) for _ in range(40)]
+    others = texts[:20] + [t[:-1] + "b" for t in texts]
+
+    def ratio(a, b):
+        return (1 - (len(a) + len(b) - 2 * _common_subsequence(a, b)) / (len(a) + len(b))) * 100 if a + b else 100.0
+    found = {(int(i), int(j)) for i, j in zip(*reaching_ratio(texts, others, 85))}
+    assert found == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(others) if ratio(a, b) >= 85}
