@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import lines, minhash, mixing, pieces, toxicity
+from salesloom.llm import lines, minhash, mixing, pieces, simhash, toxicity
 from salesloom.llm.common import table, written
 from salesloom.llm.queries import tokenizer_path
 
@@ -22,10 +22,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more, also over others.
+    """One document of each group of near copies, linked also over others.
 
-    The stage keeps its name; op2_simhash's fingerprints and distance of two bits bind that query only."""
-    return minhash.drop_near_copies(docs, "doc_id", "text")
+    Texts link by SimHash, as in op2_simhash: fingerprints that differ in two bits or fewer. Near copies of Jaccard similarity 0.8 or
+    more over five-word shingles mostly differ in more bits, so a second step links these as well; both make the groups."""
+    linked = written(simhash.text_links(docs, "text", minhash.text_identity("text")), "linked")
+    return minhash.drop_near_copies(docs, "doc_id", "text", linked)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

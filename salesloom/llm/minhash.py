@@ -19,6 +19,8 @@ Before texts are sent for a comparison, sketches are: the lowest byte of each of
 similarity 0.8 agrees on 80 % of them with a standard deviation of 3.3 %; pairs that agree on less than `SKETCHED` are no near
 copies (five and a half deviations), and their texts stay where they are.
 
+Links found by another method (`linked`, of `text_identity`) join components too, beside those found here.
+
 Copies are one text by the 64-bit hash and length of the text. Rows without an id, repeated rows and ties are as in
 `simhash.drop_near_duplicates`. An empty table gives an empty result.
 """
@@ -205,8 +207,13 @@ def _pairs(leaders: DataFrame, members: DataFrame, met: str) -> DataFrame:
     return found.select(F.least("l_doc", "doc").alias("a"), F.greatest("l_doc", "doc").alias("b")).distinct()
 
 
-def roots_of(df: DataFrame, text: str, each: DataFrame) -> DataFrame:
-    """(node, root) of the texts that are linked to another one; `each` has (doc, keys, sketch) of all different texts."""
+def text_identity(text: str) -> Column:
+    """The number that tells a text of a row in links."""
+    return _identity(text)
+
+
+def roots_of(df: DataFrame, text: str, each: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts that are linked to another one, here or by `linked`; `each` has (doc, keys, sketch) of all different texts."""
     keys = each.select("doc", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(shared, "key").select("key", "doc", "n"), "members")
@@ -217,18 +224,22 @@ def roots_of(df: DataFrame, text: str, each: DataFrame) -> DataFrame:
     centers = crowd.join(weights, "doc").groupBy("key").agg(F.max(F.struct("weight", "doc")).alias("center")).select("key", F.col("center.doc").alias("first"))
     stars = crowd.join(centers, "key").where("doc <> first").select(F.least("doc", "first").alias("a"), F.greatest("doc", "first").alias("b"))
     links = written(_verified(_pairs(few, few, "l_doc < doc").unionAll(stars).distinct(), sketches, texts), "near")
+    if linked is not None:
+        links = links.unionByName(linked.select("a", "b"))
     if crowd.isEmpty():
         return components(links)
     more = written(_in_blocks(crowd, components(links), sketches, texts), "near")
     return components(links.unionAll(more))
 
 
-def drop_near_copies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of each component, all columns: that of the smallest key (nulls last), then of the smallest hash of its text."""
+def drop_near_copies(df: DataFrame, key: str, text: str, linked: DataFrame | None = None) -> DataFrame:
+    """One row of each component, all columns: that of the smallest key (nulls last), then of the smallest hash of its text.
+
+    `linked` (a, b) are further links between texts by `text_identity`."""
     row = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     signed = written(signatures(df, text, row), "signatures")
     each = written(signed.groupBy("doc").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "texts")
-    roots = roots_of(df, text, each.select("doc", "keys", "sketch"))
+    roots = roots_of(df, text, each.select("doc", "keys", "sketch"), linked)
     known = each.select("doc", "row").join(roots, F.col("doc") == F.col("node"), "left")
     firsts = known.groupBy(F.coalesce("root", "doc").alias("component")).agg(F.min("row").alias("first")).select("first.*")
     return first_rows(df, key, text, firsts)

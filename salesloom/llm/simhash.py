@@ -161,6 +161,12 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
         F.col("_key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
+def text_links(df: DataFrame, text: str, doc: Column) -> DataFrame:
+    """(a, b): every `doc`, a number that tells the text of a row, beside the smallest one of its component, if that is another."""
+    prints = written(fingerprints(df, text, [doc.alias("doc")]).distinct(), "fingerprints")
+    return prints.join(classes(prints, F.col("doc")), "fingerprint").where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+
+
 def drop_near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row of each component, all columns: that of the smallest key (nulls last), then of the smallest hash of its text.
 

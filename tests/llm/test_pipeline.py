@@ -41,3 +41,15 @@ def test_empty_table(spark, sf_dir, pipeline):
     empty = docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).collect() == [], name
+
+
+def test_near_duplicates_link_by_simhash_and_by_shingles(spark, sf_dir, pipeline):
+    def tail(c, n):
+        return " ".join(f"{c}{i}" for i in range(n))
+    phrase = "one two three four five " * 200
+    texts = [phrase + tail("a", 40), phrase + tail("b", 40),  # one fingerprint, as repeats weigh; few shingles in common
+             tail("c", 60) + " end", tail("c", 60) + " stop",  # one shingle differs, and many bits
+             tail("d", 60), None]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    kept = sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, table, sf_dir).select("doc_id").collect())
+    assert kept == [0, 2, 4, 5]
