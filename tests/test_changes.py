@@ -8,7 +8,11 @@ from salesloom.config import AS_OF
 from salesloom.operators import changes, keyed
 from salesloom.operators.quality import detect_issues, refresh_issues
 from salesloom.operators.scoring import score_leads
+from salesloom.plans import jobs
+from salesloom.plans.fixture import input_view
+from salesloom.plans.workspace import Workspace
 from salesloom.sources import tables
+from salesloom.sources.storage import written
 from salesloom.sources.tables import SCHEMAS, empty_table
 
 PROPOSALS = "proposal_id bigint, type string, lead_ids array<string>, payload_json string, actor string, note string"
@@ -249,3 +253,15 @@ def test_a_failed_action_does_not_hold_up_a_batch(spark, crm):
 def test_an_empty_queue(spark, crm):
     got = queue_of(spark, crm[0], crm[2], [])
     assert got.leads.count() == crm[0].count() and got.audit_log.count() == 0
+
+
+def test_proposals_and_decisions_of_one_small_file_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "ROWS_PER_TASK", 20)
+    keys = [*range(90), 7, 7, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    ws = Workspace(spark, str(tmp_path))
+    for name, made in (("proposals", jobs.proposals(ws).withColumn("lead_list", F.array_join("lead_ids", ","))), ("decisions", jobs.decisions(ws))):
+        whole = input_view(spark, str(tmp_path), name)
+        found = written(made.select(*whole.columns), name)
+        assert found.select(F.input_file_name()).distinct().count() >= 4  # 5 asked for, as many as the session's tasks
+        assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
